@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import as_date, parse_ts
-from ..operators import classes, filters, funnel, metrics, report
+from ..operators import classes, filters, funnel, metrics, report, skeleton
 from ..sources import bindings as B
+from ..sources import skeleton_sources as SK
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -222,3 +223,58 @@ def q_report_conversion(spark, sf):
 def q_conv_overall(spark, sf):
     """P-11 ratios per month: the full three-section report for every month."""
     return report.full_report(_dialogs(spark, sf, "month", "status", "status_post"), by="month")
+
+
+# --- skeletons ----------------------------------------------------------------------
+
+def _text_state(spark, sf):
+    return skeleton.parse_skeletons(SK.text_skeletons(spark, sf))
+
+
+def _event_state(spark, sf):
+    return skeleton.parse_block_stream(SK.event_blocks(spark, sf), EVENT_ORDER)
+
+
+EVENT_ORDER = ("ts", "event_id")
+
+
+@query("skel_blocks")
+def q_skel_blocks(spark, sf):
+    """B-1 … B-6 over the text skeleton cells."""
+    return _text_state(spark, sf).select(*skeleton.BLOCK_COLUMNS)
+
+
+@query("skel_blocks_events")
+def q_skel_blocks_events(spark, sf):
+    """B-2 … B-6 over event-ordered blocks (all seven block types)."""
+    return _event_state(spark, sf).select(*skeleton.BLOCK_COLUMNS)
+
+
+@query("skel_labels")
+def q_skel_labels(spark, sf):
+    return skeleton.with_labels(_text_state(spark, sf))
+
+
+@query("skel_jumps")
+def q_skel_jumps(spark, sf):
+    return skeleton.jumps(_event_state(spark, sf))
+
+
+@query("skel_dropoff")
+def q_skel_dropoff(spark, sf):
+    return skeleton.dropoff(SK.event_blocks(spark, sf), EVENT_ORDER)
+
+
+@query("skel_excerpt")
+def q_skel_excerpt(spark, sf):
+    return skeleton.block_excerpts(SK.text_skeletons(spark, sf))
+
+
+@query("skel_rollup")
+def q_skel_rollup(spark, sf):
+    return skeleton.dropoff_rollup(_event_state(spark, sf))
+
+
+@query("skeleton_quality")
+def q_skeleton_quality(spark, sf):
+    return skeleton.skeleton_quality(SK.text_skeletons(spark, sf))

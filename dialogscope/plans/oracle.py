@@ -262,3 +262,11 @@ ORACLE: dict[str, str] = {
     "report_conversion": report_sql(["conversion"]),
     "conv_overall": report_sql(["stage1", "stage2", "conversion"], by="month"),
 }
+
+
+def _merge_skeleton() -> None:
+    from .oracle_skeleton import ORACLE_SKELETON
+    ORACLE.update(ORACLE_SKELETON)
+
+
+_merge_skeleton()
