@@ -11,12 +11,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
+from ..config import scratch_path
 from ..functions.columns import as_date, parse_ts
-from ..operators import classes, filters, funnel, metrics, report, skeleton
+from ..operators import browse, classes, compare, filters, funnel, metrics, report, skeleton
 from ..sources import bindings as B
+from ..sources import report_file, sinks, tables
 from ..sources import skeleton_sources as SK
+from ..streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -278,3 +282,127 @@ def q_skel_rollup(spark, sf):
 @query("skeleton_quality")
 def q_skeleton_quality(spark, sf):
     return skeleton.skeleton_quality(SK.text_skeletons(spark, sf))
+
+
+# --- skeleton joins and browsing ---------------------------------------------------
+
+@query("skeleton_semi")
+def q_skeleton_semi(spark, sf):
+    """J-1: skeletons of the dialogs passing the sidebar filters."""
+    kept = filters.apply_filters(_dialogs(spark, sf, "dialog_id", "dialog_grade", "dialog_role"),
+                                 grade=GRADE, role=ROLE)
+    per_dialog = skeleton.dropoff(SK.event_blocks(spark, sf), EVENT_ORDER)
+    return filters.skeletons_for(per_dialog, kept).select("dialog_id", "n_blocks", "last_type")
+
+
+@query("top_sessions_skeleton")
+def q_top_sessions_skeleton(spark, sf):
+    """J-4: the 20 users with the longest total event time and their blocks."""
+    sessions = (B.table(spark, sf, "events")
+                .groupBy(F.format_string("%08d", F.col("user_id")).alias("dialog_id"))
+                .agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("session_seconds")))
+    return browse.top_sessions_with_skeleton(sessions, _event_state(spark, sf), TOP_K)
+
+
+@query("dialog_options")
+def q_dialog_options(spark, sf):
+    return browse.dialog_options(SK.text_skeletons(spark, sf), 100)
+
+
+@query("skeleton_browse")
+def q_skeleton_browse(spark, sf):
+    return browse.browse_skeletons(SK.text_skeletons(spark, sf), 50)
+
+
+# --- sources and sinks (round trips through files Spark writes) -------------------------
+
+def _source_dialogs(spark, sf) -> DataFrame:
+    """The dialogs with the monthly files' own column names and text dates."""
+    d = B.dialogs(spark, sf)
+    back = {canon: src for src, canon in K.DIALOG_COLUMNS.items()}
+    return d.select(*[(F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c == "activity_dt" else F.col(c))
+                      .alias(back.get(c, c)) for c in d.columns])
+
+
+@query("src_monthly_read")
+def q_src_monthly_read(spark, sf):
+    """S-1/S-2/K-1/P-12: write the dialogs as monthly CSV folders, read every
+    month back with one multi-path read, and count per month."""
+    root = scratch_path(spark, "monthly")
+    sinks.write_monthly(_source_dialogs(spark, sf), root, "chart_data", month_col=K.SRC_MONTH)
+    back = tables.canonical_dialogs(
+        tables.read_table(spark, root, "chart_data", None, partitioned=True, month_dir=K.SRC_MONTH))
+    return (back.groupBy("month")
+            .agg(F.count(F.lit(1)).alias("n_dialogs"),
+                 F.count_if(F.col("status") == K.TAG_SUCCESS).alias("n_success"),
+                 F.count_if(F.col("product_slug").isNull()).alias("n_no_product"),
+                 F.min(as_date("activity_dt")).alias("first_day"),
+                 F.sum(F.col("session_seconds").cast("decimal(18,2)")).cast("double").alias("total_seconds")))
+
+
+@query("class_read")
+def q_class_read(spark, sf):
+    """S-6: the class/subject table written per month with its source column
+    names and read back with the explicit schema."""
+    o = B.table(spark, sf, "orders").where(F.col("o_orderkey") % 29 != 0)
+    monthly = (o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias(K.SRC_MONTH),
+                         (F.lit(5) + F.col("o_orderkey") % 7).alias(K.SRC_GRADE),
+                         F.col("o_orderstatus").alias(K.SRC_SUBJECT))
+               .agg(F.count(F.lit(1)).alias(K.SRC_PUPILS)))
+    root = scratch_path(spark, "classes")
+    sinks.write_monthly(monthly, root, "class_stats", month_col=K.SRC_MONTH)
+    back = tables.read_table(spark, root, "class_stats", None, partitioned=True, month_dir=K.SRC_MONTH)
+    return tables.canonical_classes(back).select("month", "grade", "subject", "pupils")
+
+
+@query("norm_alias")
+def q_norm_alias(spark, sf):
+    """S-4: two sources keep the skeleton under different names; after alias
+    repair both parse the same way."""
+    sk = SK.text_skeletons(spark, sf)
+    even = sk.where(F.substring("dialog_id", 1, 6).cast("bigint") % 2 == 0).select(
+        "dialog_id", F.col("skeleton").alias(K.SRC_SKELETON))
+    odd = sk.where(F.substring("dialog_id", 1, 6).cast("bigint") % 2 == 1).select(
+        "dialog_id", F.col("skeleton").alias("status_only"), F.lit("plan").alias(K.SRC_SKELETON_LOWER))
+    fixed = tables.normalise(even).unionByName(tables.normalise(odd))
+    return fixed.select("dialog_id", F.size(skeleton.tokens(F.col("skeleton"))).cast("bigint")
+                        .alias("n_blocks"))
+
+
+@query("cmp_union")
+def q_cmp_union(spark, sf):
+    """U-1/P-12: two differently shaped sources unioned by name, each tagged
+    with its label; the second one lacks product and grade columns."""
+    orders = _dialogs(spark, sf, "dialog_id", "activity_dt", "dialog_grade", "product_slug", "status")
+    ev = B.table(spark, sf, "events")
+    events = ev.select(F.format_string("E%08d", F.col("event_id")).alias("dialog_id"),
+                       F.col("ts").alias("activity_dt"),
+                       F.when(F.col("event_type") == "purchase", F.lit(K.TAG_SUCCESS))
+                       .otherwise(F.lit(K.TAG_MATCH_FAILED)).alias("status"))
+    both = compare.union_months({"orders": orders, "events": events})
+    return (both.groupBy("month")
+            .agg(F.count(F.lit(1)).alias("n_dialogs"),
+                 F.count_if(F.col("status") == K.TAG_SUCCESS).alias("n_success"),
+                 F.count_if(F.col("product_slug").isNull()).alias("n_no_product"),
+                 F.count_if(F.col("dialog_grade").isNull()).alias("n_no_grade")))
+
+
+@query("report_tidy")
+def q_report_tidy(spark, sf):
+    """S-5: the monthly sectioned report files written from the dialogs and
+    parsed back into tidy rows (equals ``conv_overall``)."""
+    root = scratch_path(spark, "reports")
+    full = report.full_report(_dialogs(spark, sf, "month", "status", "status_post"), by="month")
+    path = sinks.write_report_files(full, root, by="month")
+    return report_file.parse_report(spark, path).select(*(["month"] + report.REPORT_COLUMNS))
+
+
+@query("stream_tag_counts")
+def q_stream_tag_counts(spark, sf):
+    """Streaming refresh: monthly dialog files processed by a file-stream
+    query into per-month tag counts."""
+    root = scratch_path(spark, "stream-src")
+    d = _dialogs(spark, sf, "month", "status")
+    d.write.partitionBy("month").parquet(root)
+    schema = T.StructType([T.StructField("status", T.StringType()), T.StructField("month", T.StringType())])
+    return refresh.run_available(spark, root, schema, names=TAG_COUNT_NAMES)

@@ -265,8 +265,43 @@ ORACLE: dict[str, str] = {
 
 
 def _merge_skeleton() -> None:
-    from .oracle_skeleton import ORACLE_SKELETON
-    ORACLE.update(ORACLE_SKELETON)
+    from . import oracle_skeleton as S
+    ORACLE.update(S.ORACLE_SKELETON)
+    ORACLE.update({
+        "skeleton_semi": S.SEMI_SQL.format(grade=float(C.GRADE), role=lit(C.ROLE)),
+        "top_sessions_skeleton": S.TOP_SKELETON_SQL.replace("{k}", str(C.TOP_K)),
+        "dialog_options": S.OPTIONS_SQL,
+        "skeleton_browse": S.BROWSE_SQL,
+        "norm_alias": S.NORM_ALIAS_SQL,
+    })
+
+
+def _month_tag_counts_sql() -> str:
+    cols = ", ".join(f"count(*) FILTER (WHERE status = {lit(t)}) AS {n}"
+                     for t, n in zip(K.STAGE1_REPORT_TAGS, C.TAG_COUNT_NAMES))
+    return with_dialogs(f"SELECT month, count(*) AS total, {cols} FROM dialogs GROUP BY month")
+
+
+ORACLE.update({
+    "src_monthly_read": with_dialogs(
+        f"SELECT month, count(*) AS n_dialogs, count(*) FILTER (WHERE status = {lit(K.TAG_SUCCESS)}) AS n_success, "
+        f"count(*) FILTER (WHERE product_slug IS NULL) AS n_no_product, "
+        f"min(CAST(activity_dt AS DATE)) AS first_day, "
+        f"CAST(sum(CAST(session_seconds AS DECIMAL(18, 2))) AS DOUBLE) AS total_seconds "
+        f"FROM dialogs GROUP BY month"),
+    "class_read": "SELECT strftime(o_orderdate, '%Y-%m') AS month, 5 + o_orderkey % 7 AS grade, "
+                  "o_orderstatus AS subject, count(*) AS pupils FROM orders WHERE o_orderkey % 29 <> 0 "
+                  "GROUP BY 1, 2, 3",
+    "cmp_union": with_dialogs(
+        f"SELECT 'orders' AS month, count(*) AS n_dialogs, "
+        f"count(*) FILTER (WHERE status = {lit(K.TAG_SUCCESS)}) AS n_success, "
+        f"count(*) FILTER (WHERE product_slug IS NULL) AS n_no_product, "
+        f"count(*) FILTER (WHERE dialog_grade IS NULL) AS n_no_grade FROM dialogs "
+        f"UNION ALL SELECT 'events', count(*), count(*) FILTER (WHERE event_type = 'purchase'), "
+        f"count(*), count(*) FROM events"),
+    "report_tidy": report_sql(["stage1", "stage2", "conversion"], by="month"),
+    "stream_tag_counts": _month_tag_counts_sql(),
+})
 
 
 _merge_skeleton()

@@ -172,3 +172,35 @@ ORACLE_SKELETON: dict[str, str] = {
     "skel_rollup": event_sql(ROLLUP_BODY),
     "skeleton_quality": QUALITY_SQL,
 }
+
+
+def _with_dialogs_and_events(body: str) -> str:
+    from .oracle import DIALOGS_CTE
+    return f"WITH {DIALOGS_CTE},{EVENT_SKEL_CTE},{STATE_CTES}\n{body}"
+
+
+SEMI_SQL = _with_dialogs_and_events(
+    "SELECT dialog_id, count(*) AS n_blocks, arg_max(block_type, pos) AS last_type FROM typed "
+    "WHERE dialog_id IN (SELECT dialog_id FROM dialogs WHERE CAST(dialog_grade AS DOUBLE) = {grade} "
+    "AND dialog_role = {role}) GROUP BY dialog_id")
+
+TOP_SKELETON_SQL = event_sql("""SELECT top.dialog_id, top.session_seconds, top.minutes, state.pos, state.block,
+       state.block_type, state.depth
+FROM (SELECT dialog_id, session_seconds, round_even(session_seconds / 60.0, 1) AS minutes
+      FROM (SELECT printf('%08d', user_id) AS dialog_id,
+                   CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS session_seconds
+            FROM events GROUP BY 1)
+      ORDER BY session_seconds DESC NULLS LAST, dialog_id LIMIT {k}) top
+LEFT JOIN state ON top.dialog_id = state.dialog_id""")
+
+OPTIONS_SQL = f"""WITH {TEXT_SKEL_CTE}
+SELECT concat_ws(' | ', substring(dialog_id, 1, 36) || '...', tag,
+                 CAST(dialog_grade AS VARCHAR) || ' кл.', dialog_role) AS label,
+       max(dialog_id) AS dialog_id
+FROM (SELECT * FROM skel ORDER BY dialog_id LIMIT 100) GROUP BY 1"""
+
+BROWSE_SQL = f"""WITH {TEXT_SKEL_CTE}
+SELECT dialog_id, skeleton, tag, dialog_grade, dialog_role FROM skel ORDER BY dialog_id LIMIT 50"""
+
+NORM_ALIAS_SQL = f"""WITH {TEXT_SKEL_CTE}
+SELECT dialog_id, CAST(len(blist) AS BIGINT) AS n_blocks FROM tok"""
