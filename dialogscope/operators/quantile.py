@@ -52,10 +52,14 @@ def exact_kth(df: DataFrame, col: str, k: int, *, buckets: int = DEFAULT_BUCKETS
         if m <= small:
             vals = sorted(r["v"] for r in base.where(cond).collect())
             return float(vals[rank])
-        # Scale before subtracting so that (hi - lo) cannot overflow.
-        width = hi / buckets - lo / buckets
-        bucket = F.least(F.lit(buckets - 1),
-                         F.floor((F.col("v") / buckets - F.lit(lo / buckets)) / F.lit(width)).cast("int"))
+        # Position of v in [lo, hi] as a fraction, times the bucket count.
+        # Both sides are scaled by 1/buckets first so hi - lo cannot overflow.
+        span = hi / buckets - lo / buckets
+        if span > 0:
+            frac = (F.col("v") / buckets - F.lit(lo / buckets)) / F.lit(span)
+        else:  # subnormal range: the scaled span underflowed, hi - lo cannot overflow
+            frac = (F.col("v") - F.lit(lo)) / F.lit(hi - lo)
+        bucket = F.least(F.lit(buckets - 1), F.floor(frac * buckets).cast("int"))
         hist = (base.where(cond).groupBy(bucket.alias("b"))
                 .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
                 .collect())
