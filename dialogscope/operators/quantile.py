@@ -20,6 +20,7 @@ values for an even count).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,19 +78,27 @@ def exact_kth(df: DataFrame, col: str, k: int, *, buckets: int = DEFAULT_BUCKETS
 
 
 def exact_median(df: DataFrame, col: str, **kw) -> float | None:
-    """Median with interpolation for an even count (as ``median``)."""
-    base = _values(df, col)
-    row = base.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    n = row["n"]
-    if n == 0:
-        return None
-    stats = (n, row["lo"], row["hi"])
-    k1 = (n - 1) // 2
-    v1 = exact_kth(df, col, k1, stats=stats, **kw)
-    if n % 2 == 1:
-        return v1
-    # The next rank: v1 again if it repeats, else the smallest larger value.
-    nxt = base.agg(F.count_if(F.col("v") <= F.lit(v1)).alias("le"),
-                   F.min(F.when(F.col("v") > F.lit(v1), F.col("v"))).alias("above")).first()
-    v2 = v1 if nxt["le"] > k1 + 1 else nxt["above"]
-    return v1 + (v2 - v1) * 0.5
+    """Median with interpolation for an even count (as ``median``).
+
+    The one projected column is persisted (memory, spilling to disk) for the
+    few refinement passes, so the source plan — scans and joins — runs once;
+    a lost block is recomputed from its lineage.
+    """
+    base = _values(df, col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        row = base.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+        n = row["n"]
+        if n == 0:
+            return None
+        stats = (n, row["lo"], row["hi"])
+        k1 = (n - 1) // 2
+        v1 = exact_kth(base, "v", k1, stats=stats, **kw)
+        if n % 2 == 1:
+            return v1
+        # The next rank: v1 again if it repeats, else the smallest larger value.
+        nxt = base.agg(F.count_if(F.col("v") <= F.lit(v1)).alias("le"),
+                       F.min(F.when(F.col("v") > F.lit(v1), F.col("v"))).alias("above")).first()
+        v2 = v1 if nxt["le"] > k1 + 1 else nxt["above"]
+        return v1 + (v2 - v1) * 0.5
+    finally:
+        base.unpersist()

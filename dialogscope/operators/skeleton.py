@@ -28,14 +28,14 @@ scan:
 1. rows are cut into chunks of a bounded size — ``pos div chunk_rows`` when
    positions are known (text cells), or range partitions of the ordering key
    when they are not (event streams: ``repartitionByRange`` splits a hot
-   dialog across partitions by its own order; the assignment is checkpointed
-   once so every branch sees the same chunks);
+   dialog across partitions by its own order);
 2. a window per (dialog, chunk) computes local running values — each window
    partition is bounded by the chunk size;
-3. one summary row per (dialog, chunk) (count, deeper blocks, last reset,
-   last step, first block) is scanned per dialog — at most #chunks rows;
-4. the summaries are joined back on (dialog, chunk); the row side is already
-   hash-partitioned on that key by step 2, so only the summaries move.
+3. one summary row per (dialog, chunk) — the running values at the chunk's
+   last row — is scanned per dialog: at most #chunks rows;
+4. the summaries are joined back on (dialog, chunk); the windowed rows are
+   checkpointed once with their hash partitioning on that key, so only the
+   summaries move.
 """
 
 from __future__ import annotations
@@ -130,35 +130,37 @@ def block_state(blocks: DataFrame, order: Sequence[str] = ("pos",), id_col: str
         if order == ["pos"]:
             df = df.withColumn("_chunk", F.floor(F.col("pos") / chunk_rows).cast("bigint"))
         else:
-            # Range partitions are balanced by sampling, and the sample seed
-            # depends on the plan, so two branches re-planning the same
-            # exchange could cut different ranges.  The chunk ids are therefore
-            # materialised once with a reliable checkpoint (shared checkpoint
-            # folder, survives executor loss) and both the row branch and the
-            # summary branch read the same assignment.
-            spark = df.sparkSession
-            scratch_dir(spark)
-            n = range_partitions or default_parallelism(spark)
+            # Range partitions are balanced by sampling; the windowed rows
+            # below are checkpointed once, so every later branch sees the same
+            # chunk assignment.
+            n = range_partitions or default_parallelism(df.sparkSession)
             df = (df.repartitionByRange(n, id_col, *order)
-                  .withColumn("_chunk", F.spark_partition_id().cast("bigint"))
-                  .checkpoint(eager=True))
+                  .withColumn("_chunk", F.spark_partition_id().cast("bigint")))
         chunk = "_chunk"
     w = Window.partitionBy(id_col, chunk).orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = (df.withColumn("_lrn", F.row_number().over(w))
              .withColumn("_lact", F.sum("deeper").over(run))
              .withColumn("_linfo", F.last("info_num", ignorenulls=True).over(run))
-             .withColumn("_lnext_action", F.lead("is_action").over(w)))
+             .withColumn("_lnext_action", F.lead("is_action").over(w))
+             .withColumn("_first_action", F.first("is_action").over(run)))
     # _lact never decreases, so its running max over reset rows is its value at
     # the latest reset.
     local = local.withColumn("_lreset", F.max(F.when(F.col("is_reset"), F.col("_lact"))).over(run))
-
-    summ = (local.groupBy(id_col, chunk)
-            .agg(F.count(F.lit(1)).alias("c_n"),
-                 F.sum("deeper").alias("c_act"),
-                 F.max(F.when(F.col("is_reset"), F.col("_lact"))).alias("c_reset"),
-                 F.max_by("info_num", F.when(F.col("info_num").isNotNull(), F.col("_lrn"))).alias("c_info"),
-                 F.min_by("is_action", F.col("_lrn")).alias("c_first_action")))
+    # The windowed rows feed two branches (rows and chunk summaries).  A
+    # reliable checkpoint in the shared checkpoint folder computes them once
+    # (one shuffle), keeps their (dialog, chunk) hash partitioning for the
+    # join below, survives executor loss, and pins the range-chunk assignment.
+    scratch_dir(df.sparkSession)
+    local = local.checkpoint(eager=True)
+
+    # Chunk summaries are the running values at each chunk's LAST row: a
+    # narrow filter of the checkpointed rows, one row per chunk.
+    summ = (local.where(F.col("_lnext_action").isNull())
+            .select(id_col, chunk, F.col("_lrn").alias("c_n"), F.col("_lact").alias("c_act"),
+                    F.col("_lreset").alias("c_reset"), F.col("_linfo").alias("c_info"),
+                    F.col("_first_action").alias("c_first_action"),
+                    F.col("block").alias("c_last_block"), F.col("block_type").alias("c_last_type")))
     wc = Window.partitionBy(id_col).orderBy(chunk)
     prev = wc.rowsBetween(Window.unboundedPreceding, -1)
     summ = (summ.withColumn("off_n", F.coalesce(F.sum("c_n").over(prev), F.lit(0)))
@@ -190,7 +192,7 @@ def block_state(blocks: DataFrame, order: Sequence[str] = ("pos",), id_col: str
         out = out.drop("_pos")
     return (out.withColumn("x", F.col("pos"))
             .withColumn("y", -F.col("depth"))
-            .drop("_lrn", "_lact", "_linfo", "_lnext_action", "_lreset", "off_n", "off_act",
+            .drop("_lrn", "_lact", "_linfo", "_lnext_action", "_first_action", "_lreset", "off_n", "off_act",
                   "_next_first_action", "in_reset", "in_info", "info_num", "deeper", "is_reset",
                   "is_action", chunk))
 
