@@ -18,6 +18,7 @@ Deliberate deviations:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +55,15 @@ def session_stats(df: DataFrame, seconds_col: str = "session_seconds", pupil_col
                   accuracy: int = 10000) -> DataFrame:
     """A-8: mean and median session minutes, mean pupil / tutor messages.
 
-    ``approx=False`` computes the exact median with distributed histogram
-    refinement (``quantile.exact_median``: a few bounded passes instead of one
-    task holding every distinct value); ``approx=True`` uses
-    ``percentile_approx`` (one pass, rank error ≤ n/accuracy, no
-    interpolation).
+    ``approx=True``: one lazy pass with ``percentile_approx`` (rank error
+    ≤ n/accuracy, no interpolation).
+
+    ``approx=False`` (exact): the three columns are projected and persisted
+    (memory, spilling to disk); ONE pass over the source computes the means
+    and the count/min/max the median needs and fills that cache; the median's
+    few histogram passes (``quantile.exact_median``) then read the cache only.
+    The result is a one-row frame of the computed values, and the cache is
+    released before returning.
     """
     means = [minutes(F.avg(seconds_col)).alias("mean_minutes"),
              F.bround(F.avg(pupil_col), 1).alias("mean_pupil_msgs"),
@@ -66,10 +71,22 @@ def session_stats(df: DataFrame, seconds_col: str = "session_seconds", pupil_col
     if approx:
         med = minutes(F.percentile_approx(F.col(seconds_col).cast("double"), 0.5, accuracy))
         return df.agg(means[0], med.alias("median_minutes"), *means[1:])
-    median_s = exact_median(df, seconds_col)
-    return df.agg(*means).select(
-        "mean_minutes", minutes(F.lit(median_s).cast("double")).alias("median_minutes"),
-        "mean_pupil_msgs", "mean_tutor_msgs")
+    cols = df.select(F.col(seconds_col).cast("double").alias(seconds_col), pupil_col, tutor_col)
+    cols = cols.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        s = F.col(seconds_col)
+        valid = s.isNotNull() & ~F.isnan(s)
+        row = cols.agg(*means, F.count_if(valid).alias("n"), F.min(F.when(valid, s)).alias("lo"),
+                       F.max(F.when(valid, s)).alias("hi")).first()
+        median_s = exact_median(cols, seconds_col, stats=(row["n"], row["lo"], row["hi"]))
+    finally:
+        cols.unpersist()
+    spark = df.sparkSession
+    return spark.range(1).select(
+        F.lit(row["mean_minutes"]).cast("double").alias("mean_minutes"),
+        minutes(F.lit(median_s).cast("double")).alias("median_minutes"),
+        F.lit(row["mean_pupil_msgs"]).cast("double").alias("mean_pupil_msgs"),
+        F.lit(row["mean_tutor_msgs"]).cast("double").alias("mean_tutor_msgs"))
 
 
 def top_sessions(df: DataFrame, k: int = 20, seconds_col: str = "session_seconds") -> DataFrame:

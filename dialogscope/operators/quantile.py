@@ -7,10 +7,12 @@ narrows the rank down with distributed histograms:
 
 1. one aggregate gives count, min and max;
 2. each pass buckets the still-possible values into ``buckets`` equal-width
-   bins (a grouped count/min/max: at most ``buckets`` small rows reach the
-   driver), and keeps only the bin that holds the wanted rank;
+   bins (a grouped count/min/max, at most ``buckets`` rows), and a running
+   count over that small histogram picks the bin holding the wanted rank —
+   one row reaches the driver;
 3. once the candidate range holds at most ``small`` values (a fixed bound) or
-   a single distinct value, those are fetched and the rank is read off.
+   a single distinct value, those are ranked in one task and the value at the
+   rank is returned.
 
 Each pass removes at least the bins of the range's two extremes, so it always
 terminates; for real-valued data 2-3 passes suffice even at 10^12 rows.
@@ -21,11 +23,11 @@ values for an even count).
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 1 << 16
-DEFAULT_SMALL = 50_000
+DEFAULT_SMALL = 1 << 20  # values ranked in one task at the end (~8 MB)
 
 
 def _values(df: DataFrame, col: str) -> DataFrame:
@@ -36,6 +38,13 @@ def _values(df: DataFrame, col: str) -> DataFrame:
 def exact_kth(df: DataFrame, col: str, k: int, *, buckets: int = DEFAULT_BUCKETS,
               small: int = DEFAULT_SMALL, stats: tuple | None = None) -> float | None:
     """The value of 0-based rank ``k`` among the non-null, non-NaN values."""
+    return _kth_pair(df, col, k, buckets=buckets, small=small, stats=stats)[0]
+
+
+def _kth_pair(df: DataFrame, col: str, k: int, *, buckets: int = DEFAULT_BUCKETS,
+              small: int = DEFAULT_SMALL, stats: tuple | None = None) -> tuple:
+    """Values of ranks ``k`` and ``k + 1``; the second is None when it lies
+    outside the final candidate range (or does not exist)."""
     base = _values(df, col)
     if stats is None:
         row = base.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
@@ -43,16 +52,20 @@ def exact_kth(df: DataFrame, col: str, k: int, *, buckets: int = DEFAULT_BUCKETS
     else:
         n, lo, hi = stats
     if n == 0 or k < 0 or k >= n:
-        return None
+        return None, None
     cond: Column = F.lit(True)
     rank = k  # rank within the current candidate range
     m = n
     while True:
         if lo == hi:
-            return float(lo)
+            return float(lo), (float(lo) if rank + 1 < m else None)
         if m <= small:
-            vals = sorted(r["v"] for r in base.where(cond).collect())
-            return float(vals[rank])
+            # At most ``small`` values remain: rank them in one task and
+            # return the (at most two) rows at the wanted ranks.
+            by_value = Window.orderBy("v")
+            hits = (base.where(cond).withColumn("_rn", F.row_number().over(by_value))
+                    .where(F.col("_rn").between(rank + 1, rank + 2)).orderBy("_rn").collect())
+            return float(hits[0]["v"]), (float(hits[1]["v"]) if len(hits) > 1 else None)
         # Position of v in [lo, hi] as a fraction, times the bucket count.
         # Both sides are scaled by 1/buckets first so hi - lo cannot overflow.
         span = hi / buckets - lo / buckets
@@ -62,43 +75,51 @@ def exact_kth(df: DataFrame, col: str, k: int, *, buckets: int = DEFAULT_BUCKETS
             frac = (F.col("v") - F.lit(lo)) / F.lit(hi - lo)
         bucket = F.least(F.lit(buckets - 1), F.floor(frac * buckets).cast("int"))
         hist = (base.where(cond).groupBy(bucket.alias("b"))
-                .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-                .collect())
-        hist.sort(key=lambda r: r["b"])
-        for r in hist:
-            if rank < r["c"]:
-                if r["c"] == m:  # no progress is impossible unless width degenerates
-                    raise ArithmeticError("histogram refinement made no progress")
-                cond = cond & (bucket == r["b"])
-                lo, hi, m = r["lo"], r["hi"], r["c"]
-                break
-            rank -= r["c"]
-        else:  # pragma: no cover - rank < m always holds
+                .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+        # The histogram has at most ``buckets`` rows: a running count over it
+        # (one small task) picks the bucket holding the rank; one row returns.
+        before = F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)),
+                            F.lit(0))
+        r = (hist.withColumn("before", before)
+             .where((F.col("before") <= rank) & (F.lit(rank) < F.col("before") + F.col("c"))).first())
+        if r is None:  # pragma: no cover - rank < m always holds
             raise AssertionError("rank outside histogram")
+        if r["c"] == m:  # no progress is impossible unless the width degenerates
+            raise ArithmeticError("histogram refinement made no progress")
+        cond = cond & (bucket == r["b"])
+        rank -= r["before"]
+        lo, hi, m = r["lo"], r["hi"], r["c"]
 
 
-def exact_median(df: DataFrame, col: str, **kw) -> float | None:
+def exact_median(df: DataFrame, col: str, stats: tuple | None = None, **kw) -> float | None:
     """Median with interpolation for an even count (as ``median``).
 
-    The one projected column is persisted (memory, spilling to disk) for the
-    few refinement passes, so the source plan — scans and joins — runs once;
-    a lost block is recomputed from its lineage.
+    Without ``stats`` (count, min, max of the valid values) the one projected
+    column is persisted (memory, spilling to disk) for the few refinement
+    passes, so the source plan — scans and joins — runs once; a lost block
+    is recomputed from its lineage.  Callers that already persisted their
+    input and computed the stats pass both.
     """
-    base = _values(df, col).persist(StorageLevel.MEMORY_AND_DISK)
+    own = stats is None
+    base = _values(df, col)
+    if own:
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        row = base.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-        n = row["n"]
+        if own:
+            row = base.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+            stats = (row["n"], row["lo"], row["hi"])
+        n = stats[0]
         if n == 0:
             return None
-        stats = (n, row["lo"], row["hi"])
         k1 = (n - 1) // 2
-        v1 = exact_kth(base, "v", k1, stats=stats, **kw)
+        v1, v2 = _kth_pair(base, "v", k1, stats=stats, **kw)
         if n % 2 == 1:
             return v1
-        # The next rank: v1 again if it repeats, else the smallest larger value.
-        nxt = base.agg(F.count_if(F.col("v") <= F.lit(v1)).alias("le"),
-                       F.min(F.when(F.col("v") > F.lit(v1), F.col("v"))).alias("above")).first()
-        v2 = v1 if nxt["le"] > k1 + 1 else nxt["above"]
+        if v2 is None:
+            # The next rank lies outside the last candidate range: it is the
+            # smallest value above v1.
+            v2 = base.agg(F.min(F.when(F.col("v") > F.lit(v1), F.col("v"))).alias("above")).first()["above"]
         return v1 + (v2 - v1) * 0.5
     finally:
-        base.unpersist()
+        if own:
+            base.unpersist()
