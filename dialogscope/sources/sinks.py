@@ -7,6 +7,8 @@ file), and only the frame's own columns are written.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,13 @@ from .. import constants as K
 from ..config import default_parallelism
 
 
+def export_name(month: str, day: _dt.date | None = None) -> str:
+    """K-1: the download name ``analytics_{month}_{YYYYMMDD}`` (a folder of
+    part files here, named like the dashboard's single file)."""
+    day = day or _dt.date.today()
+    return f"analytics_{month}_{day.strftime('%Y%m%d')}"
+
+
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K-1: CSV with a header row, UTF-8, quotes escaped by doubling."""
     (df.write.mode(mode).option("header", True).option("escape", '"').option("encoding", "UTF-8")
