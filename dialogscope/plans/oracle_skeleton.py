@@ -29,7 +29,7 @@ def _line_rule(line: str) -> str:
         8: "chr(9) || 'action' || chr(9)",
         9: "'   '",
         10: f"'action ' || CAST({n} % 5 AS VARCHAR)",
-        11: f"substring({line}, 1, 12)",
+        11: line,
     }
     whens = " ".join(f"WHEN {n} % 12 = {r} THEN {v}" for r, v in cases.items())
     return f"CASE WHEN {n} = 0 THEN '' {whens} END"
