@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..config import default_parallelism
 
 
 def export_name(month: str, day: _dt.date | None = None) -> str:
@@ -33,15 +32,15 @@ def write_monthly(df: DataFrame, root: str, table: str, month_col: str = "month"
                   fmt: str = "csv", mode: str = "overwrite") -> str:
     """Write one table partitioned by month (``{root}/{table}/month=…``).
 
-    Rows are range-partitioned on (month, row hash) before the write: each
-    task holds one or a few months (few files per folder), and a month that
-    holds a third of all rows is still cut into many similar-sized tasks
-    instead of landing in one.  Partition folders let readers prune months.
+    Rows are rebalanced by month before the write (``rebalance`` hint): a
+    hash shuffle on the month, so each task writes one or a few month
+    folders, and AQE splits a month that holds a third of all rows into
+    advisory-sized tasks instead of leaving it to one (and merges small
+    ones).  Unlike a range repartition it needs no sampling pass over the
+    input.  Partition folders let readers prune months.
     """
     path = f"{root.rstrip('/')}/{table}"
-    n = default_parallelism(df.sparkSession)
-    clustered = df.repartitionByRange(n, F.col(f"`{month_col}`"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    writer = clustered.write.mode(mode).partitionBy(month_col)
+    writer = df.hint("rebalance", f"`{month_col}`").write.mode(mode).partitionBy(month_col)
     if fmt == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     else:
@@ -94,7 +93,7 @@ def write_report_files(report: DataFrame, root: str, by: str = "month") -> str:
     lines in file order, no header row (the file's first line is its banner)."""
     path = f"{root.rstrip('/')}/report"
     lines = report_lines(report, by)
-    (lines.repartition(by).sortWithinPartitions(by, "line_no")
+    (lines.hint("rebalance", f"`{by}`").sortWithinPartitions(by, "line_no")
      .drop("line_no").write.mode("overwrite").partitionBy(by)
      .option("header", False).option("escape", '"').option("quoteAll", False).csv(path))
     return path
