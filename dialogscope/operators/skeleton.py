@@ -31,11 +31,13 @@ scan:
    dialog across partitions by its own order);
 2. a window per (dialog, chunk) computes local running values — each window
    partition is bounded by the chunk size;
-3. one summary row per (dialog, chunk) — the running values at the chunk's
-   last row — is scanned per dialog: at most #chunks rows;
-4. the summaries are joined back on (dialog, chunk); the windowed rows are
-   checkpointed once with their hash partitioning on that key, so only the
-   summaries move.
+3. only dialogs spread over several chunks need more: for them one summary
+   row per (dialog, chunk) — the running values at the chunk's last row — is
+   scanned per dialog (at most #chunks rows) and joined back.  Every other
+   dialog is finished from its local values without any further shuffle.
+   Spanning dialogs are known without a pass: with text cells the block count
+   is on every row; with range chunks only the last id of a chunk that is
+   also the first id of the next can span, read from a per-chunk min/max.
 """
 
 from __future__ import annotations
@@ -113,71 +115,103 @@ def explode_text_blocks(skeletons: DataFrame, id_col: str = "dialog_id", skeleto
 # --- running state (B-3, B-4, B-5, B-8) ---------------------------------------
 
 def block_state(blocks: DataFrame, order: Sequence[str] = ("pos",), id_col: str = "dialog_id",
-                chunk: str | None = None, chunk_rows: int = CHUNK_ROWS,
-                range_partitions: int | None = None) -> DataFrame:
+                chunk_rows: int = CHUNK_ROWS, range_partitions: int | None = None,
+                n_col: str | None = None) -> DataFrame:
     """Running skeleton state for every block row.
 
     ``blocks`` holds one row per block with ``id_col``, the ``order`` columns
     and ``block``.  Chunks: with ``order == ("pos",)`` (dense positions),
     ``pos div chunk_rows``; otherwise range partitions of (id, *order).
+    ``n_col`` (dense positions only) names a per-row column holding the
+    dialog's block count, which tells single-chunk dialogs apart for free.
 
     Adds: pos (when absent), n_blocks, block_type, label, depth, cum_depth,
     step, is_jump, x, y.
     """
     df = with_block_flags(blocks)
     order = list(order)
-    if chunk is None:
-        if order == ["pos"]:
-            df = df.withColumn("_chunk", F.floor(F.col("pos") / chunk_rows).cast("bigint"))
-        else:
-            # Range partitions are balanced by sampling; the windowed rows
-            # below are checkpointed once, so every later branch sees the same
-            # chunk assignment.
-            n = range_partitions or default_parallelism(df.sparkSession)
-            df = (df.repartitionByRange(n, id_col, *order)
-                  .withColumn("_chunk", F.spark_partition_id().cast("bigint")))
-        chunk = "_chunk"
+    spark = df.sparkSession
+    by_pos = order == ["pos"]
+    if by_pos:
+        df = df.withColumn("_chunk", F.floor(F.col("pos") / chunk_rows).cast("bigint"))
+    else:
+        n = range_partitions or default_parallelism(spark)
+        df = (df.repartitionByRange(n, id_col, *order)
+              .withColumn("_chunk", F.spark_partition_id().cast("bigint")))
+    chunk = "_chunk"
     w = Window.partitionBy(id_col, chunk).orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = (df.withColumn("_lrn", F.row_number().over(w))
              .withColumn("_lact", F.sum("deeper").over(run))
              .withColumn("_linfo", F.last("info_num", ignorenulls=True).over(run))
              .withColumn("_lnext_action", F.lead("is_action").over(w))
-             .withColumn("_first_action", F.first("is_action").over(run)))
+             .withColumn("_first_action", F.first("is_action").over(run))
+             .withColumn("_chunk_n", F.count(F.lit(1)).over(Window.partitionBy(id_col, chunk))))
     # _lact never decreases, so its running max over reset rows is its value at
     # the latest reset.
     local = local.withColumn("_lreset", F.max(F.when(F.col("is_reset"), F.col("_lact"))).over(run))
-    # The windowed rows feed two branches (rows and chunk summaries).  A
-    # reliable checkpoint in the shared checkpoint folder computes them once
-    # (one shuffle), keeps their (dialog, chunk) hash partitioning for the
-    # join below, survives executor loss, and pins the range-chunk assignment.
-    scratch_dir(df.sparkSession)
+    # The windowed rows feed the branches below.  A reliable checkpoint in the
+    # shared checkpoint folder computes them once (one shuffle), survives
+    # executor loss, and pins the range-chunk assignment (range bounds come
+    # from sampling, which must not differ between branches).
+    scratch_dir(spark)
     local = local.checkpoint(eager=True)
 
+    # Only dialogs spread over several chunks need offsets from earlier chunks.
+    if by_pos:
+        spans = (F.col(n_col) > chunk_rows) if n_col else F.lit(True)
+    else:
+        # Range chunks hold contiguous key ranges, so a dialog can only cross
+        # from the last id of one chunk to the first id of the next: at most
+        # one candidate per chunk boundary, read from a per-chunk min/max
+        # (one row per range partition — a bound fixed by configuration).
+        edges = sorted(local.groupBy(chunk).agg(F.min(id_col).alias("first"), F.max(id_col).alias("last"))
+                       .collect(), key=lambda r: r[chunk])
+        spanning = sorted({a["last"] for a, b in zip(edges, edges[1:]) if a["last"] == b["first"]})
+        spans = F.col(id_col).isin(spanning) if spanning else F.lit(False)
+
+    single = local.where(~spans).select(
+        "*", F.lit(0).cast("bigint").alias("off_n"), F.lit(0).cast("bigint").alias("off_act"),
+        F.col("_chunk_n").alias("n_blocks"), F.lit(None).cast("boolean").alias("_next_first_action"),
+        F.lit(None).cast("bigint").alias("in_reset"), F.lit(None).cast("bigint").alias("in_info"))
+
+    multi = local.where(spans)
     # Chunk summaries are the running values at each chunk's LAST row: a
-    # narrow filter of the checkpointed rows, one row per chunk.
-    summ = (local.where(F.col("_lnext_action").isNull())
+    # narrow filter, one row per chunk of a spanning dialog.
+    summ = (multi.where(F.col("_lnext_action").isNull())
             .select(id_col, chunk, F.col("_lrn").alias("c_n"), F.col("_lact").alias("c_act"),
                     F.col("_lreset").alias("c_reset"), F.col("_linfo").alias("c_info"),
-                    F.col("_first_action").alias("c_first_action"),
-                    F.col("block").alias("c_last_block"), F.col("block_type").alias("c_last_type")))
+                    F.col("_first_action").alias("c_first_action")))
     wc = Window.partitionBy(id_col).orderBy(chunk)
     prev = wc.rowsBetween(Window.unboundedPreceding, -1)
-    summ = (summ.withColumn("off_n", F.coalesce(F.sum("c_n").over(prev), F.lit(0)))
-            .withColumn("off_act", F.coalesce(F.sum("c_act").over(prev), F.lit(0)))
-            .withColumn("n_blocks", F.sum("c_n").over(Window.partitionBy(id_col)))
+    summ = (summ.withColumn("off_n", F.coalesce(F.sum("c_n").over(prev), F.lit(0)).cast("bigint"))
+            .withColumn("off_act", F.coalesce(F.sum("c_act").over(prev), F.lit(0)).cast("bigint"))
+            .withColumn("n_blocks", F.sum("c_n").over(Window.partitionBy(id_col)).cast("bigint"))
             .withColumn("_next_first_action", F.lead("c_first_action").over(wc))
             .withColumn("_g_reset", F.col("off_act") + F.col("c_reset")))
-    summ = (summ.withColumn("in_reset", F.last("_g_reset", ignorenulls=True).over(prev))
-            .withColumn("in_info", F.last("c_info", ignorenulls=True).over(prev))
+    summ = (summ.withColumn("in_reset", F.last("_g_reset", ignorenulls=True).over(prev).cast("bigint"))
+            .withColumn("in_info", F.last("c_info", ignorenulls=True).over(prev).cast("bigint"))
             .select(id_col, chunk, "off_n", "off_act", "n_blocks", "_next_first_action", "in_reset",
                     "in_info"))
+    spread = multi.join(summ, [id_col, chunk])
+    out = _finish(single).unionByName(_finish(spread))
+    if "pos" in blocks.columns:
+        out = out.drop("_pos")
+    else:
+        out = out.withColumnRenamed("_pos", "pos")
+    return (out.withColumn("x", F.col("pos"))
+            .withColumn("y", -F.col("depth"))
+            .drop("_lrn", "_lact", "_linfo", "_lnext_action", "_first_action", "_lreset", "_chunk_n",
+                  "off_n", "off_act", "_next_first_action", "in_reset", "in_info", "info_num", "deeper",
+                  "is_reset", "is_action", chunk, *([n_col] if n_col else [])))
 
-    j = local.join(summ, [id_col, chunk])
+
+def _finish(rows: DataFrame) -> DataFrame:
+    """Global values from local running values plus the chunk's offsets."""
     cum = (F.col("off_act") + F.col("_lact")).cast("bigint")
     last_reset = F.coalesce(F.col("off_act") + F.col("_lreset"), F.col("in_reset"), F.lit(0))
     nxt = F.coalesce(F.col("_lnext_action"), F.col("_next_first_action"))
-    out = j.select(
+    return rows.select(
         "*",
         (F.col("off_n") + F.col("_lrn") - 1).cast("bigint").alias("_pos"),
         cum.alias("cum_depth"),
@@ -186,15 +220,6 @@ def block_state(blocks: DataFrame, order: Sequence[str] = ("pos",), id_col: str
         (F.col("is_action") & F.coalesce(~nxt, F.lit(False))).alias("is_jump"),
         block_label(F.col("block"), F.col("block_type")).alias("label"),
     )
-    if "pos" not in blocks.columns:
-        out = out.withColumnRenamed("_pos", "pos")
-    else:
-        out = out.drop("_pos")
-    return (out.withColumn("x", F.col("pos"))
-            .withColumn("y", -F.col("depth"))
-            .drop("_lrn", "_lact", "_linfo", "_lnext_action", "_first_action", "_lreset", "off_n", "off_act",
-                  "_next_first_action", "in_reset", "in_info", "info_num", "deeper", "is_reset",
-                  "is_action", chunk))
 
 
 BLOCK_COLUMNS = ["dialog_id", "pos", "n_blocks", "block", "block_type", "label", "depth", "cum_depth",
@@ -204,8 +229,8 @@ BLOCK_COLUMNS = ["dialog_id", "pos", "n_blocks", "block", "block_type", "label",
 def parse_skeletons(skeletons: DataFrame, id_col: str = "dialog_id", skeleton_col: str = "skeleton",
                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """B-1 … B-6 over a table of skeleton text cells."""
-    blocks = explode_text_blocks(skeletons, id_col, skeleton_col).drop("n_blocks")
-    return block_state(blocks, ("pos",), id_col, chunk_rows=chunk_rows)
+    blocks = explode_text_blocks(skeletons, id_col, skeleton_col).withColumnRenamed("n_blocks", "_n_text")
+    return block_state(blocks, ("pos",), id_col, chunk_rows=chunk_rows, n_col="_n_text")
 
 
 def parse_block_stream(blocks: DataFrame, order: Sequence[str], id_col: str = "dialog_id",
