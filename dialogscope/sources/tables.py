@@ -66,9 +66,14 @@ def _exists(path: str) -> bool:
     return os.path.exists(path.replace("file:", ""))
 
 
+# Tables whose cells span lines (quoted dialog text): read with multiLine,
+# which makes each file one task.  The others stay splittable.
+MULTILINE_TABLES = {"skeleton"}
+
+
 def read_table(spark: SparkSession, root: str, table: str, months: Sequence[str] | None = None,
                schema: T.StructType | None = None, partitioned: bool = False,
-               month_dir: str = "month") -> DataFrame:
+               month_dir: str = "month", multi_line: bool | None = None) -> DataFrame:
     """S-1/S-2/S-6: the rows of ``table`` for ``months`` (None = every month
     present) with a ``month`` column holding the month prefix.
 
@@ -78,9 +83,15 @@ def read_table(spark: SparkSession, root: str, table: str, months: Sequence[str]
     folder layout written by ``sinks.write_monthly`` (pruned to the asked
     months); the partition column is declared in the schema as text, so
     values like ``1995-01`` are never re-typed by partition inference.
+
+    ``multi_line`` (default: only for tables in ``MULTILINE_TABLES``) allows
+    quoted cells with line breaks; it makes every file a single task, so
+    line-free tables are read splittable (many tasks per large file).
     """
     schema = schema or SCHEMAS.get(table)
-    reader = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    if multi_line is None:
+        multi_line = table in MULTILINE_TABLES
+    reader = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
               .option("encoding", "UTF-8").option("mode", "PERMISSIVE"))
     if partitioned:
         base = f"{root.rstrip('/')}/{table}"

@@ -88,10 +88,11 @@ def test_monthly_write_and_partitioned_read(spark):
     schema = "dialog_id string, note string"
     from pyspark.sql.types import _parse_datatype_string
     back = tables.read_table(spark, root, "notes", ["1995-02"], schema=_parse_datatype_string(schema),
-                             partitioned=True)
+                             partitioned=True, multi_line=True)
     assert sorted((r.dialog_id, r.note, r.month) for r in back.collect()) == [("b", None, "1995-02"),
                                                                               ("c", "x", "1995-02")]
-    every = tables.read_table(spark, root, "notes", None, schema=_parse_datatype_string(schema), partitioned=True)
+    every = tables.read_table(spark, root, "notes", None, schema=_parse_datatype_string(schema), partitioned=True,
+                              multi_line=True)
     assert {r.dialog_id: r.note for r in every.collect()}["a"] == 'say "hi", ok\nnext'
 
 
