@@ -163,6 +163,16 @@ def canonical_dialogs(df: DataFrame) -> DataFrame:
     return out
 
 
+def canonical_skeletons(df: DataFrame) -> DataFrame:
+    """Source skeleton table → dialog_id, skeleton, dialog_text, tag,
+    dialog_grade, dialog_role (absent optional columns stay absent; an absent
+    skeleton column becomes ``''``)."""
+    out = normalise(df, SKELETON_ALIASES, rename={K.SRC_DIALOG_TEXT: "dialog_text", K.SRC_TAG: "tag"})
+    if "dialog_grade" in out.columns:
+        out = out.withColumn("dialog_grade", F.col("dialog_grade").try_cast("double").cast("bigint"))
+    return out
+
+
 def canonical_classes(df: DataFrame) -> DataFrame:
     out = df
     for src, canon in K.CLASS_COLUMNS.items():

@@ -124,3 +124,20 @@ def test_canonical_dialogs_types(spark):
     assert str(rows["3"].activity_dt) == "2026-01-06 00:00:00"
     assert dict(tables.canonical_dialogs(df).dtypes)["dialog_grade"] == "bigint"
     assert F is not None
+
+
+def test_skeleton_table_with_multiline_cells(spark, tmp_path):
+    from dialogscope.operators import skeleton
+    rows = [["dialog_id", "status_only", K.SRC_DIALOG_TEXT, K.SRC_TAG, "dialog_grade"],
+            ["x1", "plan\ninfo 2\naction", "hello\nworld\n\"quoted\", text", "t1", "7.0"],
+            ["x2", "", "", "", ""]]
+    with open(tmp_path / "jan_skeleton.csv", "w", encoding="utf-8-sig", newline="") as f:
+        csv.writer(f).writerows(rows)
+    df = tables.canonical_skeletons(tables.read_table(spark, str(tmp_path), "skeleton", ["Январь"]))
+    got = {r.dialog_id: r for r in df.collect()}
+    assert got["x1"].skeleton == "plan\ninfo 2\naction" and got["x1"].dialog_grade == 7
+    assert got["x1"].dialog_text.endswith('"quoted", text') and got["x1"].tag == "t1"
+    state = skeleton.parse_skeletons(df).orderBy("pos").collect()
+    assert [(r.block_type, r.depth, r.step) for r in state] == [("plan", 0, 0), ("info", 0, 2), ("action", 1, 2)]
+    ex = skeleton.block_excerpts(df).orderBy("pos").collect()
+    assert ex[0].excerpt == 'hello\nworld\n"quoted", text'
