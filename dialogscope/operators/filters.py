@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import as_date, as_text
+from ..functions.columns import as_text
 
 
 def require(df: DataFrame, *names: str) -> None:
@@ -156,8 +156,3 @@ def skeletons_for(skeletons: DataFrame, dialogs: DataFrame, empty_means_all: boo
     if empty_means_all and ids.isEmpty():
         return skeletons
     return skeletons.join(ids, on=id_col, how="left_semi")
-
-
-def with_date(df: DataFrame, dt_col: str = "activity_dt") -> DataFrame:
-    """P-3 helper column used by the export (the dashboard leaks it too)."""
-    return df.withColumn("date", as_date(dt_col))

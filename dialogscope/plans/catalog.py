@@ -184,6 +184,14 @@ def q_cmp_conversion(spark, sf):
     return metrics.monthly_conversion(_dialogs(spark, sf, "month", "status"))
 
 
+@query("cmp_conversion_filtered")
+def q_cmp_conversion_filtered(spark, sf):
+    """The comparison view with the sidebar's grade and role applied — and,
+    as in the dashboard, never its period."""
+    d = _dialogs(spark, sf, "month", "status", "dialog_grade", "dialog_role", "activity_dt")
+    return metrics.monthly_conversion(compare.comparison_filter(d, grade=GRADE, role=ROLE))
+
+
 @query("cmp_daily")
 def q_cmp_daily(spark, sf):
     return metrics.monthly_daily_counts(_dialogs(spark, sf, "month", "activity_dt"))

@@ -245,6 +245,11 @@ ORACLE: dict[str, str] = {
         f"SELECT month, total, success, {pct('success', 'total')} AS conversion_pct FROM ("
         f"SELECT month, count(*) AS total, count(*) FILTER (WHERE status = {lit(K.TAG_SUCCESS)}) AS success "
         f"FROM dialogs WHERE month IS NOT NULL GROUP BY month)"),
+    "cmp_conversion_filtered": with_dialogs(
+        f"SELECT month, total, success, {pct('success', 'total')} AS conversion_pct FROM ("
+        f"SELECT month, count(*) AS total, count(*) FILTER (WHERE status = {lit(K.TAG_SUCCESS)}) AS success "
+        f"FROM dialogs WHERE month IS NOT NULL AND CAST(dialog_grade AS DOUBLE) = {float(C.GRADE)} "
+        f"AND dialog_role = {lit(C.ROLE)} GROUP BY month)"),
     "cmp_daily": with_dialogs(
         "SELECT month, CAST(activity_dt AS DATE) AS date, count(*) AS n_dialogs FROM dialogs "
         "WHERE month IS NOT NULL AND activity_dt IS NOT NULL GROUP BY 1, 2"),

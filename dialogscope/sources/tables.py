@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,7 +179,3 @@ def canonical_classes(df: DataFrame) -> DataFrame:
         if src in out.columns:
             out = out.withColumnRenamed(src, canon)
     return out
-
-
-def columns_present(df: DataFrame, names: Iterable[str]) -> list[str]:
-    return [n for n in names if n in df.columns]
