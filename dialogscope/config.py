@@ -54,16 +54,23 @@ def build_session(master: str | None = None, app: str = "dialogscope",
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    runs and tests) a fresh folder under the system temp dir is created and
-    registered as the checkpoint dir, so ``checkpoint()`` works too.
+    Uses the checkpoint folder the cluster names (``spark.checkpoint.dir``);
+    only when none is set (local runs and tests) a fresh folder under the
+    system temp dir is created and registered as the checkpoint dir, so
+    ``checkpoint()`` works too.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # e.g. a Spark Connect session: no SparkContext here
+        sc = None
+    current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="dialogscope-ckpt-")
-        sc.setCheckpointDir(current)
-    elif not sc.getCheckpointDir():
+        if sc is not None:
+            sc.setCheckpointDir(current)
+        else:
+            spark.conf.set("spark.checkpoint.dir", current)
+    elif sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return current.rstrip("/")
 
