@@ -26,9 +26,11 @@ blocks into ONE task.  ``block_state`` therefore runs a two-level prefix
 scan:
 
 1. rows are cut into chunks of a bounded size — ``pos div chunk_rows`` when
-   positions are known (text cells), or range partitions of the ordering key
-   when they are not (event streams: ``repartitionByRange`` splits a hot
-   dialog across partitions by its own order);
+   positions are known (text cells); for event streams one chunk per dialog
+   when a cheap pre-aggregate shows no dialog longer than ``chunk_rows``,
+   else range partitions of the ordering key (``repartitionByRange`` splits
+   a hot dialog across partitions by its own order), pinned by a reliable
+   checkpoint;
 2. a window per (dialog, chunk) computes local running values — each window
    partition is bounded by the chunk size;
 3. only dialogs spread over several chunks need more: for them one summary
@@ -36,8 +38,10 @@ scan:
    scanned per dialog (at most #chunks rows) and joined back.  Every other
    dialog is finished from its local values without any further shuffle.
    Spanning dialogs are known without a pass: with text cells the block count
-   is on every row; with range chunks only the last id of a chunk that is
-   also the first id of the next can span, read from a per-chunk min/max.
+   is on every row (and, being constant per dialog, part of the window key,
+   so the split into the two branches is pushed below the shuffle); with
+   range chunks only the last id of a chunk that is also the first id of the
+   next can span, read from a per-chunk min/max.
 """
 
 from __future__ import annotations
@@ -121,7 +125,8 @@ def block_state(blocks: DataFrame, order: Sequence[str] = ("pos",), id_col: str
 
     ``blocks`` holds one row per block with ``id_col``, the ``order`` columns
     and ``block``.  Chunks: with ``order == ("pos",)`` (dense positions),
-    ``pos div chunk_rows``; otherwise range partitions of (id, *order).
+    ``pos div chunk_rows``; otherwise range partitions of (id, *order), or a
+    single chunk per dialog when no dialog is longer than ``chunk_rows``.
     ``n_col`` (dense positions only) names a per-row column holding the
     dialog's block count, which tells single-chunk dialogs apart for free.
 
@@ -131,44 +136,46 @@ def block_state(blocks: DataFrame, order: Sequence[str] = ("pos",), id_col: str
     df = with_block_flags(blocks)
     order = list(order)
     spark = df.sparkSession
-    by_pos = order == ["pos"]
-    if by_pos:
+    if order == ["pos"]:
+        # Text cells: chunks by position.  The block count is constant per
+        # dialog, so adding it to the window keys changes no partition but
+        # lets Catalyst push the "one chunk / several chunks" filters below
+        # the windows and the shuffle: each branch moves only its own rows.
         df = df.withColumn("_chunk", F.floor(F.col("pos") / chunk_rows).cast("bigint"))
-    else:
-        n = range_partitions or default_parallelism(spark)
-        df = (df.repartitionByRange(n, id_col, *order)
-              .withColumn("_chunk", F.spark_partition_id().cast("bigint")))
-    chunk = "_chunk"
-    w = Window.partitionBy(id_col, chunk).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = (df.withColumn("_lrn", F.row_number().over(w))
-             .withColumn("_lact", F.sum("deeper").over(run))
-             .withColumn("_linfo", F.last("info_num", ignorenulls=True).over(run))
-             .withColumn("_lnext_action", F.lead("is_action").over(w))
-             .withColumn("_first_action", F.first("is_action").over(run))
-             .withColumn("_chunk_n", F.count(F.lit(1)).over(Window.partitionBy(id_col, chunk))))
-    # _lact never decreases, so its running max over reset rows is its value at
-    # the latest reset.
-    local = local.withColumn("_lreset", F.max(F.when(F.col("is_reset"), F.col("_lact"))).over(run))
-    # The windowed rows feed the branches below.  A reliable checkpoint in the
-    # shared checkpoint folder computes them once (one shuffle), survives
-    # executor loss, and pins the range-chunk assignment (range bounds come
-    # from sampling, which must not differ between branches).
-    scratch_dir(spark)
-    local = local.checkpoint(eager=True)
-
-    # Only dialogs spread over several chunks need offsets from earlier chunks.
-    if by_pos:
+        keys = [id_col, "_chunk"] + ([n_col] if n_col else [])
+        local = _local_windows(df, keys, order)
         spans = (F.col(n_col) > chunk_rows) if n_col else F.lit(True)
     else:
-        # Range chunks hold contiguous key ranges, so a dialog can only cross
-        # from the last id of one chunk to the first id of the next: at most
-        # one candidate per chunk boundary, read from a per-chunk min/max
-        # (one row per range partition — a bound fixed by configuration).
-        edges = sorted(local.groupBy(chunk).agg(F.min(id_col).alias("first"), F.max(id_col).alias("last"))
-                       .collect(), key=lambda r: r[chunk])
-        spanning = sorted({a["last"] for a, b in zip(edges, edges[1:]) if a["last"] == b["first"]})
-        spans = F.col(id_col).isin(spanning) if spanning else F.lit(False)
+        # Event streams: one cheap pre-aggregate (a count per dialog, partial
+        # aggregation, one number to the driver) decides the plan.
+        longest = (df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+                   .agg(F.max("n").alias("m")).first()["m"]) or 0
+        if longest <= chunk_rows:
+            # No dialog is longer than a chunk: a window per dialog is bounded.
+            df = df.withColumn("_chunk", F.lit(0).cast("bigint"))
+            local = _local_windows(df, [id_col, "_chunk"], order)
+            spans = F.lit(False)
+        else:
+            # Some dialog is too long for one task: cut every dialog along
+            # range partitions of its own order.  Range bounds come from
+            # sampling, so the chunk ids are pinned by a reliable checkpoint
+            # (shared checkpoint folder, survives executor loss) before the
+            # row and summary branches read them.
+            n = range_partitions or default_parallelism(spark)
+            df = (df.repartitionByRange(n, id_col, *order)
+                  .withColumn("_chunk", F.spark_partition_id().cast("bigint")))
+            scratch_dir(spark)
+            local = _local_windows(df, [id_col, "_chunk"], order).checkpoint(eager=True)
+            # Range chunks hold contiguous key ranges, so a dialog can only
+            # cross from the last id of one chunk to the first id of the next:
+            # at most one candidate per boundary, from a per-chunk min/max
+            # (one row per range partition — a bound fixed by configuration).
+            edges = sorted(local.groupBy("_chunk").agg(F.min(id_col).alias("first"),
+                                                       F.max(id_col).alias("last")).collect(),
+                           key=lambda r: r["_chunk"])
+            spanning = sorted({a["last"] for a, b in zip(edges, edges[1:]) if a["last"] == b["first"]})
+            spans = F.col(id_col).isin(spanning) if spanning else F.lit(False)
+    chunk = "_chunk"
 
     single = local.where(~spans).select(
         "*", F.lit(0).cast("bigint").alias("off_n"), F.lit(0).cast("bigint").alias("off_act"),
@@ -206,6 +213,21 @@ def block_state(blocks: DataFrame, order: Sequence[str] = ("pos",), id_col: str
                   "is_reset", "is_action", chunk, *([n_col] if n_col else [])))
 
 
+def _local_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Running values inside each window partition ``keys`` (one chunk)."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = (df.withColumn("_lrn", F.row_number().over(w))
+             .withColumn("_lact", F.sum("deeper").over(run))
+             .withColumn("_linfo", F.last("info_num", ignorenulls=True).over(run))
+             .withColumn("_lnext_action", F.lead("is_action").over(w))
+             .withColumn("_first_action", F.first("is_action").over(run))
+             .withColumn("_chunk_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))))
+    # _lact never decreases, so its running max over reset rows is its value at
+    # the latest reset.
+    return local.withColumn("_lreset", F.max(F.when(F.col("is_reset"), F.col("_lact"))).over(run))
+
+
 def _finish(rows: DataFrame) -> DataFrame:
     """Global values from local running values plus the chunk's offsets."""
     cum = (F.col("off_act") + F.col("_lact")).cast("bigint")
@@ -234,9 +256,9 @@ def parse_skeletons(skeletons: DataFrame, id_col: str = "dialog_id", skeleton_co
 
 
 def parse_block_stream(blocks: DataFrame, order: Sequence[str], id_col: str = "dialog_id",
-                       range_partitions: int | None = None) -> DataFrame:
+                       range_partitions: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """B-2 … B-6 over block rows that carry an ordering key but no position."""
-    return block_state(blocks, order, id_col, range_partitions=range_partitions)
+    return block_state(blocks, order, id_col, chunk_rows=chunk_rows, range_partitions=range_partitions)
 
 
 def with_labels(state: DataFrame) -> DataFrame:

@@ -94,7 +94,8 @@ def test_text_skeletons_match_walk(spark, chunk_rows):
         assert (r.x, r.y) == (r.pos, -r.depth)
 
 
-def test_event_stream_with_hot_dialog(spark):
+@pytest.mark.parametrize("chunk_rows", [50, 1 << 14])  # range chunks / one chunk per dialog
+def test_event_stream_with_hot_dialog(spark, chunk_rows):
     rnd = random.Random(11)
     base = dt.datetime(2024, 1, 1)
     rows, per = [], {}
@@ -108,7 +109,7 @@ def test_event_stream_with_hot_dialog(spark):
             rows.append((f"u{d}", ts, eid, b))
             per.setdefault(f"u{d}", []).append((ts, eid, b))
     df = spark.createDataFrame(rows, "dialog_id string, ts timestamp_ntz, event_id long, block string")
-    got = skeleton.parse_block_stream(df, ("ts", "event_id"), range_partitions=7).collect()
+    got = skeleton.parse_block_stream(df, ("ts", "event_id"), range_partitions=7, chunk_rows=chunk_rows).collect()
     assert len(got) == len(rows)
     exp = {}
     for did, evs in per.items():
