@@ -77,12 +77,19 @@ def read_table(spark: SparkSession, root: str, table: str, months: Sequence[str]
     """S-1/S-2/S-6: the rows of ``table`` for ``months`` (None = every month
     present) with a ``month`` column holding the month prefix.
 
-    Missing month files are skipped (S-2: a missing file is an empty table and
-    does not affect other tables); with no file at all an empty frame of the
-    schema is returned.  ``partitioned=True`` reads the ``{month_dir}=…``
-    folder layout written by ``sinks.write_monthly`` (pruned to the asked
-    months); the partition column is declared in the schema as text, so
-    values like ``1995-01`` are never re-typed by partition inference.
+    Columns are matched to ``schema`` BY NAME from each file's header (the
+    files' column order does not matter; values that do not parse become
+    null; columns the schema does not know are kept as text).  Missing month
+    files are skipped (S-2: a missing file is an empty table and does not
+    affect other tables); with no file at all an empty frame of the schema is
+    returned.
+
+    Flat source files (``{prefix}_{table}.csv``) may differ in their columns
+    from month to month, so each month is its own scan and the months are
+    unioned by column name, missing columns null (U-1) — a handful of lazy
+    scans.  ``partitioned=True`` reads the uniform ``{month_dir}=…`` folder
+    layout written by ``sinks.write_monthly`` with ONE multi-path scan (pruned
+    to the asked months).
 
     ``multi_line`` (default: only for tables in ``MULTILINE_TABLES``) allows
     quoted cells with line breaks; it makes every file a single task, so
@@ -100,25 +107,38 @@ def read_table(spark: SparkSession, root: str, table: str, months: Sequence[str]
         else:
             paths = [f"{base}/{month_dir}={month_prefix(m)}" for m in months]
             paths = [p for p in paths if _exists(p)]
-        reader = reader.option("basePath", base)
-        if schema is not None:
-            reader = reader.schema(T.StructType(list(schema.fields) + [T.StructField(month_dir, T.StringType())]))
-        month_col = F.col(f"`{month_dir}`")
-    else:
-        prefixes = [month_prefix(m) for m in (months or list(K.MONTH_PREFIX))]
-        paths = [f"{root.rstrip('/')}/{p}_{table}.csv" for p in prefixes]
-        paths = [p for p in paths if _exists(p)]
-        if schema is not None:
-            reader = reader.schema(schema)
-        # The month comes from the file name: one scan over all files.
-        month_col = F.regexp_extract(F.input_file_name(), r"([a-z]{3})_" + table + r"\.csv$", 1)
-    if not paths:
-        empty_schema = T.StructType(list((schema or T.StructType()).fields) + [T.StructField("month", T.StringType())])
-        return spark.createDataFrame([], empty_schema)
-    df = reader.csv(paths).withColumn("_month", month_col)
-    if month_dir in df.columns:
-        df = df.drop(month_dir)
-    return df.withColumnRenamed("_month", "month")
+        if not paths:
+            return _empty(spark, schema)
+        df = reader.option("basePath", base).csv(paths)
+        return _typed(df, schema).withColumn("month", F.col(f"`{month_dir}`").cast("string")) \
+            .drop(*([month_dir] if month_dir != "month" else []))
+    frames = {}
+    for m in (months or list(K.MONTH_PREFIX)):
+        prefix = month_prefix(m)
+        path = f"{root.rstrip('/')}/{prefix}_{table}.csv"
+        if _exists(path):
+            frames[prefix] = _typed(reader.csv(path), schema)
+    if not frames:
+        return _empty(spark, schema)
+    out = None
+    for prefix, df in frames.items():
+        df = df.withColumn("month", F.lit(prefix))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def _typed(df: DataFrame, schema: T.StructType | None) -> DataFrame:
+    """Cast the schema's columns by name (unparseable → null), keep the rest."""
+    if schema is None:
+        return df
+    known = {f.name: f.dataType for f in schema.fields}
+    return df.select(*[F.col(f"`{c}`").try_cast(known[c]).alias(c) if c in known else F.col(f"`{c}`")
+                       for c in df.columns])
+
+
+def _empty(spark: SparkSession, schema: T.StructType | None) -> DataFrame:
+    fields = list((schema or T.StructType()).fields) + [T.StructField("month", T.StringType())]
+    return spark.createDataFrame([], T.StructType(fields))
 
 
 def normalise(df: DataFrame, aliases: Mapping[str, Sequence[str]] | None = None,

@@ -141,3 +141,16 @@ def test_skeleton_table_with_multiline_cells(spark, tmp_path):
     assert [(r.block_type, r.depth, r.step) for r in state] == [("plan", 0, 0), ("info", 0, 2), ("action", 1, 2)]
     ex = skeleton.block_excerpts(df).orderBy("pos").collect()
     assert ex[0].excerpt == 'hello\nworld\n"quoted", text'
+
+
+def test_read_table_matches_columns_by_name_per_month(spark, tmp_path):
+    with open(tmp_path / "jan_chart_data.csv", "w", encoding="utf-8", newline="") as f:
+        csv.writer(f).writerows([["status_only", "dialog_id", "dialog_grade"], [K.TAG_SUCCESS, "a", "7.0"]])
+    with open(tmp_path / "feb_chart_data.csv", "w", encoding="utf-8", newline="") as f:
+        csv.writer(f).writerows([["dialog_id", "product_slug", "dialog_grade"], ["b", "p1", "oops"]])
+    df = tables.canonical_dialogs(tables.read_table(spark, str(tmp_path), "chart_data", ["Январь", "Февраль"]))
+    rows = {r.dialog_id: r for r in df.collect()}
+    assert (rows["a"].status, rows["a"].dialog_grade, rows["a"].month, rows["a"].product_slug) == \
+        (K.TAG_SUCCESS, 7, "jan", None)
+    assert (rows["b"].status, rows["b"].dialog_grade, rows["b"].product_slug, rows["b"].month) == \
+        (None, None, "p1", "feb")
