@@ -5,7 +5,6 @@ import csv
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from dialogscope import constants as K
 from dialogscope.config import scratch_path
@@ -123,7 +122,6 @@ def test_canonical_dialogs_types(spark):
     assert rows["1"].dialog_grade == 7 and rows["2"].activity_dt is None
     assert str(rows["3"].activity_dt) == "2026-01-06 00:00:00"
     assert dict(tables.canonical_dialogs(df).dtypes)["dialog_grade"] == "bigint"
-    assert F is not None
 
 
 def test_skeleton_table_with_multiline_cells(spark, tmp_path):
