@@ -261,16 +261,19 @@ def parse_block_stream(blocks: DataFrame, order: Sequence[str], id_col: str = "d
     return block_state(blocks, order, id_col, chunk_rows=chunk_rows, range_partitions=range_partitions)
 
 
-def with_labels(state: DataFrame) -> DataFrame:
+def label_columns() -> list[Column]:
     """B-7: ``"{i+1}. {label}"``, the menu label ``"{i+1}. {block} ({type})"``
     and the ordinal ``"{i+1} из {n}"`` shown in the block details."""
     i1 = (F.col("pos") + 1).cast("string")
-    return state.select(
-        "dialog_id", "pos",
-        F.concat(i1, F.lit(". "), F.col("label")).alias("point_label"),
-        F.concat(i1, F.lit(". "), F.col("block"), F.lit(" ("), F.col("block_type"), F.lit(")"))
-        .alias("menu_label"),
-        F.concat(i1, F.lit(" из "), F.col("n_blocks").cast("string")).alias("ordinal"))
+    return [F.concat(i1, F.lit(". "), F.col("label")).alias("point_label"),
+            F.concat(i1, F.lit(". "), F.col("block"), F.lit(" ("), F.col("block_type"), F.lit(")"))
+            .alias("menu_label"),
+            F.concat(i1, F.lit(" из "), F.col("n_blocks").cast("string")).alias("ordinal")]
+
+
+def with_labels(state: DataFrame) -> DataFrame:
+    """B-7 labels of every block: dialog_id, pos and the three label texts."""
+    return state.select("dialog_id", "pos", *label_columns())
 
 
 def jumps(state: DataFrame) -> DataFrame:
