@@ -20,7 +20,7 @@ def board(spark):
         ("a", d(2026, 1, 5), "jan", 7, "pupil", "p1", K.TAG_SUCCESS, K.POST_SOLVED, 600.0, 3, 4),
         ("b", d(2026, 1, 6), "jan", 7, "pupil", "p1", K.TAG_EMPTY, None, 60.0, 1, 1),
         ("c", d(2026, 1, 6), "jan", 8, "pupil", "p2", K.TAG_SUCCESS, K.POST_AFTER_PLAN, 1200.0, 5, 6),
-        ("d", d(2026, 2, 1), "feb", 7, "teacher", "p1", K.TAG_SUCCESS, None, 30.0, None, None),
+        ("d", d(2026, 2, 1), "feb", 7, "pupil", "p1", K.TAG_SUCCESS, None, 30.0, None, None),
     ], DIALOGS)
     skeletons = spark.createDataFrame([("a", "plan\naction\nbossaction", "x\ny"), ("c", "info 3", "z"),
                                        ("zz", "plan", "q")], "dialog_id string, skeleton string, dialog_text string")
@@ -49,8 +49,8 @@ def test_tabs(board):
     assert {r.subject: r.pupils for r in board.subject_shares().collect()} == {"Алгебра": 8, "Геометрия": 2}
     conv, daily = board.comparison()
     # grade 7 and role pupil apply, the January-only period does not
-    assert {r.month: (r.total, r.success) for r in conv.collect()} == {"jan": (2, 1)}
-    assert daily.count() == 2
+    assert {r.month: (r.total, r.success) for r in conv.collect()} == {"jan": (2, 1), "feb": (1, 1)}
+    assert daily.count() == 3
 
 
 def test_export(spark, board):
