@@ -22,6 +22,8 @@ values for an even count).
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,6 +58,33 @@ def _kth_pair(df: DataFrame, col: str, k: int, *, buckets: int = DEFAULT_BUCKETS
     cond: Column = F.lit(True)
     rank = k  # rank within the current candidate range
     m = n
+    if math.isinf(lo) or math.isinf(hi):
+        # Infinities sit at the two ends of the order; refine over the finite
+        # values only (their bucket arithmetic would give NaN).
+        ends = base.agg(F.count_if(F.col("v") == F.lit(-math.inf)).alias("neg"),
+                        F.count_if(F.col("v") == F.lit(math.inf)).alias("pos"),
+                        F.min(F.when(~F.col("v").isin(-math.inf, math.inf), F.col("v"))).alias("lo"),
+                        F.max(F.when(~F.col("v").isin(-math.inf, math.inf), F.col("v"))).alias("hi")).first()
+        neg, pos = ends["neg"], ends["pos"]
+
+        def at(r):
+            if r >= n:
+                return None
+            if r < neg:
+                return -math.inf
+            if r >= n - pos:
+                return math.inf
+            return None  # finite: found below
+
+        if at(k) is not None:
+            return at(k), at(k + 1)
+        finite_k = k - neg
+        m = n - neg - pos
+        v1, v2 = _kth_pair(base.where(~F.col("v").isin(-math.inf, math.inf)), "v", finite_k,
+                           buckets=buckets, small=small, stats=(m, ends["lo"], ends["hi"]))
+        if v2 is None and k + 1 < n and k + 1 >= n - pos:
+            v2 = math.inf
+        return v1, v2
     while True:
         if lo == hi:
             return float(lo), (float(lo) if rank + 1 < m else None)

@@ -32,3 +32,13 @@ def test_empty_and_constant(spark):
     assert exact_median(spark.createDataFrame([(None,)], "x double"), "x") is None
     df = spark.createDataFrame([(4.25,)] * 10, "x double")
     assert exact_median(df, "x", buckets=2, small=1) == 4.25
+
+
+def test_infinities(spark):
+    vals = [float("-inf"), 1.0, 2.0, 3.0, float("inf"), float("inf"), 5.0, 4.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    ordered = sorted(vals)
+    for k in range(len(vals)):
+        assert exact_kth(df, "x", k, buckets=2, small=1) == ordered[k]
+    assert exact_median(df, "x", buckets=2, small=1) == float(np.median(vals))
+    assert exact_median(spark.createDataFrame([(float("inf"),), (1.0,)], "x double"), "x") == float("inf")
