@@ -13,7 +13,9 @@ Deliberate deviations:
   on the mismatched series lengths).
 * T-2: ties in session time are broken by ``dialog_id`` (a Spark table has no
   file order); null times sort last.
-* T-5: months sort by calendar (``yyyy-MM`` text), not by their names.
+* T-5: months sort by calendar (prefixes by their month number, ``yyyy-MM``
+  as text), not by their names.  The grouped results are small, so the
+  final sort costs one exchange of a few rows.
 """
 
 from __future__ import annotations
@@ -31,6 +33,16 @@ def _success(status_col: str = "status"):
     return F.col(status_col) == K.TAG_SUCCESS
 
 
+def month_order(month_col: str = "month"):
+    """T-5: calendar order for month prefixes (``jan`` < ``feb`` …); other
+    values (``yyyy-MM``) sort as text, which is calendar order too."""
+    expr = None
+    for no, prefix in enumerate(K.MONTH_PREFIX.values(), start=1):
+        cond = F.col(month_col) == prefix
+        expr = F.when(cond, F.lit(no)) if expr is None else expr.when(cond, F.lit(no))
+    return [expr, F.col(month_col)]
+
+
 def daily_counts(df: DataFrame, dt_col: str = "activity_dt", status_col: str = "status") -> DataFrame:
     """A-6/J-2: per day, all dialogs and successful ones (0 when none).
 
@@ -38,7 +50,8 @@ def daily_counts(df: DataFrame, dt_col: str = "activity_dt", status_col: str = "
     """
     return (df.where(F.col(dt_col).isNotNull())
             .groupBy(as_date(dt_col).alias("date"))
-            .agg(F.count(F.lit(1)).alias("total"), F.count_if(_success(status_col)).alias("success")))
+            .agg(F.count(F.lit(1)).alias("total"), F.count_if(_success(status_col)).alias("success"))
+            .orderBy("date"))
 
 
 def kpis(df: DataFrame, status_col: str = "status", seconds_col: str = "session_seconds") -> DataFrame:
@@ -114,14 +127,16 @@ def monthly_conversion(df: DataFrame, month_col: str = "month", status_col: str
             .groupBy(month_col)
             .agg(F.count(F.lit(1)).alias("total"), F.count_if(_success(status_col)).alias("success"))
             .select(F.col(month_col).alias("month"), "total", "success",
-                    pct("success", "total").alias("conversion_pct")))
+                    pct("success", "total").alias("conversion_pct"))
+            .orderBy(*month_order("month")))
 
 
 def monthly_daily_counts(df: DataFrame, month_col: str = "month", dt_col: str = "activity_dt") -> DataFrame:
     """A-13: dialogs per (month, day)."""
     return (df.where(F.col(month_col).isNotNull() & F.col(dt_col).isNotNull())
             .groupBy(F.col(month_col).alias("month"), as_date(dt_col).alias("date"))
-            .agg(F.count(F.lit(1)).alias("n_dialogs")))
+            .agg(F.count(F.lit(1)).alias("n_dialogs"))
+            .orderBy(*month_order("month"), "date"))
 
 
 def metric_columns(df: DataFrame, parts=tuple(K.METRIC_NAME_PARTS)) -> list[str]:

@@ -120,3 +120,9 @@ def test_dialog_options_and_browse(spark):
     opts = {r.label: r.dialog_id for r in browse.dialog_options(sk).collect()}
     assert opts == {"d2... | t | 7 кл.": "d2", "d1... | pupil": "d1"}
     assert [r.dialog_id for r in browse.browse_skeletons(sk, 1).collect()] == ["d1"]
+
+
+def test_month_calendar_order(spark):
+    df = spark.createDataFrame([(m, K.TAG_SUCCESS) for m in ["mar", "jan", "apr", "feb", "jan"]],
+                               "month string, status string")
+    assert [r.month for r in metrics.monthly_conversion(df).collect()] == ["jan", "feb", "mar", "apr"]

@@ -77,7 +77,7 @@ def expected_rows(rows):
     return exp
 
 
-@pytest.mark.parametrize("chunk_rows", [3, 1 << 14])
+@pytest.mark.parametrize("chunk_rows", [1, 3, 1 << 14])
 def test_text_skeletons_match_walk(spark, chunk_rows):
     rows = random_skeletons(7, 60, hot_blocks=400)
     df = spark.createDataFrame(rows, "dialog_id string, skeleton string")
@@ -94,8 +94,8 @@ def test_text_skeletons_match_walk(spark, chunk_rows):
         assert (r.x, r.y) == (r.pos, -r.depth)
 
 
-@pytest.mark.parametrize("chunk_rows", [50, 1 << 14])  # range chunks / one chunk per dialog
-def test_event_stream_with_hot_dialog(spark, chunk_rows):
+@pytest.mark.parametrize("chunk_rows,parts", [(50, 7), (1, 29), (1 << 14, 7)])  # range chunks / one per dialog
+def test_event_stream_with_hot_dialog(spark, chunk_rows, parts):
     rnd = random.Random(11)
     base = dt.datetime(2024, 1, 1)
     rows, per = [], {}
@@ -109,7 +109,7 @@ def test_event_stream_with_hot_dialog(spark, chunk_rows):
             rows.append((f"u{d}", ts, eid, b))
             per.setdefault(f"u{d}", []).append((ts, eid, b))
     df = spark.createDataFrame(rows, "dialog_id string, ts timestamp_ntz, event_id long, block string")
-    got = skeleton.parse_block_stream(df, ("ts", "event_id"), range_partitions=7, chunk_rows=chunk_rows).collect()
+    got = skeleton.parse_block_stream(df, ("ts", "event_id"), range_partitions=parts, chunk_rows=chunk_rows).collect()
     assert len(got) == len(rows)
     exp = {}
     for did, evs in per.items():
