@@ -262,6 +262,18 @@ def q_skel_blocks_events(spark, sf):
     return _event_state(spark, sf).select(*skeleton.BLOCK_COLUMNS)
 
 
+HOT_CHUNK_ROWS = 1024  # small enough that the hot dialog needs range chunks even at sf0.01
+
+
+@query("skel_blocks_hot")
+def q_skel_blocks_hot(spark, sf):
+    """Skew case of B-2 … B-6: a third of all events in ONE dialog, parsed
+    with range chunks (the hot dialog is spread over many tasks)."""
+    state = skeleton.parse_block_stream(SK.event_blocks(spark, sf, hot=True), EVENT_ORDER,
+                                        chunk_rows=HOT_CHUNK_ROWS)
+    return state.select(*skeleton.BLOCK_COLUMNS)
+
+
 @query("skel_labels")
 def q_skel_labels(spark, sf):
     return skeleton.with_labels(_text_state(spark, sf))

@@ -162,7 +162,13 @@ FROM (SELECT last_type, count(*) AS n_dialogs, CAST(sum(n_jumps) AS BIGINT) AS n
             FROM state GROUP BY dialog_id)
       GROUP BY last_type)"""
 
+EVENT_HOT_CTE = EVENT_SKEL_CTE.replace(
+    "SELECT printf('%08d', user_id) AS dialog_id,\n         CAST(row_number() OVER (PARTITION BY user_id ",
+    "SELECT CASE WHEN user_id % 3 = 0 THEN '00000000' ELSE printf('%08d', user_id) END AS dialog_id,\n"
+    "         CAST(row_number() OVER (PARTITION BY CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id END ")
+
 ORACLE_SKELETON: dict[str, str] = {
+    "skel_blocks_hot": f"WITH {EVENT_HOT_CTE},{STATE_CTES}\n{BLOCK_SELECT}",
     "skel_blocks": text_sql(BLOCK_SELECT),
     "skel_blocks_events": event_sql(BLOCK_SELECT),
     "skel_labels": text_sql(LABELS_BODY),

@@ -88,8 +88,15 @@ def event_block_expr() -> Column:
             .otherwise(et))
 
 
-def event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """dialog_id, ts, event_id, block — one row per event."""
+def event_blocks(spark: SparkSession, sf_dir: str, hot: bool = False) -> DataFrame:
+    """dialog_id, ts, event_id, block — one row per event.
+
+    ``hot=True`` is the skew case: every event of a user with
+    ``user_id % 3 = 0`` is attributed to the single dialog ``00000000``, so one
+    dialog holds about a third of all blocks (no row is dropped).
+    """
     ev = table(spark, sf_dir, "events")
-    return ev.select(F.format_string("%08d", F.col("user_id")).alias("dialog_id"), "ts", "event_id",
-                     event_block_expr().alias("block"))
+    ident = F.format_string("%08d", F.col("user_id"))
+    if hot:
+        ident = F.when(F.col("user_id") % 3 == 0, F.lit("00000000")).otherwise(ident)
+    return ev.select(ident.alias("dialog_id"), "ts", "event_id", event_block_expr().alias("block"))
