@@ -1,10 +1,14 @@
 """The operators' queries by name, and their DuckDB SQL where SQL can express them."""
 
-from dialogscope.llm import bpe_automaton, token_counts
+from dialogscope.llm import bpe_automaton, line_dedup, simhash, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_bpe_automaton": bpe_automaton.op3_bpe_automaton,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_line_dedup": line_dedup.OP4_SQL,
+}
