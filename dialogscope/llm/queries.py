@@ -1,11 +1,13 @@
 """The operators' queries by name, and their DuckDB SQL where SQL can express them."""
 
-from dialogscope.llm import bpe_automaton, line_dedup, simhash, token_counts
+from dialogscope.llm import bpe_automaton, langid, line_dedup, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_bpe_automaton": bpe_automaton.op3_bpe_automaton,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_language_id": langid.op8_language_id,
     "op10_simhash": simhash.op10_simhash,
 }
 
