@@ -185,6 +185,22 @@ def encoding_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     return docs.select("doc_id", digests(F.coalesce(F.col("text"), F.lit(""))).alias("d")).select("doc_id", "d.*")
 
 
+def encoded_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids (binary, four little-endian bytes each) and the digests of ids and decoded text."""
+    shared = _shared(docs.sparkSession, vocabulary_path)
+
+    @F.arrow_udf("ids binary, decoded_sha256 string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            ids = [shared.value.encode(t) for t in strings(texts)]
+            sums = [hashlib.sha256(shared.value.decode(i).encode()).hexdigest() for i in ids]
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(sums, pa.string())], ["ids", "decoded_sha256"])
+
+    rows = docs.select("doc_id", both(F.coalesce(F.col("text"), F.lit(""))).alias("b"))
+    return rows.select("doc_id", F.floor(F.octet_length("b.ids") / 4).alias("n_tokens"), "b.ids",
+                       F.sha2("b.ids", 256).alias("ids_sha256"), "b.decoded_sha256")
+
+
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -234,5 +234,12 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no item."""
+    for index in item_indexes(items):
+        docs = docs.where(F.size(item_matches(docs.sparkSession, index, F.col("text"))) == 0)
+    return docs
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogscope.llm.common import held_out, strings, table
+from dialogscope.llm.common import free_name, held_out, strings, table
 from dialogscope.llm.wordtable import codes, gram_buckets, numbered, word_hashes
 
 UND = "und"
+MIN_SCORE = 0.35
 ROWS_PER_LANG = 500
 TEXT_BYTES = 16_384
 MAX_LANGS = 64
@@ -270,5 +271,13 @@ def identify(docs: DataFrame) -> DataFrame:
             .select("doc_id", "held_out", "p.*"))
 
 
+def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` with a language: not ``und``, and the label's mean posterior is at least ``min_score``.
+    Texts that mix two languages have about one half; below the minimum no language stands out."""
+    model, name = fit(training_rows(docs)), free_name(docs, "lang_prediction")
+    found = docs.withColumn(name, predictions(docs.sparkSession, model, F.col("text")))
+    return found.where((F.col(name)["lang_pred"] != UND) & (F.col(name)["score"] >= min_score)).drop(name)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))

@@ -87,6 +87,15 @@ def without_repeats(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
                       F.coalesce("n_dropped", F.lit(0).cast("bigint")).alias("n_dropped"))
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated lines cut from text, and n_chars (if there) counted anew for the rows that lost some."""
+    met = without_repeats(docs, keep_bitmaps(docs))
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept")}
+    own = {c: F.col("doc").getField(c) for c in docs.columns}
+    return met.select(*[(F.when(F.col("n_dropped") > 0, new[c].cast(t)).otherwise(own[c]) if c in new else own[c]).alias(c)
+                        for c, t in docs.dtypes])
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return without_repeats(docs, keep_bitmaps(docs)).select(

@@ -177,14 +177,25 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """doc_id, fp (bigint), component_id for every row of ``docs``."""
-    prints = cut(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("fp")))
+    """doc_id, print (a hash of the text), fp (bigint), component_id for every row of ``docs``."""
+    prints = cut(docs.select("doc_id", F.xxhash64("text").alias("print"), fingerprints(F.col("text"), shingle).alias("fp")))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes, distance))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, rooted.root == least.of).select(F.col("fp").alias("class_fp"), "component_id")
-    return prints.join(classes, prints.fp == classes.class_fp).select("doc_id", "fp", "component_id")
+    return prints.join(classes, prints.fp == classes.class_fp).select("doc_id", "print", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """The rows of ``docs`` without near copies of a smaller doc_id.
+
+    Rows that repeat both doc_id and text of a representative stay with it; rows without a doc_id stay.
+    """
+    found = near_duplicates(docs, shingle, distance)
+    going = found.where("doc_id > component_id").select(F.struct("doc_id", "print").alias("gone")).distinct()
+    own = F.struct(F.col("doc_id"), F.xxhash64("text").alias("print"))
+    return docs.join(going, own == F.col("gone"), "left_anti")
 
 
 def hex_fingerprint(fp: Column) -> Column:
