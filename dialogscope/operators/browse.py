@@ -11,9 +11,12 @@ Deliberate deviation: grades are shown as integers (``7 кл.``), never as
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import scratch_dir
 from ..functions.columns import minutes, prefix
 from .filters import available
 
@@ -47,20 +50,20 @@ def browse_skeletons(skeletons: DataFrame, n: int = 50, id_col: str = "dialog_id
     return skeletons.select(*available(skeletons, BROWSE_COLUMNS)).orderBy(id_col).limit(n)
 
 
-def top_sessions_with_skeleton(sessions: DataFrame, state: DataFrame, k: int = 20,
+def top_sessions_with_skeleton(sessions: DataFrame, skeletons: DataFrame, parse: Callable[[DataFrame], DataFrame], k: int = 20,
                                seconds_col: str = "session_seconds", id_col: str = "dialog_id") -> DataFrame:
     """J-4: the ``k`` longest sessions joined to their parsed skeleton blocks
     (all k at once instead of one click per dialog).
 
-    The top-k side has at most ``k`` rows — a proven bound — so it is
-    broadcast into a semi join that filters the (large) block table without
-    shuffling it; only the blocks of the k dialogs then meet the top-k rows in
-    the outer join.  Sessions without a skeleton keep one row with null block
-    fields.
+    ``skeletons`` are the raw rows (text cells or event blocks) and ``parse``
+    turns them into block rows.  The top-k rows, at most ``k``, are computed
+    once (a reliable checkpoint) and broadcast into a semi join that filters
+    the raw rows without shuffling them; only the k dialogs are parsed.
+    Sessions without a skeleton keep one row with null block fields.
     """
+    scratch_dir(sessions.sparkSession)
     top = (sessions.orderBy(F.col(seconds_col).desc_nulls_last(), F.col(id_col).asc()).limit(k)
            .select(F.col(id_col).alias(id_col), F.col(seconds_col).alias("session_seconds"),
-                   minutes(seconds_col).alias("minutes")))
-    blocks = (state.select(id_col, "pos", "block", "block_type", "depth")
-              .join(F.broadcast(top.select(id_col)), id_col, "left_semi"))
-    return top.join(blocks, id_col, "left")
+                   minutes(seconds_col).alias("minutes")).checkpoint())
+    blocks = parse(skeletons.join(F.broadcast(top.select(id_col)), id_col, "left_semi"))
+    return top.join(blocks.select(id_col, "pos", "block", "block_type", "depth"), id_col, "left")

@@ -20,28 +20,25 @@ Rules, per block in order (first hit wins for the type):
 
 Running state without a hot task
 --------------------------------
-Depth, step and jumps are running values along a dialog.  A window
-partitioned by dialog alone would put a dialog that holds a third of all
-blocks into ONE task.  ``block_state`` therefore runs a two-level prefix
-scan:
-
-1. rows are cut into chunks of a bounded size — ``pos div chunk_rows`` when
-   positions are known (text cells); for event streams one chunk per dialog
-   when a cheap pre-aggregate shows no dialog longer than ``chunk_rows``,
-   else range partitions of the ordering key (``repartitionByRange`` splits
-   a hot dialog across partitions by its own order), pinned by a reliable
-   checkpoint;
-2. a window per (dialog, chunk) computes local running values — each window
-   partition is bounded by the chunk size;
-3. only dialogs spread over several chunks need more: for them one summary
-   row per (dialog, chunk) — the running values at the chunk's last row — is
-   scanned per dialog (at most #chunks rows) and joined back.  Every other
-   dialog is finished from its local values without any further shuffle.
-   Spanning dialogs are known without a pass: with text cells the block count
-   is on every row (and, being constant per dialog, part of the window key,
-   so the split into the two branches is pushed below the shuffle); with
-   range chunks only the last id of a chunk that is also the first id of the
-   next can span, read from a per-chunk min/max.
+Depth, step and jumps are running values along a dialog.
+
+*Text cells* hold a whole dialog in one row, so the state is a fold inside the
+row: the block array is cut into pieces of about sqrt(n) blocks, each piece is
+folded with ``aggregate`` and its end state carried into the next.  Narrow (no
+shuffle), rows never meet - repeated or null ids are no special case - and a
+cell of n blocks costs n * sqrt(n) array steps, not n squared.
+
+*Event streams* spread a dialog over many rows.  A window partitioned by dialog
+alone would put a dialog that holds a third of all blocks into ONE task, so
+every stream takes a two-level prefix scan:
+
+1. rows are range-partitioned by (dialog, order); a long dialog falls into
+   several partitions.  The partition is the chunk; a reliable checkpoint pins it;
+2. a window per (dialog, chunk) computes local running values;
+3. the running values at a chunk's last row are scanned per dialog (at most one row
+   per partition) and joined back for the dialogs found in several chunks.
+
+One plan for all sizes; a null dialog id is a dialog like any other.
 """
 
 from __future__ import annotations
@@ -55,8 +52,6 @@ from .. import constants as K
 from ..config import default_parallelism, scratch_dir
 from ..functions.columns import strip_py
 
-CHUNK_ROWS = 1 << 14  # rows per window partition when positions are known
-
 
 # --- B-1 / B-2 / B-3: tokens, types, step numbers ------------------------------
 
@@ -103,114 +98,108 @@ def with_block_flags(blocks: DataFrame, block_col: str = "block") -> DataFrame:
             .withColumn("is_action", F.col("block_type") == "action"))
 
 
-# --- blocks from text cells -------------------------------------------------------
+# --- text cells: the fold inside the row (B-3, B-4, B-5, B-8) ------------------
+
+_STATE = "struct<cum:bigint,base:bigint,step:bigint,out:array<struct<depth:bigint,cum_depth:bigint,step:bigint>>>"
 
-def explode_text_blocks(skeletons: DataFrame, id_col: str = "dialog_id", skeleton_col: str = "skeleton",
-                        keep: Sequence[str] = ()) -> DataFrame:
-    """One row per block of a text skeleton cell: dialog_id, pos (0-based,
-    dense), n_blocks, block.  Narrow: no shuffle, one input row at a time."""
-    toks = tokens(F.col(skeleton_col))
-    return (skeletons.select(id_col, *keep, toks.alias("_blocks"))
-            .select(id_col, *keep, F.size("_blocks").cast("bigint").alias("n_blocks"),
-                    F.posexplode("_blocks").alias("pos", "block"))
-            .withColumn("pos", F.col("pos").cast("bigint")))
 
+def _next_state(state: Column, block: Column) -> Column:
+    """The running state after one more block, with the block's values appended."""
+    cum = state["cum"] + block["deeper"]
+    base = F.when(block["is_reset"], cum).otherwise(state["base"])
+    step = F.coalesce(block["info_num"], state["step"])
+    row = F.struct((cum - base).alias("depth"), cum.alias("cum_depth"), step.alias("step"))
+    return F.struct(cum.alias("cum"), base.alias("base"), step.alias("step"),
+                    F.concat(state["out"], F.array(row)).alias("out")).cast(_STATE)
 
-# --- running state (B-3, B-4, B-5, B-8) ---------------------------------------
 
-def block_state(blocks: DataFrame, order: Sequence[str] = ("pos",), id_col: str = "dialog_id",
-                chunk_rows: int = CHUNK_ROWS, range_partitions: int | None = None,
-                n_col: str | None = None) -> DataFrame:
-    """Running skeleton state for every block row.
+def _folded(flags: Column, piece_rows: int | None) -> Column:
+    """array<struct<depth, cum_depth, step>> of an array of flagged blocks."""
+    size = F.size(flags)
+    piece = F.lit(piece_rows) if piece_rows else F.greatest(F.lit(1), F.ceil(F.sqrt(size)).cast("int"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / piece).cast("int")),
+                         lambda i: F.slice(flags, i * piece + 1, piece))
+    nothing = F.array().cast("array<struct<depth:bigint,cum_depth:bigint,step:bigint>>")
+    zero = F.lit(0).cast("bigint")
 
-    ``blocks`` holds one row per block with ``id_col``, the ``order`` columns
-    and ``block``.  Chunks: with ``order == ("pos",)`` (dense positions),
-    ``pos div chunk_rows``; otherwise range partitions of (id, *order), or a
-    single chunk per dialog when no dialog is longer than ``chunk_rows``.
-    ``n_col`` (dense positions only) names a per-row column holding the
-    dialog's block count, which tells single-chunk dialogs apart for free.
+    def one_piece(state, blocks):
+        start = F.struct(state["cum"].alias("cum"), state["base"].alias("base"), state["step"].alias("step"),
+                         nothing.alias("out")).cast(_STATE)
+        # transform over a one-element array names the piece's result, so it is folded once
+        return F.transform(F.array(F.aggregate(blocks, start, _next_state)), lambda end: F.struct(
+            end["cum"].alias("cum"), end["base"].alias("base"), end["step"].alias("step"),
+            F.concat(state["parts"], F.array(end["out"])).alias("parts")))[0]
 
-    Adds: pos (when absent), n_blocks, block_type, label, depth, cum_depth,
-    step, is_jump, x, y.
+    begin = F.struct(zero.alias("cum"), zero.alias("base"), zero.alias("step"),
+                     F.array().cast("array<array<struct<depth:bigint,cum_depth:bigint,step:bigint>>>").alias("parts"))
+    return F.flatten(F.aggregate(pieces, begin, one_piece, lambda s: s["parts"]))
+
+
+def parse_skeletons(skeletons: DataFrame, id_col: str = "dialog_id", skeleton_col: str = "skeleton",
+                    piece_rows: int | None = None) -> DataFrame:
+    """B-1 ... B-6 over a table of skeleton text cells: one row per block, each
+    input row on its own.  ``piece_rows`` fixes the fold's piece size (default: sqrt(n))."""
+    def flagged(block):
+        t = block_type(block)
+        return F.struct(block.alias("block"), t.alias("block_type"), info_number(block, t).alias("info_num"),
+                        t.isin(*K.DEEPER_TYPES).cast("bigint").alias("deeper"), t.isin(*K.RESET_TYPES).alias("is_reset"))
+
+    flags = skeletons.select(F.col(id_col).alias("_id"), F.transform(tokens(F.col(skeleton_col)), flagged).alias("_flags"))
+    state = flags.where(F.size("_flags") > 0).select("_id", "_flags", _folded(F.col("_flags"), piece_rows).alias("_state"))
+    is_action = lambda i: F.get("_flags", i)["block_type"] == "action"
+    rows = F.transform("_flags", lambda b, i: F.struct(
+        b["block"].alias("block"), b["block_type"].alias("block_type"), F.get("_state", i).alias("state"),
+        (is_action(i) & F.coalesce(~is_action(i + 1), F.lit(False))).alias("is_jump")))
+    out = state.select("_id", F.size("_flags").cast("bigint").alias("n_blocks"), F.posexplode(rows).alias("pos", "b"))
+    pos = F.col("pos").cast("bigint")
+    return out.select(F.col("_id").alias(id_col), pos.alias("pos"), "n_blocks", "b.block", "b.block_type",
+                      block_label(F.col("b.block"), F.col("b.block_type")).alias("label"), "b.state.depth", "b.state.cum_depth",
+                      "b.state.step", "b.is_jump", pos.alias("x"), (-F.col("b.state.depth")).alias("y"))
+
+
+# --- event streams: two-level prefix scan ---------------------------------------
+
+def parse_block_stream(blocks: DataFrame, order: Sequence[str], id_col: str = "dialog_id",
+                       range_partitions: int | None = None) -> DataFrame:
+    """B-2 ... B-6 over block rows (``id_col``, the ``order`` columns, ``block``) of dialogs of any length.
+
+    Adds: pos, n_blocks, block_type, label, depth, cum_depth, step, is_jump, x, y.
     """
-    df = with_block_flags(blocks)
-    order = list(order)
-    spark = df.sparkSession
-    if order == ["pos"]:
-        # Text cells: chunks by position.  The block count is constant per
-        # dialog, so adding it to the window keys changes no partition but
-        # lets Catalyst push the "one chunk / several chunks" filters below
-        # the windows and the shuffle: each branch moves only its own rows.
-        df = df.withColumn("_chunk", F.floor(F.col("pos") / chunk_rows).cast("bigint"))
-        keys = [id_col, "_chunk"] + ([n_col] if n_col else [])
-        local = _local_windows(df, keys, order)
-        spans = (F.col(n_col) > chunk_rows) if n_col else F.lit(True)
-    else:
-        # Event streams: one cheap pre-aggregate (a count per dialog, partial
-        # aggregation, one number to the driver) decides the plan.
-        longest = (df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
-                   .agg(F.max("n").alias("m")).first()["m"]) or 0
-        if longest <= chunk_rows:
-            # No dialog is longer than a chunk: a window per dialog is bounded.
-            df = df.withColumn("_chunk", F.lit(0).cast("bigint"))
-            local = _local_windows(df, [id_col, "_chunk"], order)
-            spans = F.lit(False)
-        else:
-            # Some dialog is too long for one task: cut every dialog along
-            # range partitions of its own order.  Range bounds come from
-            # sampling, so the chunk ids are pinned by a reliable checkpoint
-            # (shared checkpoint folder, survives executor loss) before the
-            # row and summary branches read them.
-            n = range_partitions or default_parallelism(spark)
-            df = (df.repartitionByRange(n, id_col, *order)
-                  .withColumn("_chunk", F.spark_partition_id().cast("bigint")))
-            scratch_dir(spark)
-            local = _local_windows(df, [id_col, "_chunk"], order).checkpoint(eager=True)
-            # Range chunks hold contiguous key ranges, so a dialog can only
-            # cross from the last id of one chunk to the first id of the next:
-            # at most one candidate per boundary, from a per-chunk min/max
-            # (one row per range partition — a bound fixed by configuration).
-            edges = sorted(local.groupBy("_chunk").agg(F.min(id_col).alias("first"),
-                                                       F.max(id_col).alias("last")).collect(),
-                           key=lambda r: r["_chunk"])
-            spanning = sorted({a["last"] for a, b in zip(edges, edges[1:]) if a["last"] == b["first"]})
-            spans = F.col(id_col).isin(spanning) if spanning else F.lit(False)
-    chunk = "_chunk"
-
-    single = local.where(~spans).select(
-        "*", F.lit(0).cast("bigint").alias("off_n"), F.lit(0).cast("bigint").alias("off_act"),
-        F.col("_chunk_n").alias("n_blocks"), F.lit(None).cast("boolean").alias("_next_first_action"),
-        F.lit(None).cast("bigint").alias("in_reset"), F.lit(None).cast("bigint").alias("in_info"))
-
-    multi = local.where(spans)
-    # Chunk summaries are the running values at each chunk's LAST row: a
-    # narrow filter, one row per chunk of a spanning dialog.
-    summ = (multi.where(F.col("_lnext_action").isNull())
-            .select(id_col, chunk, F.col("_lrn").alias("c_n"), F.col("_lact").alias("c_act"),
-                    F.col("_lreset").alias("c_reset"), F.col("_linfo").alias("c_info"),
-                    F.col("_first_action").alias("c_first_action")))
-    wc = Window.partitionBy(id_col).orderBy(chunk)
-    prev = wc.rowsBetween(Window.unboundedPreceding, -1)
-    summ = (summ.withColumn("off_n", F.coalesce(F.sum("c_n").over(prev), F.lit(0)).cast("bigint"))
+    spark = blocks.sparkSession
+    scratch_dir(spark)
+    chunked = (with_block_flags(blocks).repartitionByRange(range_partitions or default_parallelism(spark), id_col, *order)
+               .withColumn("_chunk", F.spark_partition_id().cast("bigint")))
+    local = _local_windows(chunked, [id_col, "_chunk"], list(order)).checkpoint(eager=True)
+
+    # The running values at a chunk's LAST row, for dialogs found in several chunks.
+    last = local.where(F.col("_lnext_action").isNull()).select(
+        F.col(id_col).alias("_id"), F.col("_chunk").alias("_of"), F.col("_lrn").alias("c_n"), F.col("_lact").alias("c_act"),
+        F.col("_lreset").alias("c_reset"), F.col("_linfo").alias("c_info"), F.col("_first_action").alias("c_first_action"))
+    whole = Window.partitionBy("_id")
+    ordered = whole.orderBy("_of")
+    prev = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    summ = (last.withColumn("chunks", F.count(F.lit(1)).over(whole))
+            .withColumn("total", F.sum("c_n").over(whole).cast("bigint"))
+            .withColumn("off_n", F.coalesce(F.sum("c_n").over(prev), F.lit(0)).cast("bigint"))
             .withColumn("off_act", F.coalesce(F.sum("c_act").over(prev), F.lit(0)).cast("bigint"))
-            .withColumn("n_blocks", F.sum("c_n").over(Window.partitionBy(id_col)).cast("bigint"))
-            .withColumn("_next_first_action", F.lead("c_first_action").over(wc))
-            .withColumn("_g_reset", F.col("off_act") + F.col("c_reset")))
-    summ = (summ.withColumn("in_reset", F.last("_g_reset", ignorenulls=True).over(prev).cast("bigint"))
+            .withColumn("next_first_action", F.lead("c_first_action").over(ordered)))
+    summ = (summ.withColumn("g_reset", F.col("off_act") + F.col("c_reset"))
+            .withColumn("in_reset", F.last("g_reset", ignorenulls=True).over(prev).cast("bigint"))
             .withColumn("in_info", F.last("c_info", ignorenulls=True).over(prev).cast("bigint"))
-            .select(id_col, chunk, "off_n", "off_act", "n_blocks", "_next_first_action", "in_reset",
-                    "in_info"))
-    spread = multi.join(summ, [id_col, chunk])
-    out = _finish(single).unionByName(_finish(spread))
-    if "pos" in blocks.columns:
-        out = out.drop("_pos")
-    else:
-        out = out.withColumnRenamed("_pos", "pos")
-    return (out.withColumn("x", F.col("pos"))
-            .withColumn("y", -F.col("depth"))
-            .drop("_lrn", "_lact", "_linfo", "_lnext_action", "_first_action", "_lreset", "_chunk_n",
-                  "off_n", "off_act", "_next_first_action", "in_reset", "in_info", "info_num", "deeper",
-                  "is_reset", "is_action", chunk, *([n_col] if n_col else [])))
+            .where("chunks > 1")
+            .select("_id", "_of", "total", "off_n", "off_act", "next_first_action", "in_reset", "in_info"))
+    met = local.join(summ, local[id_col].eqNullSafe(summ["_id"]) & (local["_chunk"] == summ["_of"]), "left")
+    zero = F.lit(0).cast("bigint")
+    cum = (F.coalesce("off_act", zero) + F.col("_lact")).cast("bigint")
+    reset = F.coalesce(F.coalesce("off_act", zero) + F.col("_lreset"), F.col("in_reset"), zero)
+    following = F.coalesce("_lnext_action", "next_first_action")
+    pos = (F.coalesce("off_n", zero) + F.col("_lrn") - 1).cast("bigint")
+    depth = (cum - reset).cast("bigint")
+    return met.select(
+        *[local[c] for c in blocks.columns if c != "pos"], pos.alias("pos"), F.coalesce("total", "_chunk_n").alias("n_blocks"),
+        "block_type", block_label(F.col("block"), F.col("block_type")).alias("label"), depth.alias("depth"), cum.alias("cum_depth"),
+        F.coalesce("_linfo", "in_info", zero).cast("bigint").alias("step"),
+        (F.col("is_action") & F.coalesce(~following, F.lit(False))).alias("is_jump"), pos.alias("x"), (-depth).alias("y"))
 
 
 def _local_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -228,39 +217,10 @@ def _local_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return local.withColumn("_lreset", F.max(F.when(F.col("is_reset"), F.col("_lact"))).over(run))
 
 
-def _finish(rows: DataFrame) -> DataFrame:
-    """Global values from local running values plus the chunk's offsets."""
-    cum = (F.col("off_act") + F.col("_lact")).cast("bigint")
-    last_reset = F.coalesce(F.col("off_act") + F.col("_lreset"), F.col("in_reset"), F.lit(0))
-    nxt = F.coalesce(F.col("_lnext_action"), F.col("_next_first_action"))
-    return rows.select(
-        "*",
-        (F.col("off_n") + F.col("_lrn") - 1).cast("bigint").alias("_pos"),
-        cum.alias("cum_depth"),
-        (cum - last_reset).cast("bigint").alias("depth"),
-        F.coalesce(F.col("_linfo"), F.col("in_info"), F.lit(0)).cast("bigint").alias("step"),
-        (F.col("is_action") & F.coalesce(~nxt, F.lit(False))).alias("is_jump"),
-        block_label(F.col("block"), F.col("block_type")).alias("label"),
-    )
-
-
 BLOCK_COLUMNS = ["dialog_id", "pos", "n_blocks", "block", "block_type", "label", "depth", "cum_depth",
                  "step", "x", "y"]
 
 
-def parse_skeletons(skeletons: DataFrame, id_col: str = "dialog_id", skeleton_col: str = "skeleton",
-                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """B-1 … B-6 over a table of skeleton text cells."""
-    blocks = explode_text_blocks(skeletons, id_col, skeleton_col).withColumnRenamed("n_blocks", "_n_text")
-    return block_state(blocks, ("pos",), id_col, chunk_rows=chunk_rows, n_col="_n_text")
-
-
-def parse_block_stream(blocks: DataFrame, order: Sequence[str], id_col: str = "dialog_id",
-                       range_partitions: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """B-2 … B-6 over block rows that carry an ordering key but no position."""
-    return block_state(blocks, order, id_col, chunk_rows=chunk_rows, range_partitions=range_partitions)
-
-
 def label_columns() -> list[Column]:
     """B-7: ``"{i+1}. {label}"``, the menu label ``"{i+1}. {block} ({type})"``
     and the ordinal ``"{i+1} из {n}"`` shown in the block details."""
@@ -281,18 +241,44 @@ def jumps(state: DataFrame) -> DataFrame:
     return state.where("is_jump").select("dialog_id", "pos", "depth")
 
 
-def dropoff(blocks: DataFrame, order: Sequence[str] = ("pos",), id_col: str = "dialog_id") -> DataFrame:
-    """B-9: per dialog the last block, its type and whether it is a drop-off.
+def _type_code(btype: Column) -> Column:
+    """A block type as its place in ``K.BLOCK_TYPES`` (from 1): a fixed-width value, so that grouping stays a hash aggregate."""
+    return F.array_position(F.array(*map(F.lit, K.BLOCK_TYPES)), btype).cast("int")
+
+
+def _type_name(code: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, K.BLOCK_TYPES)), code)
+
+
+def _order_key(blocks: DataFrame, order: Sequence[str]) -> Column:
+    """One fixed-width value that sorts like the order columns where they are a number, or a timestamp and a number."""
+    kinds = dict(blocks.dtypes)
+    whole = ("tinyint", "smallint", "int", "bigint")
+    if len(order) == 1:
+        return F.col(order[0])
+    if len(order) == 2 and kinds[order[0]].startswith("timestamp") and kinds[order[1]] in whole:
+        at = F.col(order[0])
+        if kinds[order[0]] == "timestamp":
+            micros = F.unix_micros(at)
+        else:  # without a time zone: from the fields, which no clock change reorders
+            micros = (F.unix_date(at.cast("date")).cast("bigint") * 86_400_000_000 + F.hour(at).cast("bigint") * 3_600_000_000
+                      + F.minute(at).cast("bigint") * 60_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("bigint"))
+        return micros.cast("decimal(18,0)") * F.lit("10000000000000000000").cast("decimal(20,0)") + F.col(order[1]).cast("decimal(19,0)")
+    return F.struct(*order)
+
+
+def dropoff(blocks: DataFrame, order: Sequence[str] = ("pos",), id_col: str = "dialog_id", with_block: bool = False) -> DataFrame:
+    """B-9: per dialog the last block's type and whether it is a drop-off.
 
     A grouped ``max_by`` over the ordering key: partial aggregation keeps one
-    row per dialog per task, so a hot dialog is no hot task.
+    row per dialog per task, so a hot dialog is no hot task.  All buffers are of fixed
+    width, so it is a hash aggregate; ``with_block`` adds the last block's text, which costs a sort.
     """
-    key = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    typed = blocks.withColumn("block_type", block_type(F.col("block")))
+    key = _order_key(blocks, order)
+    typed = blocks.withColumn("_code", _type_code(block_type(F.col("block"))))
+    text = [F.max_by("block", key).alias("last_block")] if with_block else []
     return (typed.groupBy(id_col)
-            .agg(F.count(F.lit(1)).alias("n_blocks"),
-                 F.max_by("block", key).alias("last_block"),
-                 F.max_by("block_type", key).alias("last_type"))
+            .agg(F.count(F.lit(1)).alias("n_blocks"), *text, _type_name(F.max_by("_code", key)).alias("last_type"))
             .withColumn("dropped", F.col("last_type").isin(K.DEEPER_TYPES)))
 
 
@@ -342,7 +328,7 @@ def dialog_summary(state: DataFrame) -> DataFrame:
                  F.count_if("is_jump").alias("n_jumps"),
                  F.max("depth").alias("max_depth"),
                  F.max("cum_depth").alias("max_cum_depth"),
-                 F.max_by("block_type", "pos").alias("last_type")))
+                 _type_name(F.max_by(_type_code(F.col("block_type")), F.col("pos"))).alias("last_type")))
 
 
 def dropoff_rollup(state: DataFrame) -> DataFrame:

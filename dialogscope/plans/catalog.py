@@ -262,18 +262,26 @@ def q_skel_blocks_events(spark, sf):
     return _event_state(spark, sf).select(*skeleton.BLOCK_COLUMNS)
 
 
-HOT_CHUNK_ROWS = 1024  # small enough that the hot dialog needs range chunks even at sf0.01
-
-
 @query("skel_blocks_hot")
 def q_skel_blocks_hot(spark, sf):
     """Skew case of B-2 … B-6: a third of all events in ONE dialog, parsed
     with range chunks (the hot dialog is spread over many tasks)."""
-    state = skeleton.parse_block_stream(SK.event_blocks(spark, sf, hot=True), EVENT_ORDER,
-                                        chunk_rows=HOT_CHUNK_ROWS)
+    state = skeleton.parse_block_stream(SK.event_blocks(spark, sf, hot=True), EVENT_ORDER)
     return state.select(*skeleton.BLOCK_COLUMNS)
 
 
+@query("skel_blocks_dup")
+def q_skel_blocks_dup(spark, sf):
+    """B-1 … B-6 where ids repeat and some are null: every cell is its own walk."""
+    return skeleton.parse_skeletons(SK.repeated_skeletons(spark, sf)).select(*skeleton.BLOCK_COLUMNS)
+
+
+@query("skel_blocks_long")
+def q_skel_blocks_long(spark, sf):
+    """B-1 … B-6 over long cells: each cell's lines 25 times in a row."""
+    return skeleton.parse_skeletons(SK.long_skeletons(spark, sf)).select(*skeleton.BLOCK_COLUMNS)
+
+
 @query("skel_labels")
 def q_skel_labels(spark, sf):
     return skeleton.with_labels(_text_state(spark, sf))
@@ -311,8 +319,8 @@ def q_skeleton_semi(spark, sf):
     """J-1: skeletons of the dialogs passing the sidebar filters."""
     kept = filters.apply_filters(_dialogs(spark, sf, "dialog_id", "dialog_grade", "dialog_role"),
                                  grade=GRADE, role=ROLE)
-    per_dialog = skeleton.dropoff(SK.event_blocks(spark, sf), EVENT_ORDER)
-    return filters.skeletons_for(per_dialog, kept).select("dialog_id", "n_blocks", "last_type")
+    blocks = filters.skeletons_for(SK.event_blocks(spark, sf), kept)  # filter first, then aggregate
+    return skeleton.dropoff(blocks, EVENT_ORDER).select("dialog_id", "n_blocks", "last_type")
 
 
 @query("top_sessions_skeleton")
@@ -321,7 +329,8 @@ def q_top_sessions_skeleton(spark, sf):
     sessions = (B.table(spark, sf, "events")
                 .groupBy(F.format_string("%08d", F.col("user_id")).alias("dialog_id"))
                 .agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("session_seconds")))
-    return browse.top_sessions_with_skeleton(sessions, _event_state(spark, sf), TOP_K)
+    return browse.top_sessions_with_skeleton(sessions, SK.event_blocks(spark, sf),
+                                             lambda b: skeleton.parse_block_stream(b, EVENT_ORDER), TOP_K)
 
 
 @query("dialog_options")

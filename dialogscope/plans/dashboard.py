@@ -125,7 +125,7 @@ class Dashboard:
         sk = self.selected_skeletons()
         if sk is None:
             return None
-        return browse.top_sessions_with_skeleton(self.filtered, skeleton.parse_skeletons(sk), k)
+        return browse.top_sessions_with_skeleton(self.filtered, sk, skeleton.parse_skeletons, k)
 
     # --- tab: comparison ----------------------------------------------------------------
 

@@ -27,27 +27,29 @@ def _line_rule(line: str) -> str:
         6: "'summary'",
         7: "'info'",
         8: "chr(9) || 'action' || chr(9)",
-        9: "'   '",
+        9: f"'note ' || CAST({n} % 4 AS VARCHAR)",
         10: f"'action ' || CAST({n} % 5 AS VARCHAR)",
-        11: line,
+        11: f"'> ' || {line}",
     }
     whens = " ".join(f"WHEN {n} % 12 = {r} THEN {v}" for r, v in cases.items())
     return f"CASE WHEN {n} = 0 THEN '' {whens} END"
 
 
 TEXT_SKEL_CTE = f"""
-skel AS (
-  SELECT printf('%06d-%03d', conv_id, turn) AS dialog_id,
-         CASE WHEN conv_id % 7 = 0 AND turn = 0 THEN NULL
-              WHEN conv_id % 11 = 0 AND turn = 1 THEN ''
-              WHEN conv_id % 11 = 0 AND turn = 2 THEN ' ' || {NL} || chr(9) || {NL} || ' '
-              ELSE array_to_string(list_transform(string_split(text, {NL}), lambda line: {_line_rule('line')}), {NL})
-         END AS skeleton,
-         CASE WHEN conv_id % 13 = 0 AND turn = 2 THEN NULL ELSE text END AS dialog_text,
-         role AS tag,
+base AS (
+  SELECT printf('%06d-%03d', conv_id, turn) AS dialog_id, conv_id, turn,
+         array_to_string(list_transform(string_split(text, {NL}), lambda line: {_line_rule('line')}), {NL}) AS skeleton,
+         text AS dialog_text, role AS tag,
          CASE WHEN turn % 4 = 3 THEN NULL ELSE 5 + conv_id % 7 END AS dialog_grade,
          CASE turn % 3 WHEN 0 THEN 'pupil' WHEN 1 THEN 'teacher' END AS dialog_role
   FROM conversations),
+skel AS (
+  SELECT dialog_id, skeleton, dialog_text, tag, dialog_grade, dialog_role FROM base
+  UNION ALL SELECT dialog_id || '-n', NULL, dialog_text, tag, dialog_grade, dialog_role FROM base WHERE conv_id % 7 = 0 AND turn = 0
+  UNION ALL SELECT dialog_id || '-e', '', dialog_text, tag, dialog_grade, dialog_role FROM base WHERE conv_id % 11 = 0 AND turn = 1
+  UNION ALL SELECT dialog_id || '-b', ' ' || {NL} || chr(9) || {NL} || ' ', dialog_text, tag, dialog_grade, dialog_role
+            FROM base WHERE conv_id % 11 = 0 AND turn = 2
+  UNION ALL SELECT dialog_id || '-t', skeleton, NULL, tag, dialog_grade, dialog_role FROM base WHERE conv_id % 13 = 0 AND turn = 2),
 tok AS (
   SELECT *, list_filter(list_transform(string_split(coalesce(skeleton, ''), {NL}),
                                        lambda x: regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')),
@@ -147,7 +149,7 @@ LABELS_BODY = """SELECT dialog_id, pos,
        CAST(pos + 1 AS VARCHAR) || ' из ' || CAST(n_blocks AS VARCHAR) AS ordinal
 FROM state"""
 
-DROPOFF_BODY = f"""SELECT dialog_id, count(*) AS n_blocks, arg_max(block, pos) AS last_block,
+DROPOFF_BODY = f"""SELECT dialog_id, count(*) AS n_blocks,
        arg_max(block_type, pos) AS last_type,
        arg_max(block_type, pos) IN ({', '.join(lit(t) for t in K.DEEPER_TYPES)}) AS dropped
 FROM typed GROUP BY dialog_id"""
@@ -167,7 +169,22 @@ EVENT_HOT_CTE = EVENT_SKEL_CTE.replace(
     "SELECT CASE WHEN user_id % 3 = 0 THEN '00000000' ELSE printf('%08d', user_id) END AS dialog_id,\n"
     "         CAST(row_number() OVER (PARTITION BY CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id END ")
 
+# Every cell its own walk: the state runs over an id of the cell, and the shown id comes back at the end.
+DUP_SQL = f"""WITH {TEXT_SKEL_CTE.replace('tok AS (', """cells AS (
+  SELECT dialog_id || '/' || copy AS dialog_id, skeleton, dialog_text, tag, dialog_grade, dialog_role,
+         CASE WHEN length(skeleton) % 5 <> 0 THEN dialog_id END AS shown FROM skel, (VALUES ('1'), ('2')) AS c(copy)),
+tok AS (""").replace('FROM skel),\nblocks', 'FROM cells),\nblocks')},{STATE_CTES}
+SELECT c.shown AS dialog_id, pos, n_blocks, block, block_type, label, depth, cum_depth, step, pos AS x, -depth AS y
+FROM state JOIN cells c USING (dialog_id)"""
+
+LONG_SQL = f"""WITH {TEXT_SKEL_CTE.replace('tok AS (', """cells AS (
+  SELECT * REPLACE (array_to_string(list_transform(range(0, 25), lambda i: skeleton), chr(10)) AS skeleton) FROM skel),
+tok AS (""").replace('FROM skel),\nblocks', 'FROM cells),\nblocks')},{STATE_CTES}
+{BLOCK_SELECT}"""
+
 ORACLE_SKELETON: dict[str, str] = {
+    "skel_blocks_dup": DUP_SQL,
+    "skel_blocks_long": LONG_SQL,
     "skel_blocks_hot": f"WITH {EVENT_HOT_CTE},{STATE_CTES}\n{BLOCK_SELECT}",
     "skel_blocks": text_sql(BLOCK_SELECT),
     "skel_blocks_events": event_sql(BLOCK_SELECT),

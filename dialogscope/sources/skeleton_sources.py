@@ -6,14 +6,14 @@ Two shapes, matching the two ways skeletons arrive:
 multi-line dialog cell (the monthly skeleton table's shape).  Bound to
 ``conversations``: each conversation turn is a dialog; its ``text`` is the
 dialog text, and the skeleton cell is derived line by line from that text by a
-narrow per-row rule (``_rule_for``), so every word of every text is
-processed and nothing is grouped.  A few rows get a null, empty or
-whitespace-only skeleton or a null dialog text.
+narrow per-row rule (``_rule_for``): every non-empty line of every text gives one
+block and nothing is grouped.  Edge rows (null, empty or whitespace-only
+skeleton, null dialog text) are added as rows of their own ids.
 
 ``event_blocks`` — one row per block, ordered by (ts, event_id) within a
 user: blocks that arrive as an event stream rather than as a cell.  Bound to
 ``events`` (one dialog per ``user_id``).  No per-user list is ever collected;
-positions are computed by ``skeleton.block_state`` with range chunks, so a user
+positions are computed by ``skeleton.parse_block_stream`` with range chunks, so a user
 owning a third of all events is still spread over many tasks.
 """
 
@@ -31,20 +31,39 @@ def text_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv_id, turn = F.col("conv_id"), F.col("turn")
     lines = F.split(F.col("text"), "\n", -1)
     derived = F.array_join(F.transform(lines, _rule_for), "\n")
-    skeleton = (F.when((conv_id % 7 == 0) & (turn == 0), F.lit(None).cast("string"))
-                .when((conv_id % 11 == 0) & (turn == 1), F.lit(""))
-                .when((conv_id % 11 == 0) & (turn == 2), F.lit(" \n\t\n "))
-                .otherwise(derived))
-    text = F.when((conv_id % 13 == 0) & (turn == 2), F.lit(None).cast("string")).otherwise(F.col("text"))
-    return conv.select(
-        F.format_string("%06d-%03d", conv_id, turn).alias("dialog_id"),
-        skeleton.alias("skeleton"),
-        text.alias("dialog_text"),
+    base = conv.select(
+        F.format_string("%06d-%03d", conv_id, turn).alias("dialog_id"), derived.alias("skeleton"), F.col("text").alias("dialog_text"),
         F.col("role").alias("tag"),
         F.when(turn % 4 == 3, F.lit(None).cast("bigint")).otherwise(F.lit(5) + conv_id % 7).alias("dialog_grade"),
         F.when(turn % 3 == 0, F.lit("pupil")).when(turn % 3 == 1, F.lit("teacher"))
          .otherwise(F.lit(None).cast("string")).alias("dialog_role"),
-    )
+        conv_id.alias("conv_id"), turn.alias("turn"))
+    # (which turns get an extra row, its suffix, its skeleton, its dialog text)
+    none = F.lit(None).cast("string")
+    edges = [((conv_id % 7 == 0) & (turn == 0), "n", none, F.col("dialog_text")),
+             ((conv_id % 11 == 0) & (turn == 1), "e", F.lit(""), F.col("dialog_text")),
+             ((conv_id % 11 == 0) & (turn == 2), "b", F.lit(" \n\t\n "), F.col("dialog_text")),
+             ((conv_id % 13 == 0) & (turn == 2), "t", F.col("skeleton"), none)]
+    extra = F.array(*[F.when(cond, F.struct(F.concat("dialog_id", F.lit("-" + mark)).alias("dialog_id"),
+                                            skeleton.alias("skeleton"), text.alias("dialog_text")))
+                      for cond, mark, skeleton, text in edges])
+    own = F.struct("dialog_id", "skeleton", "dialog_text")
+    rows = F.filter(F.concat(F.array(own), extra), lambda r: r.isNotNull())
+    return (base.select(F.explode(rows).alias("r"), "tag", "dialog_grade", "dialog_role")
+            .select("r.dialog_id", "r.skeleton", "r.dialog_text", "tag", "dialog_grade", "dialog_role"))
+
+
+def repeated_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text skeleton twice under the same id; the id is null where the skeleton's length is a multiple of 5."""
+    sk = text_skeletons(spark, sf_dir).select(
+        F.when(F.length("skeleton") % 5 != 0, F.col("dialog_id")).alias("dialog_id"), "skeleton")
+    return sk.select("dialog_id", "skeleton", F.explode(F.array(F.lit(1), F.lit(2)))).select("dialog_id", "skeleton")
+
+
+def long_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text skeleton with its lines 25 times in a row."""
+    return text_skeletons(spark, sf_dir).select(
+        "dialog_id", F.array_join(F.array_repeat("skeleton", 25), "\n").alias("skeleton"))
 
 
 def _rule_for(line: Column) -> Column:
@@ -61,9 +80,9 @@ def _rule_for(line: Column) -> Column:
         6: F.lit("summary"),
         7: F.lit("info"),
         8: F.concat(F.lit("\t"), F.lit("action"), F.lit("\t")),
-        9: F.lit("   "),
+        9: F.concat(F.lit("note "), (n % 4).cast("string")),  # an "other" block
         10: F.concat(F.lit("action "), (n % 5).cast("string")),
-        11: line,  # the whole line: an "other" block
+        11: F.concat(F.lit("> "), line),  # the whole line: an "other" block
     }
     expr = F.when(n == 0, F.lit(""))
     for r, value in cases.items():

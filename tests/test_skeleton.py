@@ -77,11 +77,11 @@ def expected_rows(rows):
     return exp
 
 
-@pytest.mark.parametrize("chunk_rows", [1, 3, 1 << 14])
-def test_text_skeletons_match_walk(spark, chunk_rows):
+@pytest.mark.parametrize("piece", [1, 5, None, 1 << 14])
+def test_text_skeletons_match_walk(spark, piece):
     rows = random_skeletons(7, 60, hot_blocks=400)
     df = spark.createDataFrame(rows, "dialog_id string, skeleton string")
-    got = skeleton.parse_skeletons(df, chunk_rows=chunk_rows).collect()
+    got = skeleton.parse_skeletons(df, piece_rows=piece).collect()
     exp = expected_rows(rows)
     assert len(got) == len(exp)
     counts = {}
@@ -94,8 +94,8 @@ def test_text_skeletons_match_walk(spark, chunk_rows):
         assert (r.x, r.y) == (r.pos, -r.depth)
 
 
-@pytest.mark.parametrize("chunk_rows,parts", [(50, 7), (1, 29), (1 << 14, 7)])  # range chunks / one per dialog
-def test_event_stream_with_hot_dialog(spark, chunk_rows, parts):
+@pytest.mark.parametrize("parts", [1, 7, 29])
+def test_event_stream_with_hot_dialog(spark, parts):
     rnd = random.Random(11)
     base = dt.datetime(2024, 1, 1)
     rows, per = [], {}
@@ -109,7 +109,7 @@ def test_event_stream_with_hot_dialog(spark, chunk_rows, parts):
             rows.append((f"u{d}", ts, eid, b))
             per.setdefault(f"u{d}", []).append((ts, eid, b))
     df = spark.createDataFrame(rows, "dialog_id string, ts timestamp_ntz, event_id long, block string")
-    got = skeleton.parse_block_stream(df, ("ts", "event_id"), range_partitions=parts, chunk_rows=chunk_rows).collect()
+    got = skeleton.parse_block_stream(df, ("ts", "event_id"), range_partitions=parts).collect()
     assert len(got) == len(rows)
     exp = {}
     for did, evs in per.items():
@@ -117,13 +117,42 @@ def test_event_stream_with_hot_dialog(spark, chunk_rows, parts):
             exp[(did, r[0])] = r[1:]
     for r in got:
         assert (r.block, r.block_type, r.depth, r.cum_depth, r.step, r.is_jump) == exp[(r.dialog_id, r.pos)]
-    drop = {r.dialog_id: r for r in skeleton.dropoff(df, ("ts", "event_id")).collect()}
+    drop = {r.dialog_id: r for r in skeleton.dropoff(df, ("ts", "event_id"), with_block=True).collect()}
+    types = {r.dialog_id: (r.last_type, r.dropped) for r in skeleton.dropoff(df, ("ts", "event_id")).collect()}
+    assert types == {i: (r.last_type, r.dropped) for i, r in drop.items()}
     for did, evs in per.items():
         last = sorted(evs)[-1][2]
         assert drop[did].last_block == last
         assert drop[did].dropped == (kind(last) in DEEPER)
 
 
+def test_repeated_and_null_ids_are_walked_cell_by_cell(spark):
+    rows = [("a", "plan\naction\naction")] * 2 + [(None, "action\n" * 400 + "info 3\naction"), (None, "action\nplan")] * 2
+    for piece in (1, 5, None, 1 << 14):
+        got = skeleton.parse_skeletons(spark.createDataFrame(rows, "dialog_id string, skeleton string"), piece_rows=piece).collect()
+        want = [(i, *r[:2], len(split_blocks(t)), *r[2:]) for i, t in rows for r in walk(split_blocks(t))]
+        assert sorted(((r.dialog_id, r.pos, r.block, r.n_blocks, r.block_type, r.depth, r.cum_depth, r.step, r.is_jump) for r in got),
+                      key=repr) == sorted(want, key=repr)
+
+
+def test_event_stream_keeps_null_ids(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(None if k % 3 == 0 else "d", base + dt.timedelta(seconds=k), k, "action" if k % 4 else "plan") for k in range(120)]
+    df = spark.createDataFrame(rows, "dialog_id string, ts timestamp_ntz, event_id long, block string")
+    for parts in (1, 9):
+        got = skeleton.parse_block_stream(df, ("ts", "event_id"), range_partitions=parts).collect()
+        want = [(i, *r) for i in (None, "d") for r in walk([x[3] for x in rows if x[0] == i])]
+        assert sorted(((r.dialog_id, r.pos, r.block, r.block_type, r.depth, r.cum_depth, r.step, r.is_jump) for r in got), key=repr) \
+            == sorted(want, key=repr)
+
+
+def test_text_parsing_is_narrow_and_dropoff_hashes(spark):
+    df = spark.createDataFrame([("a", "plan")], "dialog_id string, skeleton string")
+    assert "Exchange" not in skeleton.parse_skeletons(df)._jdf.queryExecution().executedPlan().toString()
+    ev = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), 1, "plan")], "dialog_id string, ts timestamp_ntz, event_id long, block string")
+    assert "SortAggregate" not in skeleton.dropoff(ev, ("ts", "event_id"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_excerpts_match_rule(spark):
     rnd = random.Random(3)
     rows = []
