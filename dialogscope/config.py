@@ -8,6 +8,7 @@ session has none (local tests), never a machine-local path on a cluster.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -54,10 +55,10 @@ def build_session(master: str | None = None, app: str = "dialogscope",
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
-    Uses the checkpoint folder the cluster names (``spark.checkpoint.dir``);
-    only when none is set (local runs and tests) a fresh folder under the
-    system temp dir is created and registered as the checkpoint dir, so
-    ``checkpoint()`` works too.
+    Uses the checkpoint folder the cluster names (``spark.checkpoint.dir``).
+    Where none is set, a session with a local master gets a fresh folder under the
+    system temp dir, registered as the checkpoint dir; any other session is
+    refused, since executors could not see a machine-local folder.
     """
     try:
         sc = spark.sparkContext
@@ -65,6 +66,9 @@ def scratch_dir(spark: SparkSession) -> str:
         sc = None
     current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a shared folder: the master is {master!r}, not local")
         current = tempfile.mkdtemp(prefix="dialogscope-ckpt-")
         if sc is not None:
             sc.setCheckpointDir(current)
@@ -80,6 +84,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder this package wrote, on whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     """Partition count for explicit repartitions (range chunking etc.)."""
     try:

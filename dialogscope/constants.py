@@ -101,7 +101,6 @@ EXCERPT_CONTEXT_LINES = 5
 # --- FIXED VALUES: filter sentinel, months ---------------------------------
 ALL = "Все"
 MONTH_PREFIX = {"Январь": "jan", "Февраль": "feb", "Март": "mar", "Апрель": "apr"}
-MONTH_NUMBER = {"Январь": 1, "Февраль": 2, "Март": 3, "Апрель": 4}
 
 # --- FIXED VALUES: source column names of the monthly tables --------------
 SRC_SESSION_SECONDS = "Время сессии в секундах"

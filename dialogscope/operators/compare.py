@@ -2,7 +2,7 @@
 
 The dashboard loads each selected month separately and concatenates them.
 In Spark the months are one table with a ``month`` column (a partition
-column when written by ``sinks.write_partitioned``), so a comparison is a
+column when written by ``sinks.write_monthly``), so a comparison is a
 partition-pruned scan plus one grouped aggregate.  ``union_months`` is kept
 for frames that really are separate (different sources per month).
 """
@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import month_prefix
 from .filters import apply_filters
 
 
@@ -37,5 +38,10 @@ def comparison_filter(df: DataFrame, grade=None, role=None, product=None) -> Dat
 
 
 def select_months(df: DataFrame, months, month_col: str = "month") -> DataFrame:
-    """Restrict to the selected months (pruned partitions when partitioned)."""
-    return df.where(F.col(month_col).isin(list(months)))
+    """Restrict to the selected months (pruned partitions when partitioned).
+
+    Months are given by name, file prefix or ``yyyy-MM``; the column may hold names or
+    prefixes.  An unknown month is an error (S-3).
+    """
+    names = [x for m in months for x in {m, month_prefix(m)}]
+    return df.where(F.col(month_col).isin(names))

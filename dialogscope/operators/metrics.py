@@ -20,12 +20,12 @@ Deliberate deviations:
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import as_date, minutes, pct, prefix
+from .filters import require
 from .quantile import exact_median
 
 
@@ -33,6 +33,11 @@ def _success(status_col: str = "status"):
     return F.col(status_col) == K.TAG_SUCCESS
 
 
+def mean(col: str) -> Column:
+    """The mean of the values that are numbers (null and NaN are skipped, as the median skips them)."""
+    return F.avg(F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double")))
+
+
 def month_order(month_col: str = "month"):
     """T-5: calendar order for month prefixes (``jan`` < ``feb`` …); other
     values (``yyyy-MM``) sort as text, which is calendar order too."""
@@ -56,50 +61,48 @@ def daily_counts(df: DataFrame, dt_col: str = "activity_dt", status_col: str = "
 
 def kpis(df: DataFrame, status_col: str = "status", seconds_col: str = "session_seconds") -> DataFrame:
     """A-7: total, successes, success share (%), mean session minutes."""
+    require(df, status_col, seconds_col)
     agg = df.agg(F.count(F.lit(1)).alias("total"),
                  F.count_if(_success(status_col)).alias("success"),
-                 F.avg(seconds_col).alias("_mean_s"))
+                 mean(seconds_col).alias("_mean_s"))
     return agg.select("total", "success", pct("success", "total").alias("success_pct"),
                       minutes("_mean_s").alias("mean_minutes"))
 
 
 def session_stats(df: DataFrame, seconds_col: str = "session_seconds", pupil_col: str = "pupil_msgs",
-                  tutor_col: str = "tutor_msgs", approx: bool = False,
-                  accuracy: int = 10000) -> DataFrame:
-    """A-8: mean and median session minutes, mean pupil / tutor messages.
-
-    ``approx=True``: one lazy pass with ``percentile_approx`` (rank error
-    ≤ n/accuracy, no interpolation).
-
-    ``approx=False`` (exact): the three columns are projected and persisted
-    (memory, spilling to disk); ONE pass over the source computes the means
-    and the count/min/max the median needs and fills that cache; the median's
-    few histogram passes (``quantile.exact_median``) then read the cache only.
-    The result is a one-row frame of the computed values, and the cache is
-    released before returning.
+                  tutor_col: str = "tutor_msgs", approx: bool = False, accuracy: int = 10000,
+                  seconds: DataFrame | None = None) -> DataFrame:
+    """A-8: mean and median session minutes, mean pupil / tutor messages - each for a column that is there.
+
+    The means are one lazy aggregate.  The median is computed when this is called: exactly, by the
+    distributed passes of ``quantile.exact_median`` over the one column it needs, or with
+    ``percentile_approx`` (rank error at most n/accuracy).  ``seconds`` is a frame of that column alone, for
+    callers whose ``df`` joins other tables for the messages; by default the column is taken from ``df``.
     """
-    means = [minutes(F.avg(seconds_col)).alias("mean_minutes"),
-             F.bround(F.avg(pupil_col), 1).alias("mean_pupil_msgs"),
-             F.bround(F.avg(tutor_col), 1).alias("mean_tutor_msgs")]
-    if approx:
-        med = minutes(F.percentile_approx(F.col(seconds_col).cast("double"), 0.5, accuracy))
-        return df.agg(means[0], med.alias("median_minutes"), *means[1:])
-    cols = df.select(F.col(seconds_col).cast("double").alias(seconds_col), pupil_col, tutor_col)
-    cols = cols.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        s = F.col(seconds_col)
-        valid = s.isNotNull() & ~F.isnan(s)
-        row = cols.agg(*means, F.count_if(valid).alias("n"), F.min(F.when(valid, s)).alias("lo"),
-                       F.max(F.when(valid, s)).alias("hi")).first()
-        median_s = exact_median(cols, seconds_col, stats=(row["n"], row["lo"], row["hi"]))
-    finally:
-        cols.unpersist()
-    spark = df.sparkSession
-    return spark.range(1).select(
-        F.lit(row["mean_minutes"]).cast("double").alias("mean_minutes"),
-        minutes(F.lit(median_s).cast("double")).alias("median_minutes"),
-        F.lit(row["mean_pupil_msgs"]).cast("double").alias("mean_pupil_msgs"),
-        F.lit(row["mean_tutor_msgs"]).cast("double").alias("mean_tutor_msgs"))
+    out = []
+    if seconds_col in df.columns:
+        values = (df if seconds is None else seconds).select(seconds_col)
+        median = approx_median(values, seconds_col, accuracy) if approx else exact_median(values, seconds_col)
+        out += [minutes(mean(seconds_col)).alias("mean_minutes"), minutes(F.lit(median).cast("double")).alias("median_minutes")]
+    out += [F.bround(mean(c), 1).alias(name) for c, name in ((pupil_col, "mean_pupil_msgs"), (tutor_col, "mean_tutor_msgs"))
+            if c in df.columns]
+    if not out:
+        require(df, seconds_col)
+    return df.agg(*out)
+
+
+def approx_median(df: DataFrame, col: str, accuracy: int = 10000) -> float | None:
+    """A value whose rank is at most n/accuracy from the middle."""
+    value = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
+    return df.agg(F.percentile_approx(value, 0.5, accuracy)).first()[0]
+
+
+def rank_error(df: DataFrame, col: str, value: float | None) -> DataFrame:
+    """One row: n values, and how far the ranks of ``value`` lie from the middle rank (0 where they include it)."""
+    v = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
+    below, upto = F.count_if(v < F.lit(value)), F.count_if(v <= F.lit(value))
+    middle = F.count(v) / 2
+    return df.agg(F.count(v).alias("n"), F.greatest(F.lit(0.0), below - middle, middle - upto).alias("rank_error"))
 
 
 def top_sessions(df: DataFrame, k: int = 20, seconds_col: str = "session_seconds") -> DataFrame:
@@ -142,3 +145,11 @@ def monthly_daily_counts(df: DataFrame, month_col: str = "month", dt_col: str =
 def metric_columns(df: DataFrame, parts=tuple(K.METRIC_NAME_PARTS)) -> list[str]:
     """P-10: metric columns discovered by name substring (schema-time only)."""
     return [c for c in df.columns if any(p in c for p in parts)]
+
+
+def metric_cards(df: DataFrame) -> DataFrame:
+    """A-8/P-10: (metric, mean) of every metric column the table has, in one pass."""
+    cols = metric_columns(df)
+    require(df, *(cols or ["a metric column"]))
+    means = df.agg(*[F.bround(mean(f"`{c}`"), 1).alias(f"m{i}") for i, c in enumerate(cols)])
+    return means.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"m{i}").alias("mean")) for i, c in enumerate(cols)])))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 1 << 16
-DEFAULT_SMALL = 1 << 20  # values ranked in one task at the end (~8 MB)
+DEFAULT_SMALL = 1 << 16  # no more rows in the one ranking task than a histogram has bins
 
 
 def _values(df: DataFrame, col: str) -> DataFrame:
@@ -148,7 +148,7 @@ def exact_median(df: DataFrame, col: str, stats: tuple | None = None, **kw) -> f
             # The next rank lies outside the last candidate range: it is the
             # smallest value above v1.
             v2 = base.agg(F.min(F.when(F.col("v") > F.lit(v1), F.col("v"))).alias("above")).first()["above"]
-        return v1 + (v2 - v1) * 0.5
+        return v1 if v1 == v2 else v1 + (v2 - v1) * 0.5  # equal infinities have no difference
     finally:
         if own:
             base.unpersist()

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..config import scratch_path
-from ..functions.columns import as_date, parse_ts
+from ..config import remove_path, scratch_dir, scratch_path
+from ..functions.columns import as_date, parse_ts, zero_if_null
 from ..operators import browse, classes, compare, filters, funnel, metrics, report, skeleton
 from ..sources import bindings as B
 from ..sources import report_file, sinks, tables
 from ..sources import skeleton_sources as SK
 from ..streaming import refresh
+from .dashboard import Dashboard
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,13 +91,58 @@ def q_kpi_headline(spark, sf):
 
 @query("time_summary")
 def q_time_summary(spark, sf):
-    return metrics.session_stats(_dialogs(spark, sf, "session_seconds", "pupil_msgs", "tutor_msgs"))
+    return metrics.session_stats(_dialogs(spark, sf, "session_seconds", "pupil_msgs", "tutor_msgs"),
+                                 seconds=_dialogs(spark, sf, "session_seconds"))
+
+
+APPROX_ACCURACY = 10000
 
 
 @query("time_summary_approx")
 def q_time_summary_approx(spark, sf):
-    return metrics.session_stats(_dialogs(spark, sf, "session_seconds", "pupil_msgs", "tutor_msgs"),
-                                 approx=True)
+    """A-8 with the approximate median, given by its promise: its rank is at most n/accuracy from the middle."""
+    d = _dialogs(spark, sf, "session_seconds")
+    error = metrics.rank_error(d, "session_seconds", metrics.approx_median(d, "session_seconds", APPROX_ACCURACY))
+    return error.select("n", (F.col("rank_error") <= F.col("n") / APPROX_ACCURACY + 1).alias("within_bound"))
+
+
+@query("kpi_nan_default_period")
+def q_kpi_nan_default_period(spark, sf):
+    """A-7/F-2: some times are NaN, some dates are missing: means skip NaN, the default period drops undated rows."""
+    seconds, id_no = F.col("session_seconds"), F.col("dialog_id").cast("bigint")
+    d = _dialogs(spark, sf, "dialog_id", "activity_dt", "status", "session_seconds")
+    d = d.withColumns({"session_seconds": F.when(id_no % 37 == 0, F.lit(float("nan"))).otherwise(seconds.cast("double")),
+                       "activity_dt": F.when(id_no % 41 != 0, F.col("activity_dt"))})
+    return Dashboard(d).kpis()
+
+
+@query("metric_cards")
+def q_metric_cards(spark, sf):
+    """P-10: the metric columns found by the parts of their (source) names, each with its mean."""
+    return metrics.metric_cards(sinks.with_source_names(_dialogs(spark, sf, "session_seconds", "pupil_msgs", "tutor_msgs", "status")))
+
+
+@query("zero_filled")
+def q_zero_filled(spark, sf):
+    """P-13: per product the sum of the grades, a missing grade counted as 0."""
+    d = _dialogs(spark, sf, "product_slug", "dialog_grade")
+    return d.groupBy("product_slug").agg(F.sum(zero_if_null("dialog_grade")).alias("grades"))
+
+
+@query("required_columns")
+def q_required_columns(spark, sf):
+    """F-8: for each wanted column whether the guard lets the table pass, with the rows it then has."""
+    d = _dialogs(spark, sf, "dialog_id", "status")
+
+    def passes(name):
+        try:
+            filters.require(d, name)
+            return True
+        except KeyError:
+            return False
+
+    checks = F.array(*[F.struct(F.lit(n).alias("wanted"), F.lit(passes(n)).alias("present")) for n in ("status", "dialog_id", "no_such_column")])
+    return d.agg(F.count(F.lit(1)).alias("n_rows")).select(F.inline(checks), "n_rows")
 
 
 @query("top_sessions")
@@ -165,6 +211,12 @@ def q_facet_values(spark, sf):
                           ["dialog_grade", "dialog_role", "product_slug"])
 
 
+@query("facet_grades")
+def q_facet_grades(spark, sf):
+    """F-6: the grades on offer, as numbers in order."""
+    return filters.facet_values(_dialogs(spark, sf, "dialog_grade"), "dialog_grade")
+
+
 @query("dialog_search")
 def q_dialog_search(spark, sf):
     d = _dialogs(spark, sf, "dialog_id", "status")
@@ -184,6 +236,22 @@ def q_cmp_conversion(spark, sf):
     return metrics.monthly_conversion(_dialogs(spark, sf, "month", "status"))
 
 
+@query("cmp_months_named")
+def q_cmp_months_named(spark, sf):
+    """U-1/S-3: two months chosen by their names, from a table that holds file prefixes."""
+    d = _with_prefix(_dialogs(spark, sf, "activity_dt", "status"))
+    return metrics.monthly_conversion(compare.select_months(d, list(K.MONTH_PREFIX)[1:3]))
+
+
+@query("month_routing")
+def q_month_routing(spark, sf):
+    """S-3: month name → file prefix, and the dialogs of each such month."""
+    routes = F.array(*[F.struct(F.lit(m).alias("month_name"), F.lit(tables.month_prefix(m)).alias("prefix")) for m in K.MONTH_PREFIX])
+    counts = _with_prefix(_dialogs(spark, sf, "activity_dt")).where("month is not null").groupBy("month").agg(F.count(F.lit(1)).alias("n_dialogs"))
+    return counts.select("month", "n_dialogs", F.explode(F.filter(routes, lambda r: r["prefix"] == F.col("month"))).alias("r")).select(
+        "r.month_name", "r.prefix", "n_dialogs")
+
+
 @query("cmp_conversion_filtered")
 def q_cmp_conversion_filtered(spark, sf):
     """The comparison view with the sidebar's grade and role applied — and,
@@ -345,28 +413,90 @@ def q_skeleton_browse(spark, sf):
 
 # --- sources and sinks (round trips through files Spark writes) -------------------------
 
-def _source_dialogs(spark, sf) -> DataFrame:
-    """The dialogs with the monthly files' own column names and text dates."""
-    d = B.dialogs(spark, sf)
-    back = {canon: src for src, canon in K.DIALOG_COLUMNS.items()}
-    return d.select(*[(F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c == "activity_dt" else F.col(c))
-                      .alias(back.get(c, c)) for c in d.columns])
+def _with_prefix(d: DataFrame) -> DataFrame:
+    """The dialogs with the file prefix of their calendar month; null beyond the months that have files."""
+    months = F.array(*[F.lit(p) for p in K.MONTH_PREFIX.values()])
+    return d.withColumn("month", F.get(months, F.month("activity_dt") - 1))
+
+
+def _kept(result: DataFrame, *folders: str) -> DataFrame:
+    """The result of reading files back, checkpointed, with the files removed."""
+    spark = result.sparkSession
+    scratch_dir(spark)
+    out = result.checkpoint()
+    for folder in folders:
+        remove_path(spark, folder)
+    return out
+
+
+def _dialog_rows(df: DataFrame) -> DataFrame:
+    """Every row of a dialog table that was read back, in comparable types."""
+    return df.select("month", "dialog_id", as_date("activity_dt").alias("day"), "dialog_grade", "dialog_role", "product_slug",
+                     "status", "status_post", F.col("session_seconds").cast("double").alias("session_seconds"))
+
+
+ROW_COLS = ("dialog_id", "activity_dt", "month", "dialog_grade", "dialog_role", "product_slug", "status", "status_post", "session_seconds")
 
 
 @query("src_monthly_read")
 def q_src_monthly_read(spark, sf):
-    """S-1/S-2/K-1/P-12: write the dialogs as monthly CSV folders, read every
-    month back with one multi-path read, and count per month."""
+    """S-1/S-2/P-12: the dialogs written as monthly CSV folders and read back with one multi-path read, row by row."""
     root = scratch_path(spark, "monthly")
-    sinks.write_monthly(_source_dialogs(spark, sf), root, "chart_data", month_col=K.SRC_MONTH)
-    back = tables.canonical_dialogs(
-        tables.read_table(spark, root, "chart_data", None, partitioned=True, month_dir=K.SRC_MONTH))
-    return (back.groupBy("month")
-            .agg(F.count(F.lit(1)).alias("n_dialogs"),
-                 F.count_if(F.col("status") == K.TAG_SUCCESS).alias("n_success"),
-                 F.count_if(F.col("product_slug").isNull()).alias("n_no_product"),
-                 F.min(as_date("activity_dt")).alias("first_day"),
-                 F.sum(F.col("session_seconds").cast("decimal(18,2)")).cast("double").alias("total_seconds")))
+    d = sinks.with_source_names(_dialogs(spark, sf, *ROW_COLS))
+    sinks.write_monthly(d, root, "chart_data", month_col=K.SRC_MONTH)
+    back = tables.read_table(spark, root, "chart_data", None, partitioned=True, month_dir=K.SRC_MONTH)
+    return _kept(_dialog_rows(tables.canonical_dialogs(back)), root)
+
+
+@query("export_csv")
+def q_export_csv(spark, sf):
+    """K-1: the dashboard's export, with the source's headers, read back as a source file, row by row."""
+    root = scratch_path(spark, "export")
+    path = Dashboard(_dialogs(spark, sf, *[c for c in ROW_COLS if c != "month"]), role=ROLE).export(root, "jan")
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/jan_chart_data.csv")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).rename(spark._jvm.org.apache.hadoop.fs.Path(path), target)
+    back = tables.read_table(spark, root, "chart_data", ["jan"])
+    return _kept(_dialog_rows(tables.canonical_dialogs(back)), root)
+
+
+def _month_files(spark, sf, root: str, change) -> None:
+    """The dialogs of three months as source files ``{prefix}_chart_data.csv``, changed by ``change``."""
+    d = change(_with_prefix(_dialogs(spark, sf, *[c for c in ROW_COLS if c != "month"])))
+    for prefix in list(K.MONTH_PREFIX.values())[:3]:
+        part = sinks.with_source_names(d.where(F.col("month") == prefix).drop("month"))
+        sinks.export_csv(part, f"{root}/{prefix}_chart_data.csv")
+
+
+@query("src_null_words")
+def q_src_null_words(spark, sf):
+    """S-1: cells that say "missing" in one of the known words are null, in text and number columns."""
+    root, n = scratch_path(spark, "words"), F.col("dialog_id").cast("bigint")
+    word = F.element_at(F.array(*map(F.lit, tables.NULL_WORDS)), (n % len(tables.NULL_WORDS) + 1).cast("int"))
+    _month_files(spark, sf, root, lambda d: d.withColumns({
+        "product_slug": F.when(n % 3 == 0, word).otherwise(F.col("product_slug")),
+        "dialog_grade": F.when(n % 5 == 0, word).otherwise(F.col("dialog_grade").cast("string")),
+        "session_seconds": F.when(n % 7 == 0, word).otherwise(F.col("session_seconds").cast("string"))}))
+    return _kept(_dialog_rows(tables.canonical_dialogs(tables.read_table(spark, root, "chart_data"))), root)
+
+
+@query("src_multiline")
+def q_src_multiline(spark, sf):
+    """S-1: quoted cells with line breaks and quotes stay one cell."""
+    root, n = scratch_path(spark, "lines"), F.col("dialog_id").cast("bigint")
+    _month_files(spark, sf, root, lambda d: d.withColumn("dialog_role", F.when(
+        n % 4 == 0, F.concat(F.lit("a \"quoted\"\nsecond line,"), F.col("dialog_role"))).otherwise(F.col("dialog_role"))))
+    return _kept(_dialog_rows(tables.canonical_dialogs(tables.read_table(spark, root, "chart_data"))), root)
+
+
+@query("src_missing_month")
+def q_src_missing_month(spark, sf):
+    """S-2: a month without a file is empty, the others are read; no months asked for, no rows."""
+    root = scratch_path(spark, "missing")
+    _month_files(spark, sf, root, lambda d: d)
+    months = list(K.MONTH_PREFIX)
+    back = tables.read_table(spark, root, "chart_data", [months[0], months[3]])
+    none = tables.read_table(spark, root, "chart_data", [])
+    return _kept(_dialog_rows(tables.canonical_dialogs(back.unionByName(none, allowMissingColumns=True))), root)
 
 
 @query("class_read")
@@ -381,7 +511,7 @@ def q_class_read(spark, sf):
     root = scratch_path(spark, "classes")
     sinks.write_monthly(monthly, root, "class_stats", month_col=K.SRC_MONTH)
     back = tables.read_table(spark, root, "class_stats", None, partitioned=True, month_dir=K.SRC_MONTH)
-    return tables.canonical_classes(back).select("month", "grade", "subject", "pupils")
+    return _kept(tables.canonical_classes(back).select("month", "grade", "subject", "pupils"), root)
 
 
 @query("norm_alias")
@@ -423,15 +553,15 @@ def q_report_tidy(spark, sf):
     root = scratch_path(spark, "reports")
     full = report.full_report(_dialogs(spark, sf, "month", "status", "status_post"), by="month")
     path = sinks.write_report_files(full, root, by="month")
-    return report_file.parse_report(spark, path).select(*(["month"] + report.REPORT_COLUMNS))
+    return _kept(report_file.parse_report(spark, path).select(*(["month"] + report.REPORT_COLUMNS)), root)
 
 
 @query("stream_tag_counts")
 def q_stream_tag_counts(spark, sf):
     """Streaming refresh: monthly dialog files processed by a file-stream
     query into per-month tag counts."""
-    root = scratch_path(spark, "stream-src")
+    root = scratch_path(spark, "stream")
     d = _dialogs(spark, sf, "month", "status")
-    d.write.partitionBy("month").parquet(root)
+    d.write.partitionBy("month").parquet(f"{root}/source")
     schema = T.StructType([T.StructField("status", T.StringType()), T.StructField("month", T.StringType())])
-    return refresh.run_available(spark, root, schema, names=TAG_COUNT_NAMES)
+    return _kept(refresh.run_available(spark, f"{root}/source", schema, names=TAG_COUNT_NAMES, folder=root), root)

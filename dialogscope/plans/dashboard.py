@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import browse, classes, compare, filters, funnel, metrics, report, skeleton
 from ..sources import sinks
@@ -46,10 +47,19 @@ class Dashboard:
 
     @property
     def filtered(self) -> DataFrame:
-        """F-1…F-3: the dialogs passing every sidebar filter."""
+        """F-1…F-3: the dialogs passing every sidebar filter.
+
+        Without a period the default one applies, from the first to the last day: it keeps
+        every dialog with a readable date (all dialogs, if none has one).
+        """
         if self._filtered is None:
-            self._filtered = filters.apply_filters(self.dialogs, grade=self.grade, role=self.role,
-                                                   product=self.product, period=self.period)
+            d = filters.apply_filters(self.dialogs, grade=self.grade, role=self.role,
+                                      product=self.product, period=self.period)
+            if not self.period and "activity_dt" in d.columns:
+                dated = F.col("activity_dt").isNotNull()
+                if not self.dialogs.where(dated).isEmpty():
+                    d = d.where(dated)
+            self._filtered = d
         return self._filtered
 
     def filter_effect(self) -> DataFrame:
@@ -143,8 +153,8 @@ class Dashboard:
         return report.full_report(self.filtered)
 
     def export(self, folder: str, month: str) -> str:
-        """K-1: the filtered dialogs as CSV under ``analytics_{month}_{YYYYMMDD}``."""
+        """K-1: the filtered dialogs as CSV with the source's headers under ``analytics_{month}_{YYYYMMDD}``."""
         path = f"{folder.rstrip('/')}/{sinks.export_name(month)}"
-        sinks.export_csv(self.filtered, path)
+        sinks.export_csv(sinks.with_source_names(self.filtered), path)
         return path
 

@@ -281,6 +281,11 @@ def _merge_skeleton() -> None:
     })
 
 
+ROW_SELECT = ("dialog_id, CAST(activity_dt AS DATE) AS day, dialog_grade, dialog_role, product_slug, status, status_post, "
+              "CAST(session_seconds AS DOUBLE) AS session_seconds")
+PREFIX = "CASE month(activity_dt) " + " ".join(f"WHEN {i} THEN {lit(p)}" for i, p in enumerate(K.MONTH_PREFIX.values(), 1)) + " END"
+
+
 def _month_tag_counts_sql() -> str:
     cols = ", ".join(f"count(*) FILTER (WHERE status = {lit(t)}) AS {n}"
                      for t, n in zip(K.STAGE1_REPORT_TAGS, C.TAG_COUNT_NAMES))
@@ -288,12 +293,39 @@ def _month_tag_counts_sql() -> str:
 
 
 ORACLE.update({
-    "src_monthly_read": with_dialogs(
-        f"SELECT month, count(*) AS n_dialogs, count(*) FILTER (WHERE status = {lit(K.TAG_SUCCESS)}) AS n_success, "
-        f"count(*) FILTER (WHERE product_slug IS NULL) AS n_no_product, "
-        f"min(CAST(activity_dt AS DATE)) AS first_day, "
-        f"CAST(sum(CAST(session_seconds AS DECIMAL(18, 2))) AS DOUBLE) AS total_seconds "
-        f"FROM dialogs GROUP BY month"),
+    "src_monthly_read": with_dialogs(f"SELECT month, {ROW_SELECT} FROM dialogs"),
+    "export_csv": with_dialogs(f"SELECT 'jan' AS month, {ROW_SELECT} FROM dialogs WHERE dialog_role = {lit(C.ROLE)}"),
+    "src_null_words": with_dialogs(
+        f"SELECT {PREFIX} AS month, {ROW_SELECT} FROM (SELECT * REPLACE ("
+        "CASE WHEN CAST(dialog_id AS BIGINT) % 3 <> 0 THEN product_slug END AS product_slug, "
+        "CASE WHEN CAST(dialog_id AS BIGINT) % 5 <> 0 THEN dialog_grade END AS dialog_grade, "
+        "CASE WHEN CAST(dialog_id AS BIGINT) % 7 <> 0 THEN session_seconds END AS session_seconds) FROM dialogs) "
+        "WHERE month(activity_dt) <= 3"),
+    "src_multiline": with_dialogs(
+        f"SELECT {PREFIX} AS month, {ROW_SELECT} FROM (SELECT * REPLACE (CASE WHEN CAST(dialog_id AS BIGINT) % 4 = 0 "
+        "THEN 'a \"quoted\"' || chr(10) || 'second line,' || dialog_role ELSE dialog_role END AS dialog_role) FROM dialogs) "
+        "WHERE month(activity_dt) <= 3"),
+    "src_missing_month": with_dialogs(f"SELECT {PREFIX} AS month, {ROW_SELECT} FROM dialogs WHERE month(activity_dt) = 1"),
+    "cmp_months_named": with_dialogs(
+        f"SELECT {PREFIX} AS month, count(*) AS total, count(*) FILTER (WHERE status = {lit(K.TAG_SUCCESS)}) AS success, "
+        f"{pct(f'count(*) FILTER (WHERE status = {lit(K.TAG_SUCCESS)})', 'count(*)')} AS conversion_pct "
+        "FROM dialogs WHERE month(activity_dt) IN (2, 3) GROUP BY 1"),
+    "month_routing": with_dialogs(
+        f"SELECT CASE month(activity_dt) {' '.join(f'WHEN {i} THEN {lit(m)}' for i, m in enumerate(K.MONTH_PREFIX, 1))} END AS month_name, "
+        f"{PREFIX} AS prefix, count(*) AS n_dialogs FROM dialogs WHERE month(activity_dt) <= {len(K.MONTH_PREFIX)} GROUP BY 1, 2"),
+    "time_summary_approx": "SELECT count(*) AS n, true AS within_bound FROM orders",
+    "kpi_nan_default_period": with_dialogs(
+        f"SELECT total, success, {pct('success', 'total')} AS success_pct, {minutes('mean_s')} AS mean_minutes FROM (SELECT count(*) AS total, "
+        f"count(*) FILTER (WHERE status = {lit(K.TAG_SUCCESS)}) AS success, "
+        "avg(session_seconds) FILTER (WHERE CAST(dialog_id AS BIGINT) % 37 <> 0) AS mean_s FROM dialogs "
+        "WHERE activity_dt IS NOT NULL AND CAST(dialog_id AS BIGINT) % 41 <> 0)"),
+    "metric_cards": with_dialogs(" UNION ALL ".join(
+        f"SELECT {lit(src)} AS metric, round_even(avg({col}), 1) AS mean FROM dialogs"
+        for src, col in ((K.SRC_SESSION_SECONDS, "session_seconds"), (K.SRC_PUPIL_MSGS, "pupil_msgs"), (K.SRC_TUTOR_MSGS, "tutor_msgs")))),
+    "zero_filled": with_dialogs("SELECT product_slug, CAST(sum(coalesce(dialog_grade, 0)) AS BIGINT) AS grades FROM dialogs GROUP BY 1"),
+    "required_columns": "SELECT wanted, present, (SELECT count(*) FROM orders) AS n_rows FROM "
+                        "(VALUES ('status', true), ('dialog_id', true), ('no_such_column', false)) AS w(wanted, present)",
+    "facet_grades": with_dialogs("SELECT DISTINCT dialog_grade AS value FROM dialogs WHERE dialog_grade IS NOT NULL"),
     "class_read": "SELECT strftime(o_orderdate, '%Y-%m') AS month, 5 + o_orderkey % 7 AS grade, "
                   "o_orderstatus AS subject, count(*) AS pupils FROM orders GROUP BY 1, 2, 3",
     "cmp_union": with_dialogs(

@@ -22,6 +22,13 @@ def export_name(month: str, day: _dt.date | None = None) -> str:
     return f"analytics_{month}_{day.strftime('%Y%m%d')}"
 
 
+def with_source_names(df: DataFrame) -> DataFrame:
+    """The canonical dialog columns under the source files' names, timestamps as text."""
+    back = {canon: src for src, canon in K.DIALOG_COLUMNS.items()}
+    return df.select(*[(F.date_format(c, "yyyy-MM-dd HH:mm:ss") if t.startswith("timestamp") else F.col(f"`{c}`"))
+                       .alias(back.get(c, c)) for c, t in df.dtypes])
+
+
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K-1: CSV with a header row, UTF-8, quotes escaped by doubling."""
     (df.write.mode(mode).option("header", True).option("escape", '"').option("encoding", "UTF-8")
@@ -93,7 +100,8 @@ def write_report_files(report: DataFrame, root: str, by: str = "month") -> str:
     lines in file order, no header row (the file's first line is its banner)."""
     path = f"{root.rstrip('/')}/report"
     lines = report_lines(report, by)
-    (lines.hint("rebalance", f"`{by}`").sortWithinPartitions(by, "line_no")
+    # Hash partitioned, not rebalanced: a file must hold its group's lines whole and in order.
+    (lines.repartition(by).sortWithinPartitions(by, "line_no")
      .drop("line_no").write.mode("overwrite").partitionBy(by)
      .option("header", False).option("escape", '"').option("quoteAll", False).csv(path))
     return path

@@ -10,15 +10,16 @@ per-month frames are unioned on the driver.
 Deliberate deviations:
 
 * S-3: an unknown month name raises instead of silently reading January.
-* S-1: Spark drops a UTF-8 BOM by itself; quoted fields may span lines.
+* S-1: Spark drops a UTF-8 BOM by itself; quoted fields may span lines.  The words that
+  the source's reader takes for a missing value (``NULL_WORDS``) become null.
 """
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,9 @@ CLASS_SCHEMA = T.StructType([
     T.StructField(K.SRC_SUBJECT, T.StringType()),
     T.StructField(K.SRC_PUPILS, T.LongType()),
 ])
+# FIXED VALUES: cell texts that mean "missing" (besides the empty cell).
+NULL_WORDS = ["#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+              "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 SCHEMAS = {"chart_data": DIALOG_SCHEMA, "class_stats": CLASS_SCHEMA}
 
 
@@ -58,22 +62,20 @@ def month_prefix(month: str) -> str:
     raise KeyError(f"unknown month {month!r}; known: {list(K.MONTH_PREFIX)}")
 
 
-def _exists(path: str) -> bool:
-    # Local paths are checked directly; other file systems are left to Spark
-    # (a missing path then raises at read time).
-    if "://" in path and not path.startswith("file:"):
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path's own file system has it (resolving a text read looks it up, and reads nothing)."""
+    try:
+        spark.read.text(path).schema  # noqa: B018
         return True
-    return os.path.exists(path.replace("file:", ""))
-
-
-# Tables whose cells span lines (quoted dialog text): read with multiLine,
-# which makes each file one task.  The others stay splittable.
-MULTILINE_TABLES = {"skeleton"}
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def read_table(spark: SparkSession, root: str, table: str, months: Sequence[str] | None = None,
                schema: T.StructType | None = None, partitioned: bool = False,
-               month_dir: str = "month", multi_line: bool | None = None) -> DataFrame:
+               month_dir: str = "month", multi_line: bool = True) -> DataFrame:
     """S-1/S-2/S-6: the rows of ``table`` for ``months`` (None = every month
     present) with a ``month`` column holding the month prefix.
 
@@ -89,34 +91,32 @@ def read_table(spark: SparkSession, root: str, table: str, months: Sequence[str]
     unioned by column name, missing columns null (U-1) — a handful of lazy
     scans.  ``partitioned=True`` reads the uniform ``{month_dir}=…`` folder
     layout written by ``sinks.write_monthly`` with ONE multi-path scan (pruned
-    to the asked months).
+    to the asked months); files whose header differs from the first one's are an error.
 
-    ``multi_line`` (default: only for tables in ``MULTILINE_TABLES``) allows
-    quoted cells with line breaks; it makes every file a single task, so
-    line-free tables are read splittable (many tasks per large file).
+    Quoted cells may hold line breaks, which makes every file a single task.  Where no cell
+    does, ``multi_line=False`` reads large files in many tasks; a row that does not
+    fit the header (a cell did hold a line break) is then an error, never shifted.
     """
     schema = schema or SCHEMAS.get(table)
-    if multi_line is None:
-        multi_line = table in MULTILINE_TABLES
     reader = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-              .option("encoding", "UTF-8").option("mode", "PERMISSIVE"))
+              .option("encoding", "UTF-8").option("enforceSchema", False).option("mode", "PERMISSIVE" if multi_line else "FAILFAST"))
     if partitioned:
         base = f"{root.rstrip('/')}/{table}"
         if months is None:
-            paths = [base] if _exists(base) else []
+            paths = [base] if _exists(spark, base) else []
         else:
             paths = [f"{base}/{month_dir}={month_prefix(m)}" for m in months]
-            paths = [p for p in paths if _exists(p)]
+            paths = [p for p in paths if _exists(spark, p)]
         if not paths:
             return _empty(spark, schema)
         df = reader.option("basePath", base).csv(paths)
-        return _typed(df, schema).withColumn("month", F.col(f"`{month_dir}`").cast("string")) \
-            .drop(*([month_dir] if month_dir != "month" else []))
+        month = F.col(f"`{month_dir}`").cast("string")
+        return _typed(df.withColumn("month", month).drop(*([month_dir] if month_dir != "month" else [])), schema, keep=("month",))
     frames = {}
-    for m in (months or list(K.MONTH_PREFIX)):
+    for m in (list(K.MONTH_PREFIX) if months is None else months):
         prefix = month_prefix(m)
         path = f"{root.rstrip('/')}/{prefix}_{table}.csv"
-        if _exists(path):
+        if _exists(spark, path):
             frames[prefix] = _typed(reader.csv(path), schema)
     if not frames:
         return _empty(spark, schema)
@@ -127,13 +127,18 @@ def read_table(spark: SparkSession, root: str, table: str, months: Sequence[str]
     return out
 
 
-def _typed(df: DataFrame, schema: T.StructType | None) -> DataFrame:
-    """Cast the schema's columns by name (unparseable → null), keep the rest."""
-    if schema is None:
-        return df
-    known = {f.name: f.dataType for f in schema.fields}
-    return df.select(*[F.col(f"`{c}`").try_cast(known[c]).alias(c) if c in known else F.col(f"`{c}`")
-                       for c in df.columns])
+def _typed(df: DataFrame, schema: T.StructType | None, keep: Sequence[str] = ()) -> DataFrame:
+    """Null words to null, then the schema's columns cast by name (unparseable → null); the rest stays text."""
+    known = {f.name: f.dataType for f in schema.fields} if schema else {}
+
+    def cell(name):
+        value = F.col(f"`{name}`")
+        if name in keep:
+            return value
+        value = F.when(~value.isin(NULL_WORDS), value)
+        return (value.try_cast(known[name]) if name in known else value).alias(name)
+
+    return df.select(*[cell(c) for c in df.columns])
 
 
 def _empty(spark: SparkSession, schema: T.StructType | None) -> DataFrame:
@@ -177,7 +182,7 @@ def canonical_dialogs(df: DataFrame) -> DataFrame:
         if src in out.columns and src != canon:
             out = out.withColumnRenamed(src, canon)
     if "dialog_grade" in out.columns:
-        out = out.withColumn("dialog_grade", F.col("dialog_grade").cast("bigint"))
+        out = out.withColumn("dialog_grade", F.col("dialog_grade").try_cast("bigint"))
     if "activity_dt" in out.columns:
         out = out.withColumn("activity_dt", F.col("activity_dt").try_cast("timestamp_ntz"))
     return out
@@ -189,7 +194,7 @@ def canonical_skeletons(df: DataFrame) -> DataFrame:
     skeleton column becomes ``''``)."""
     out = normalise(df, SKELETON_ALIASES, rename={K.SRC_DIALOG_TEXT: "dialog_text", K.SRC_TAG: "tag"})
     if "dialog_grade" in out.columns:
-        out = out.withColumn("dialog_grade", F.col("dialog_grade").try_cast("double").cast("bigint"))
+        out = out.withColumn("dialog_grade", F.col("dialog_grade").try_cast("double").try_cast("bigint"))
     return out
 
 

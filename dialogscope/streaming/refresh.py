@@ -3,7 +3,7 @@
 The dashboard's "refresh" button drops its cache and re-reads every monthly
 file.  Here new monthly files landing in a folder update the per-month tag
 counts incrementally: a file stream → the same conditional-count aggregate as
-``funnel.tag_counts`` grouped by month → a complete-mode sink.  The state is
+``funnel.tag_counts`` grouped by month → a table, written anew after each batch.  The state is
 one row of counters per month (bounded by the number of months), kept in the
 state store under the checkpoint folder, so a restarted or failed query
 resumes where it stopped.
@@ -15,7 +15,6 @@ and tests; ``start`` leaves a continuously running query for production.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,23 +46,33 @@ def read_dialog_stream(spark: SparkSession, path: str, schema: T.StructType, fmt
     return reader.load(path)
 
 
-def start(agg: DataFrame, name: str, checkpoint: str, sink: str = "memory",
-          trigger: dict | None = None) -> StreamingQuery:
-    writer = (agg.writeStream.outputMode("complete").format(sink).queryName(name)
-              .option("checkpointLocation", checkpoint))
-    writer = writer.trigger(**(trigger or {"processingTime": "30 seconds"}))
-    return writer.start()
+def start(agg: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the counts in ``folder``: each micro-batch writes the whole table to ``{folder}/batch={id}``.
+
+    A batch that is run again after a failure overwrites its own folder.
+    """
+    def write(counts: DataFrame, batch: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    writer = agg.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "30 seconds"})).start()
+
+
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts as of the last batch that was written."""
+    counts = spark.read.parquet(folder)
+    last = counts.agg(F.max("batch")).first()[0]
+    return counts.where(F.col("batch") == F.lit(last)).drop("batch")
 
 
 def run_available(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
-                  names: Sequence[str] | None = None, max_files_per_trigger: int | None = None
-                  ) -> DataFrame:
-    """Process every file present under ``path`` and return the counts."""
+                  names: Sequence[str] | None = None, max_files_per_trigger: int | None = None,
+                  folder: str | None = None) -> DataFrame:
+    """Process every file present under ``path`` and return the counts, kept under ``folder`` (default: scratch)."""
     stream = read_dialog_stream(spark, path, schema, fmt, max_files_per_trigger)
-    name = f"dialog_counts_{uuid.uuid4().hex[:8]}"
-    q = start(month_counts(stream, names=names), name, scratch_path(spark, "stream-ckpt"),
-              trigger={"availableNow": True})
+    folder = folder or scratch_path(spark, "stream")
+    q = start(month_counts(stream, names=names), f"{folder}/counts", f"{folder}/state", trigger={"availableNow": True})
     q.awaitTermination()
     if q.exception() is not None:  # pragma: no cover - surfaced to the caller
         raise q.exception()
-    return spark.table(name)
+    return latest(spark, f"{folder}/counts")

@@ -64,8 +64,17 @@ CLASSES = {
             (8, "Геометрия", 18), (8, "Алгебра", 52), (9, "Алгебра", 22), (9, "Геометрия", 4),
             (10, "Алгебра", 30), (10, "Геометрия", 17), (11, "Алгебра", 38), (11, "Геометрия", 14),
             (11, "ТВИС", 1)],
+    "mar": [(5, "Математика", 647), (6, "Математика", 327), (7, "Алгебра", 290), (7, "Геометрия", 126), (7, "ТВИС", 1),
+            (8, "Геометрия", 155), (8, "Алгебра", 176), (8, "ТВИС", 1), (9, "Алгебра", 115), (9, "Геометрия", 76),
+            (10, "Алгебра", 98), (10, "ТВИС", 4), (10, "Геометрия", 77), (11, "Алгебра", 164), (11, "Геометрия", 83)],
+    "apr": [(5, "Математика", 523), (6, "Математика", 346), (7, "Алгебра", 230), (7, "Геометрия", 134), (7, "ТВИС", 42),
+            (8, "Алгебра", 161), (8, "Геометрия", 72), (8, "ТВИС", 15), (9, "Геометрия", 41), (9, "Алгебра", 104),
+            (10, "Алгебра", 93), (10, "ТВИС", 26), (10, "Геометрия", 81), (11, "Геометрия", 45), (11, "Алгебра", 108),
+            (11, "ТВИС", 9)],
 }
 SUBJECT_SUMS = {
     "jan": {"Математика": 613, "Алгебра": 660, "Геометрия": 104, "ТВИС": 3},
     "feb": {"Математика": 377, "Алгебра": 265, "Геометрия": 92, "ТВИС": 1},
+    "mar": {"Математика": 974, "Алгебра": 843, "Геометрия": 517, "ТВИС": 6},
+    "apr": {"Математика": 869, "Алгебра": 696, "Геометрия": 373, "ТВИС": 92},
 }

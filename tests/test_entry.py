@@ -31,7 +31,7 @@ def test_oracle_keys_are_queries():
 
 def _norm(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
+        return "NaN" if math.isnan(v) else round(v, 6)
     if hasattr(v, "isoformat"):
         return v.isoformat()
     return v

@@ -97,7 +97,7 @@ def test_post_rate(dialogs):
     assert (r.total_success, r.solved, r.solved_pct) == (2158, 281, 13.0)
 
 
-@pytest.mark.parametrize("month", ["jan", "feb"])
+@pytest.mark.parametrize("month", sorted(CLASSES))
 def test_class_rollups(spark, month):
     cs = spark.createDataFrame(CLASSES[month], "grade long, subject string, pupils long")
     sums = {r.subject: r.pupils for r in classes.subject_totals(cs).collect()}

@@ -16,15 +16,15 @@ SCHEMA = T.StructType([T.StructField("status", T.StringType()), T.StructField("m
 
 def test_refresh_resumes_and_updates(spark):
     src = scratch_path(spark, "t-stream-src")
-    ckpt = scratch_path(spark, "t-stream-ckpt")
+    folder = scratch_path(spark, "t-stream-out")
     first = spark.createDataFrame([(K.TAG_SUCCESS, "jan"), (K.TAG_EMPTY, "jan"), (None, "feb")], "status string, month string")
     first.write.mode("append").partitionBy("month").parquet(src)
 
     def run():
         stream = refresh.read_dialog_stream(spark, src, SCHEMA)
-        q = refresh.start(refresh.month_counts(stream), "t_refresh", ckpt, trigger={"availableNow": True})
+        q = refresh.start(refresh.month_counts(stream), f"{folder}/counts", f"{folder}/state", trigger={"availableNow": True})
         q.awaitTermination()
-        return {r.month: r for r in spark.table("t_refresh").collect()}
+        return {r.month: r for r in refresh.latest(spark, f"{folder}/counts").collect()}
 
     got = run()
     assert (got["jan"].total, got["jan"].n_0, got["jan"].n_1) == (2, 1, 1)
