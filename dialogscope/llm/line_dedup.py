@@ -5,7 +5,8 @@
    largest first, and position.  A line that a third of all documents hold spreads over as many
    partitions as its rows need, since the document is part of the range key.
 3. Each partition streams its first row of every (hash, document) and folds them to one row
-   per hash, and only those folded rows are shuffled: the number of documents and the keeper.
+   per hash and partition, and only those folded rows meet: the number of documents and the keeper of a hash.
+   The answer goes back by (hash, partition), so no task gets more rows of a hash than one partition holds.
 4. The positions to drop are folded into one sparse bitmap per document row: 64-bit words,
    all-kept words left out.  Documents meet their bitmap, not other documents' text.
 
@@ -16,7 +17,7 @@ text).  A keeper keeps every line with the key.  Other columns pass through ``wi
 
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dialogscope.llm.common import cut, spread, table
@@ -52,13 +53,15 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
     words: array of (word, bits), where bit b of a word tells that line 64 * word + b goes; words without a bit are left out.
     """
-    held = cut(line_positions(docs, min_chars)
+    held = cut(cut(line_positions(docs, min_chars))
                .repartitionByRange(spread(docs), F.col("hash"), F.col("doc_id").desc_nulls_last())
-               .sortWithinPartitions("hash", F.col("doc_id").desc_nulls_last(), "pos"))
-    repeated = (held.select("hash", "doc_id").distinct()
-                .groupBy("hash").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
-                .where(F.col("n_docs") >= min_docs).select(F.col("hash").alias("repeated"), "keeper"))
-    going = held.join(repeated, F.col("hash") == F.col("repeated")).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+               .sortWithinPartitions("hash", F.col("doc_id").desc_nulls_last(), "pos")).withColumn("part", F.spark_partition_id())
+    pieces = (held.select("hash", "doc_id", "part").distinct()
+              .groupBy("hash", "part").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")))
+    whole = Window.partitionBy("hash")
+    repeated = (pieces.select("hash", "part", F.sum("n_docs").over(whole).alias("n_docs"), F.max("keeper").over(whole).alias("keeper"))
+                .where(F.col("n_docs") >= min_docs))
+    going = held.join(repeated, ["hash", "part"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return (going.groupBy("doc_id", "print", F.expr("pos >> 6").alias("word"))
             .agg(F.expr("bit_or(1L << (pos & 63))").alias("bits"))
             .groupBy("doc_id", "print")
