@@ -34,6 +34,16 @@ def spread(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def own_exchange(*keys: str) -> Column:
+    """A further grouping column that changes no group.
+
+    An aggregate by k that is joined by k lends the join its partitioning, and then adaptive execution can't split
+    a hot key's partition.  Grouped by k and this column, the few rows of the aggregate are dealt
+    out once more, both sides of the join have exchanges of their own, and a hot key is split.
+    """
+    return F.xxhash64(*keys).alias("_own")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it in any letter case."""
     taken = {c.lower() for c in df.columns}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogscope.config import scratch_path
-from dialogscope.llm.common import cut, spread, table
+from dialogscope.llm.common import cut, own_exchange, spread, table
 
 FILE_BYTES = 64 << 20
 SAMPLE_RECORDS = 1_000
@@ -163,7 +163,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, revisits, is_revisit): who holds the payload and who refers to it."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= min_bytes, F.sha2(F.col("payload").cast("binary"), 256)))
-    shared = (rows.where(F.col("digest").isNotNull()).groupBy(F.col("digest").alias("of"))
+    shared = (rows.where(F.octet_length("payload") >= min_bytes).groupBy(F.col("digest").alias("of"), own_exchange("digest"))
               .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null"))
     met = rows.join(shared, rows.digest == shared.of, "left")
     is_revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
