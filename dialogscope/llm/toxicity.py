@@ -52,7 +52,7 @@ def term_sets(texts) -> tuple[np.ndarray, np.ndarray]:
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def _some(texts, chars: int = 3_000_000):
+def _some(texts, chars: int = 1_500_000):
     """The texts in lists of about ``chars`` characters."""
     held, size = [], 0
     for text in texts:
@@ -169,8 +169,10 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray,
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).withColumnRenamed("doc_id", "labelled"))
     met = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"))
     rows = (met.select("label", F.xxhash64("doc_id", "text").alias("h"), terms(F.col("text")).alias("terms"))
-            .orderBy("h", "label").limit(SAMPLE).collect())
-    return [(np.array(r.terms, np.int64), r.label) for r in rows]
+            .orderBy("h", "label").limit(SAMPLE).toArrow())  # arrays, not a Python number for each term
+    held = rows.column("terms").combine_chunks()
+    at, flat = np.asarray(held.offsets), np.asarray(held.values)
+    return [(flat[a:b], y) for a, b, y in zip(at, at[1:], rows.column("label").to_pylist())]
 
 
 def scores(spark: SparkSession, model: FactorizationMachine, text: Column) -> Column:
