@@ -3,20 +3,20 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialogscope.llm.common import cut
+from dialogscope.llm.common import cut, own_exchange
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is hung under the node's smallest neighbour (or itself)."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    low = both.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("m")).select("at", F.least("at", "m").alias("m"))
+    low = both.groupBy(F.col("a").alias("at"), own_exchange("a")).agg(F.min("b").alias("m")).select("at", F.least("at", "m").alias("m"))
     return both.join(low, both.a == low.at).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its neighbours below are hung under the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("m"))
+    low = down.groupBy(F.col("a").alias("at"), own_exchange("a")).agg(F.min("b").alias("m"))
     hung = down.join(low, down.a == low.at).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return hung.union(low.select(F.col("at").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
 

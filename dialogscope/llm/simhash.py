@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogscope.llm.common import cut, spread, strings, table
+from dialogscope.llm.common import cut, own_exchange, spread, strings, table
 from dialogscope.llm.graph import components
 
 SEED = 42
@@ -156,7 +156,8 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     members = filed(nodes, F.array(*[F.lit(_signed(m)) for m in masks]))
     found = []
     while True:
-        sizes = members.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sizes = (members.groupBy("mask", "part", own_exchange("mask", "part")).agg(F.count(F.lit(1)).alias("n"))
+                 .where("n > 1").drop("_own"))
         shared = cut(members.join(sizes, ["mask", "part"]))
         small = f"n <= {BUCKET} or bit_count(~mask) <= {FREE_BITS}"
         found.append(shared.where(small).select("mask", "part", "fp"))
@@ -182,7 +183,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes, distance))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
+    least = rooted.groupBy(F.col("root").alias("of"), own_exchange("root")).agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, rooted.root == least.of).select(F.col("fp").alias("class_fp"), "component_id")
     return prints.join(classes, prints.fp == classes.class_fp).select("doc_id", "print", "fp", "component_id")
 
