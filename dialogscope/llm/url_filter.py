@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogscope.llm.common import strings, table
+from dialogscope.llm.common import cut, strings, table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 # Words that mark an unwanted host or path.
@@ -163,8 +163,8 @@ def tokens(spark: SparkSession, segmenter: Segmenter, host: Column, path: Column
 def train(words: DataFrame) -> NaiveBayes:
     """From the ``words`` arrays of all rows."""
     rows = words.select("words", F.arrays_overlap("words", F.array(*map(F.lit, SEEDS))).alias("bad"))
-    counts = (rows.select(F.explode("words").alias("word"), "bad").groupBy("word")
-              .agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")))
+    counts = cut(rows.select(F.explode("words").alias("word"), "bad").groupBy("word")
+                 .agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")))
     total = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
     kept = counts.orderBy(F.desc(F.col("bad") + F.col("good")), "word").limit(WORDS).collect()
     return NaiveBayes({r.word: (r.bad, r.good) for r in kept}, (total.bad or 0, total.good or 0))
