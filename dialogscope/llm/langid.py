@@ -27,7 +27,7 @@ from dialogscope.llm.common import free_name, held_out, strings, table
 from dialogscope.llm.wordtable import codes, gram_buckets, numbered, word_hashes
 
 UND = "und"
-MIN_SCORE = 0.35
+MIN_SCORE = 0.3
 ROWS_PER_LANG = 500
 TEXT_BYTES = 16_384
 MAX_LANGS = 64
@@ -35,9 +35,8 @@ MAX_WORDS = 250_000
 LEXICON = 20_000
 BUCKET_BITS = 16
 PIECE = 512
-BATCH_CHARS = 4_000_000
-GRID = 500_000
-
+BATCH_CHARS = 1_500_000
+GRID = 250_000
 
 
 # --- features -------------------------------------------------------------------------------
