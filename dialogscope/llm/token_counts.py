@@ -3,7 +3,7 @@
 Before any text is read, every vocabulary string that ends a word is put through
 the merges once; those that come out as one token are *proven* whole.  Counting
 a text then looks each word up: a proven word is one token, only other words
-are merged (and remembered in a bounded memo).
+are merged (and remembered in a bounded memo, as is the count of a whole run between white space).
 
 Null and empty texts count 0 tokens.  Rows are independent: repeated rows are
 counted again, a text of any length is counted whole.
@@ -17,10 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogscope.llm.common import strings, table
-from dialogscope.llm.wordbpe import END, WordVocabulary
+from dialogscope.llm.wordbpe import END, Memo, WordVocabulary
 
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 150_000
 SHORT = 40
+ID_BITS = 24
+ID_MASK = (1 << ID_BITS) - 1
+NEVER = 1 << 60
 
 
 class Merger:
@@ -30,6 +33,7 @@ class Merger:
         ids = vocabulary.ids
         self.vocabulary = vocabulary
         self.rank = {(ids[a], ids[b]): (k, ids[a + b]) for k, (a, b) in enumerate(vocabulary.merges)}
+        self.order = {pair: k << ID_BITS | new for pair, (k, new) in self.rank.items()}  # rank and result in one number
 
     def symbols(self, word: str) -> list[int]:
         ids, spelled = self.vocabulary.ids, self.vocabulary.spelled(word)
@@ -39,20 +43,17 @@ class Merger:
         return self._short(symbols) if len(symbols) <= SHORT else self._long(symbols)
 
     def _short(self, s: list[int]) -> list[int]:
-        rank = self.rank
-        while len(s) > 1:
-            best = min((rank[p] for p in zip(s, s[1:]) if p in rank), default=None)
-            if best is None:
-                break
-            out, i = [], 0
-            while i < len(s):
-                if i + 1 < len(s) and rank.get((s[i], s[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(s[i])
-                    i += 1
-            s = out
+        """Merge the leftmost pair of the lowest rank until no pair has a rank."""
+        order = self.order
+        ranks = [order.get(p, NEVER) for p in zip(s, s[1:])]
+        while ranks and (low := min(ranks)) != NEVER:
+            i = ranks.index(low)
+            s[i:i + 2] = (low & ID_MASK,)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = order.get((s[i - 1], s[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = order.get((s[i], s[i + 1]), NEVER)
         return s
 
     def _long(self, s: list[int]) -> list[int]:
@@ -90,35 +91,29 @@ def proven_words(merger: Merger) -> dict[str, int]:
     return out
 
 
-class TokenCounter(dict):
-    """Word -> its number of tokens.  Holds the proven words; other words are merged when first met."""
+class TokenCounter:
+    """Counts tokens: proven words at once, other words by merging, whole runs between white space from a memo."""
 
     def __init__(self, path: str):
         self.merger = Merger(WordVocabulary(path))
         self.proven = proven_words(self.merger) | dict.fromkeys(self.merger.vocabulary.specials, 1)
-        super().__init__(self.proven)
+        self.__setstate__({})
 
-    def __reduce__(self):
-        return _rebuilt, (self.merger, self.proven)
+    def __getstate__(self):
+        return {"merger": self.merger, "proven": self.proven}
 
-    def __missing__(self, word: str) -> int:
-        n = len(self.merger.merged(self.merger.symbols(word)))
-        if len(word) <= SHORT:
-            self[word] = n
-        return n
-
-    def count(self, text: str | None) -> int:
-        if len(self) > len(self.proven) + MEMO_ENTRIES:
-            self.clear()
-            self.update(self.proven)
-        return sum(map(self.__getitem__, self.merger.vocabulary.words(text)))
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self.by_run = Memo(lambda run: sum(map(self.word, self.merger.vocabulary.run_words(run))), MEMO_ENTRIES)
 
+    def word(self, word: str) -> int:
+        return self.proven.get(word) or len(self.merger.merged(self.merger.symbols(word)))
 
-def _rebuilt(merger: Merger, proven: dict[str, int]) -> TokenCounter:
-    self = TokenCounter.__new__(TokenCounter)
-    self.merger, self.proven = merger, proven
-    self.update(proven)
-    return self
+    def count(self, text: str | None) -> int:
+        runs = self.merger.vocabulary.runs(text) if text else []
+        if runs is not None:
+            return sum(map(self.by_run.__getitem__, runs))
+        return sum(map(self.word, self.merger.vocabulary.words(text)))
 
 
 def token_count(spark: SparkSession, text: Column, vocabulary_path: str) -> Column:

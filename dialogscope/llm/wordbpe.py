@@ -14,9 +14,10 @@ from tokenizers import Tokenizer
 
 END = "</w>"
 
-# Latin text up to U+017F without U+0130 (its lower case holds a combining mark):
-# already in NFC, and every library agrees on its letters, digits and spaces.
-_NOT_LATIN = re.compile("[^\x00-įı-ſ]")
+# Latin text up to U+017F without U+0130 (its lower case holds a combining mark) and the
+# separators U+001C to U+001F (white space to Python only): already in NFC, and every
+# library agrees on its letters, digits and spaces.
+_NOT_LATIN = re.compile("[^\x00-\x1b -įı-ſ]")
 _WORD = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d"
     "|[a-zªµºß-öø-ſ]+"
@@ -24,6 +25,25 @@ _WORD = re.compile(
     "|[^\t-\r \x85\xa0a-z0-9ªµº²³¹¼-¾ß-öø-ſ]+")
 
 
+class Memo(dict):
+    """key -> made(key), remembered for the keys used last: two generations of at most ``size`` short keys."""
+
+    def __init__(self, made, size: int, longest: int = 64):
+        super().__init__()
+        self.made, self.size, self.longest, self.old = made, size, longest, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.made(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def byte_alphabet() -> list[str]:
     """The character that stands for each byte: itself where printable, else one from U+0100 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -63,6 +83,17 @@ class WordVocabulary:
         """A word in the byte alphabet, without the end mark."""
         return word if word.isascii() and word.isalnum() else "".join(self.alphabet[b] for b in word.encode())
 
+    def runs(self, text: str) -> list[str] | None:
+        """The lower-cased runs between white space of a Latin text without special strings; None for
+        other texts.  No word crosses white space, so the words of the runs are those of the text."""
+        if _NOT_LATIN.search(text) or any(s in text for s in self.specials):
+            return None
+        return text.lower().split()
+
+    @staticmethod
+    def run_words(run: str) -> list[str]:
+        return _WORD.findall(run)
+
     def words(self, text: str | None) -> list[str]:
         """The words of a text; a special string stands for itself (no other word holds both letters and marks)."""
         if not text:
