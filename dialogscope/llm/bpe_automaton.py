@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogscope.llm.common import strings, table
-from dialogscope.llm.wordbpe import END, WordVocabulary
+from dialogscope.llm.wordbpe import END, Memo, WordVocabulary
 
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 150_000
 LATE = 1 << 60
 
 
@@ -57,19 +57,26 @@ class Automaton:
             self.gadget[u, v] = time
             self.born[label], self.left[label], self.right[label] = time, u, v
             self.spelling[a + b] = label
-        self.longest = max(map(len, self.spelling))
-        self._clear()
-
-    def _clear(self):
-        self.table: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, bytes] = {s: i.to_bytes(4, "little") for s, i in self.vocabulary.specials.items()}
+        self.reach: dict[str, int] = {}  # first two symbols -> length of the longest label that begins with them
+        for text in self.spelling:
+            plain = text.removesuffix(END)
+            self.reach[plain[:2]] = max(self.reach.get(plain[:2], 0), len(plain))
+        self.__setstate__({})
 
     def __getstate__(self):
-        return self.__dict__ | {"table": {}, "memo": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "by_run")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
-        self._clear()
+        self.table: dict[tuple[int, int], bool] = {}
+        self.by_run = Memo(self._run_ids, MEMO_ENTRIES)
+
+    def _run_ids(self, run: str) -> bytes:
+        return b"".join([self._bytes(w) for w in self.vocabulary.run_words(run)])
+
+    def _bytes(self, word: str) -> bytes:
+        special = self.vocabulary.specials.get(word)
+        return np.array(self.word_ids(word) if special is None else [special], "<u4").tobytes()
 
     def _arc(self, x: int, t: int) -> bool:
         """Whether the state after label x has an arc t."""
@@ -88,44 +95,42 @@ class Automaton:
     def word_ids(self, word: str) -> list[int]:
         """The labels of the path that spells the word.
 
-        Every prefix has one path, too, so one label is kept for each position: the
-        last label of that prefix's path, found among the labels that end there.
+        Walks the transition table, longest label first.  A prefix of the word has one path only, so
+        a position that leads nowhere is met once, and the walk is linear in the word's length.
         """
-        spelled, table, spelling = self.vocabulary.spelled(word), self.table, self.spelling
-        n = len(spelled)
-        last, start = [-1] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
+        spelled, table, spelling, reach = self.vocabulary.spelled(word), self.table, self.spelling, self.reach
+        n, path, starts, dead = len(spelled), [], [], set()
+        i, j = 0, min(n, reach.get(spelled[:2], 1))
+        while i < n:
+            while j > i:
                 t = spelling.get(spelled[i:j] + END if j == n else spelled[i:j])
-                if t is None:
-                    continue
-                if i:
-                    arc = table.get((last[i], t))
+                if t is not None and j not in dead:
+                    if not path:
+                        break
+                    arc = table.get((path[-1], t))
                     if arc is None:
-                        arc = table[last[i], t] = self._arc(last[i], t)
-                    if not arc:
-                        continue
-                last[j], start[j] = t, i
-                break
-        out, j = [], n
-        while j:
-            out.append(last[j])
-            j = start[j]
-        return out[::-1]
+                        arc = table[path[-1], t] = self._arc(path[-1], t)
+                    if arc:
+                        break
+                j -= 1
+            if j > i:
+                path.append(t)
+                starts.append(i)
+                i, j = j, min(n, j + reach.get(spelled[j:j + 2], 1))
+            else:
+                dead.add(i)
+                path.pop()
+                i, j = starts.pop(), i - 1
+        return path
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO_ENTRIES or len(self.table) > 4 * MEMO_ENTRIES:
-            self._clear()
-        memo, out = self.memo, []
-        for word in self.vocabulary.words(text):
-            ids = memo.get(word)
-            if ids is None:
-                ids = np.array(self.word_ids(word), "<u4").tobytes()
-                if len(word) <= 64:
-                    memo[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        if len(self.table) > MEMO_ENTRIES:
+            self.table.clear()
+        runs = self.vocabulary.runs(text) if text else []
+        if runs is not None:
+            return b"".join(map(self.by_run.__getitem__, runs))
+        return b"".join(map(self._bytes, self.vocabulary.words(text)))
 
     def decode(self, ids: bytes) -> str:
         """The arc labels of the ids, one space between them (the library's rule where a file names no decoder)."""
