@@ -125,7 +125,7 @@ class Automaton:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if len(self.table) > MEMO_ENTRIES:
+        if len(self.table) > 2 * MEMO_ENTRIES:
             self.table.clear()
         runs = self.vocabulary.runs(text) if text else []
         if runs is not None:
