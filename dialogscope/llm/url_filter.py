@@ -9,10 +9,11 @@ A multinomial naive Bayes model then scores the words.  It is trained on all row
 words is a seed word (``SEEDS``), and every row's words are counted for its class, so words that go with
 unwanted hosts add to the score, too.  The verdict is ``block`` where the posterior of the unwanted class is above one half.
 
-Counts cover all rows; the models that go to the executors keep the ``WORDS`` most frequent words and tokens, other words
-are unknown to them.  Hosts are judged by words, not by how many pages they have: a host with a third of all rows only moves
-counts that are summed before they are shuffled.  Both classes have the same prior: how many unwanted pages a crawl holds says
-nothing about one url.
+Counts cover all rows and all words, and stay in Spark: equal urls are folded first, each distinct run of letters meets the
+counts of its substrings (up to ``LONGEST`` letters) in a join and is cut once, and each url's tokens meet their weights in another.  No word
+list is capped, collected or sent to the executors.  The joins' large sides have exchanges of their own, so that a hot run, token or url
+can be split.  Hosts are judged by words, not by how many pages they have.  Both classes have the same prior: how many unwanted
+pages a crawl holds says nothing about one url.
 
 Defined results: a null url or one without ``://`` has empty host and path, no rule and no words, and is allowed.
 Null html adds no words.  Rows are independent; repeated rows count as often as they stand.
@@ -28,16 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogscope.llm.common import cut, strings, table
+from dialogscope.llm.common import cut, own_exchange, strings, table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 # Words that mark an unwanted host or path.
 SEEDS = ("adult bet bets betting casino cheap cialis crack dating drugs escort gambling hentai jackpot keygen loan loans lottery malware "
          "nude pharma phishing pills poker porn roulette sex slots spam torrent viagra warez win xxx xxxx ads track tracker").split()
-WORDS = 50_000
 SMOOTH = 10.0
 LONGEST = 24
 MEMO_ENTRIES = 100_000
+STARTS = 4_096
+BATCH_ROWS = 50_000
 _TAG = re.compile(r"<[^<>]*>|&#?\w{1,10};")
 _RUN = re.compile(r"[a-z]+|[0-9]+")
 _ASCII_WORD = re.compile(r"\b[a-z]{1,%d}\b" % LONGEST)
@@ -73,11 +75,11 @@ class Segmenter:
     """Cuts concatenated names into words: the most probable split under word counts.
 
     An unknown word of n letters has the probability 10 / (total * 10^n), so a name is only cut into known words
-    that are likelier than the whole.
+    that are likelier than the whole.  ``total`` is that of all words, where ``counts`` are only those a name can meet.
     """
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = sum(counts.values()) + 1 if total is None else total
         self.cost = {w: -math.log(n / self.total) for w, n in counts.items()}
         self.memo: dict[str, list[str]] = {}
 
@@ -115,6 +117,12 @@ class Segmenter:
         return out
 
 
+def log_ratio(b, g, bad, good, smooth: float = SMOOTH, log=math.log):
+    """The weight of a token counted ``b`` and ``g`` times among the ``bad`` and ``good`` tokens (numbers, or columns with F.log)."""
+    both = max(1, bad + good)
+    return log((b + smooth * (b + g) / both) / (bad + smooth)) - log((g + smooth * (b + g) / both) / (good + smooth))
+
+
 class NaiveBayes:
     """Multinomial with equal priors; ``weights`` are the log ratios unwanted / wanted of the known tokens.
 
@@ -123,17 +131,14 @@ class NaiveBayes:
     """
 
     def __init__(self, counts: dict[str, tuple[int, int]], totals: tuple[int, int], smooth: float = SMOOTH):
-        bad, good = totals
-        both = max(1, bad + good)
-        self.weights = {w: math.log((b + smooth * (b + g) / both) / (bad + smooth)) - math.log((g + smooth * (b + g) / both) / (good + smooth))
-                        for w, (b, g) in counts.items()}
+        self.weights = {w: log_ratio(b, g, *totals, smooth) for w, (b, g) in counts.items()}
 
     def log_odds(self, tokens) -> float:
         return math.fsum(self.weights.get(t, 0.0) for t in tokens)
 
 
-def word_counts(pages: DataFrame) -> dict[str, int]:
-    """The WORDS most frequent words of all pages, and the seed words with at least one count."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(word, n) of all words of all pages, and the seed words with at least the median count."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = Counter()
@@ -141,53 +146,91 @@ def word_counts(pages: DataFrame) -> dict[str, int]:
                 counts.update(page_words(html))
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-    found = (pages.select("html").mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-             .orderBy(F.desc("n"), "word").limit(WORDS).collect())
-    counts = {r.word: r.n for r in found}
-    typical = max(1, sorted(counts.values())[len(counts) // 2]) if counts else 1
-    return {s: typical for s in SEEDS} | counts
+    found = cut(pages.select("html").mapInArrow(counted, "word string, n bigint").groupBy("word", own_exchange("word"))
+                .agg(F.sum("n").alias("n")).select("word", "n"))
+    typical = found.select(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n DESC)").cast("bigint").alias("n")).first().n or 1
+    seeds = pages.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, SEEDS))).alias("word"), F.lit(typical).cast("bigint").alias("n"))
+    return found.unionByName(seeds.join(found, "word", "left_anti"))
 
 
-def tokens(spark: SparkSession, segmenter: Segmenter, host: Column, path: Column) -> Column:
-    """The words of host and path as an array of strings."""
-    shared = spark.sparkContext.broadcast(segmenter)
+def substrings(runs: DataFrame) -> DataFrame:
+    """(run_id, word): the substrings of up to LONGEST letters of each (run_id, run); those of a very long run may repeat."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, held = [], []
+            for run_id, run in zip(strings(batch.column(0)), strings(batch.column(1))):
+                for low in range(0, len(run), STARTS):
+                    some = {run[a:b] for a in range(low, min(len(run), low + STARTS)) for b in range(a + 1, min(len(run), a + LONGEST) + 1)}
+                    ids += [run_id] * len(some)
+                    held += some
+                    if len(ids) >= BATCH_ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.string())], ["run_id", "word"])
+                        ids, held = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.string())], ["run_id", "word"])
+
+    return runs.select("run_id", "run").mapInArrow(found, "run_id bigint, word string")
+
+
+def split_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run, words) of each distinct run, cut under the counts of all words."""
+    total = (counts.agg(F.sum("n").alias("n")).first().n or 0) + 1
+    numbered = cut(runs.distinct().select(F.monotonically_increasing_id().alias("run_id"), "run"))
+    known = (substrings(numbered).join(counts, "word").groupBy("run_id").agg(F.collect_set(F.struct("word", "n")).alias("known")))
 
     @F.arrow_udf("array<string>")
-    def cut_up(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for hosts, paths in batches:
-            yield pa.array([shared.value.tokens(h, p) for h, p in zip(strings(hosts), strings(paths))], pa.list_(pa.string()))
+    def words(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for names, tables in batches:
+            yield pa.array([Segmenter({k["word"]: k["n"] for k in some or ()}, total).words(name)
+                            for name, some in zip(strings(names), strings(tables))], pa.list_(pa.string()))
+
+    return cut(numbered.join(known, "run_id", "left").select("run", words("run", "known").alias("words")))
+
+
+def worded(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """``urls`` (url_id, host, path, ...) with the words of host and path in order; a number is the word ``#``."""
+    names = F.regexp_extract_all(F.concat_ws(" ", "host", F.lower("path")), F.lit("([a-z]+|[0-9]+)"), 1)
+    held = (urls.select("url_id", F.posexplode(names).alias("at", "run"))
+            .withColumn("run", F.when(F.col("run").rlike("^[0-9]"), "#").otherwise(F.col("run"))))
+    found = (held.join(split_runs(held.select("run"), counts), "run").groupBy("url_id")
+             .agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("parts")))
+    none = F.array().cast("array<string>")
+    return (urls.join(found, "url_id", "left")
+            .select(*urls.columns, F.coalesce(F.flatten(F.transform("parts", lambda p: p["words"])), none).alias("words")))
+
+
+def token_weights(urls: DataFrame) -> DataFrame:
+    """(word, weight) of all tokens, trained on the ``words`` of all rows: each url counts ``n_bad`` or ``n_good`` times."""
+    counts = cut(urls.select(F.explode("words").alias("word"), "n_bad", "n_good").groupBy("word", own_exchange("word"))
+                 .agg(F.sum("n_bad").alias("bad"), F.sum("n_good").alias("good")).select("word", "bad", "good"))
+    total = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
+    return counts.select("word", log_ratio(F.col("bad"), F.col("good"), total.bad or 0, total.good or 0, log=F.log).alias("weight"))
 
-    return cut_up(host, path)
 
+def exact_sum(weights: str) -> Column:
+    """The sum of an array column, the same in any order."""
+    @F.arrow_udf("double")
+    def summed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in batches:
+            yield pa.array([math.fsum(w or ()) for w in strings(some)], pa.float64())
 
-def train(words: DataFrame) -> NaiveBayes:
-    """From the ``words`` arrays of all rows."""
-    rows = words.select("words", F.arrays_overlap("words", F.array(*map(F.lit, SEEDS))).alias("bad"))
-    counts = cut(rows.select(F.explode("words").alias("word"), "bad").groupBy("word")
-                 .agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")))
-    total = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
-    kept = counts.orderBy(F.desc(F.col("bad") + F.col("good")), "word").limit(WORDS).collect()
-    return NaiveBayes({r.word: (r.bad, r.good) for r in kept}, (total.bad or 0, total.good or 0))
+    return summed(weights)
 
 
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, words, log_odds of every row."""
-    spark = pages.sparkSession
-    segmenter = Segmenter(word_counts(pages))
     host, path = host_and_path(F.col("url"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    urls = urls.select("*", tokens(spark, segmenter, F.col("host"), F.col("path")).alias("words"))
-    model = spark.sparkContext.broadcast(train(urls))
-
-    @F.arrow_udf("double")
-    def log_odds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for some in batches:
-            yield pa.array([model.value.log_odds(w) for w in strings(some)], pa.float64())
-
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    urls = cut(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+               .select(F.monotonically_increasing_id().alias("url_id"), "host", "path", "n"))
+    bad = F.arrays_overlap("words", F.array(*map(F.lit, SEEDS)))
+    urls = cut(worded(urls, word_counts(pages)).withColumns({"n_bad": F.when(bad, F.col("n")).otherwise(0), "n_good": F.when(bad, 0).otherwise(F.col("n"))}))
+    odds = (urls.select("url_id", F.explode("words").alias("word")).join(token_weights(urls), "word")
+            .groupBy("url_id").agg(F.collect_list("weight").alias("weights")))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    return (urls.select("*", rule.alias("rule"), verdict.alias("by_rule"), log_odds("words").alias("log_odds"))
-            .select("page_id", "host", "path", "rule",
-                    F.coalesce("by_rule", F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "words", "log_odds"))
+    found = (urls.join(odds, "url_id", "left").select("*", exact_sum("weights").alias("log_odds"))
+             .select("host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"),
+                     "words", "log_odds"))
+    return rows.join(found, ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "words", "log_odds")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

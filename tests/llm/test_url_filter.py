@@ -78,6 +78,23 @@ def test_naive_bayes_formula():
     assert NaiveBayes({"once": (0, 1)}, (100, 1500)).weights["once"] < 0 < NaiveBayes({"once": (1, 0)}, (100, 1500)).weights["once"]
 
 
+def test_words_beyond_the_most_frequent_count(spark):
+    names = ["".join(p) + "q" for p in itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=4), 52_000)]
+    path = "/".join(names)
+    pages = [(1, f"http://a.example/{path}", f"<p>{' '.join(names)} oncecat oncedog</p>"), (2, f"http://b.example/{path}/2", f"<p>{' '.join(names)}</p>"),
+             (3, "http://keygen.warez/", None), (4, "http://oncecatoncedog.example/", None)]
+    by = {r.page_id: r for r in judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert by[3].words == ["keygen", "warez"] and by[3].verdict == "block" and by[4].words[:2] == ["oncecat", "oncedog"]
+    assert [by[i].verdict for i in (1, 2, 4)] == ["allow"] * 3
+    counts = {}
+    for r in by.values():
+        for w in r.words:
+            b, g = counts.get(w, (0, 0))
+            counts[w] = (b + 1, g) if r.page_id == 3 else (b, g + 1)
+    plain_bayes = NaiveBayes(counts, tuple(map(sum, zip(*counts.values()))))
+    assert all(r.log_odds == pytest.approx(plain_bayes.log_odds(r.words), rel=1e-9) for r in by.values())
+
+
 def test_page_words():
     assert page_words("<p class='x'>The CAT&amp;dog é 12a b-c</p><") == ["the", "cat", "dog", "b", "c"]
     assert page_words(None) == [] and page_words("") == []
