@@ -2,16 +2,18 @@
 
 The test items are indexed, not the training text: term -> postings (item, impact) in blocks with a maximum
 impact each.  Impacts are BM25 weights divided by the item's own full score, so 1.0 means that a passage holds
-every term of the item, and one threshold fits all items.
+every term of the item.  An item is looked for from the score on that a passage with a match can't miss (``least_score``),
+``THRESHOLD`` at most.
 
 Every text is cut into blocks as long as the longest item (``STRIDE`` words at least); a passage is two
 neighbouring blocks, so an item that occurs in a text lies wholly in a passage.  A passage's distinct terms are the query.
-Where their block maxima do not sum to the threshold, no item of that block of items can reach it; this test
-is made for all passages of a batch at once.  The remaining (passage, block) pairs go through WAND on the
-block's maxima, which returns *all* items at or above the threshold.
+Where their block maxima, each item's divided by its least score, do not sum to one, no item of that block of items can
+reach it; this test is made for all passages of a batch at once.  The remaining (passage, block) pairs go through WAND on the
+block's maxima, which returns *all* items at or above their least score.
 
 Each (passage, item) found is verified on five-word shingles: at least ``OVERLAP`` of the item's question and of
-its answer must occur in the passage.  The item's answer is its last sentence, its question what stands before;
+its answer, or of the whole item, must occur in the passage.  An answer of five words or fewer is graded by its words.  With
+the whole item's shingles, half of the answer's words must be there or all but one: a question without its answer is no match.  The item's answer is its last sentence, its question what stands before;
 an item of one sentence is split before its last quarter.
 
 Defined results: null and empty texts and items match nothing, an item of fewer than five words counts as one shingle.
@@ -64,6 +66,34 @@ def shingles(ids: list[int]) -> set[tuple[int, ...]]:
     return set(zip(*(ids[i:] for i in range(n)))) if n else set()
 
 
+def answer_units(ids: list[int]) -> set[tuple[int, ...]]:
+    """What an answer is graded by: its shingles, or the words of one that has a single shingle."""
+    return shingles(ids) if len(ids) > SHINGLE else {(i,) for i in ids}
+
+
+def least_score(weight: dict[int, float], rules: list[list[set[tuple[int, ...]]]]) -> float:
+    """A lower bound of the weight of the terms that a passage holds when it holds OVERLAP of every part of a rule.
+
+    Each part can miss so many units, and a unit that is missed costs as many terms as it has at most: the terms missed are bounded
+    by the fractional knapsack of weights under that number.
+    """
+    least = 1.0
+    for parts in rules:
+        room, uses, barred = 0, Counter(), set()
+        for part in parts:
+            missed = len(part) - int(np.ceil(OVERLAP * len(part) - 1e-9))
+            own = Counter(t for unit in part for t in set(unit))
+            room += missed * max((len(set(unit)) for unit in part), default=0)
+            uses += own
+            barred |= {t for t, n in own.items() if n > missed}
+        missing = 0.0
+        for t in sorted(uses.keys() - barred, key=lambda t: (-weight[t] / uses[t], t)):
+            missing += weight[t] * min(1.0, room / uses[t])
+            room -= min(room, uses[t])
+        least = min(least, 1 - missing)
+    return max(least, min(weight.values()))
+
+
 class _TermIds(dict):
     """Run between white space -> term number, UNKNOWN or EMPTY (bounded memo over the vocabulary)."""
 
@@ -83,13 +113,14 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
         self.threshold = threshold
         self.vocabulary: dict[str, int] = {}
-        self.ids, self.parts, bags = [], [], []
+        self.ids, self.parts, self.needs, bags = [], [], [], []
         for item_id, text in items:
             if every := words(text):
                 numbers = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in every]
                 q, a = question_and_answer(text)
                 self.ids.append(item_id)
-                self.parts.append([shingles([self.vocabulary[w] for w in p]) for p in (q, a)])
+                q, a = ([self.vocabulary[w] for w in p] for p in (q, a))
+                self.parts.append((shingles(q), answer_units(a), shingles(numbers), {(w,) for w in a}))
                 bags.append(Counter(numbers))
         n = max(1, len(bags))
         mean = sum(b.total() for b in bags) / n
@@ -99,14 +130,21 @@ class ItemIndex:
         for k, bag in enumerate(bags):
             weight = {t: idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * bag.total() / mean)) for t, tf in bag.items()}
             whole = sum(weight.values())
+            weight = {t: w / whole for t, w in weight.items()}
             for t, w in weight.items():
-                lists[t].append((k, w / whole))
+                lists[t].append((k, w))
+            q, a, every, _ = self.parts[k]
+            self.needs.append(min(threshold, least_score(weight, [[q, a], [every]])))
         self.docs = [[k for k, _ in p] for p in lists]
         self.impacts = [[w for _, w in p] for p in lists]
         # Largest impact of a term in each range of BLOCK item numbers.
         self.bound = np.zeros((len(lists), -(-len(bags) // BLOCK)))
         for t, p in enumerate(lists):
             np.maximum.at(self.bound[t], np.array([k for k, _ in p]) // BLOCK, [w for _, w in p])
+        # The same of impacts divided by the item's least score.
+        self.near = np.zeros_like(self.bound)
+        for t, p in enumerate(lists):
+            np.maximum.at(self.near[t], np.array([k for k, _ in p]) // BLOCK, [w / self.needs[k] for k, w in p])
         self.stride = max([STRIDE, *(b.total() for b in bags)])
         self.term_ids = _TermIds(self.vocabulary)
 
@@ -117,11 +155,11 @@ class ItemIndex:
         self.__dict__ |= state
         self.term_ids = _TermIds(self.vocabulary)
 
-    def search(self, terms: np.ndarray, block: int) -> list[tuple[int, float]]:
-        """WAND inside one block: (item number, score) of all its items that score at least the threshold
-        for the distinct ``terms``.  The block's maxima decide which item comes next and whether to score it."""
-        need, out, high = self.threshold - 1e-9, [], (block + 1) * BLOCK
-        most = self.bound[terms, block]
+    def search(self, terms: np.ndarray, block: int, near: bool = False) -> list[tuple[int, float]]:
+        """WAND inside one block: (item number, score) of all its items that score at least the threshold (``near``: their
+        least score) for the distinct ``terms``.  The block's maxima decide which item comes next and whether to score it."""
+        need, out, high = (1 if near else self.threshold) - 1e-9, [], (block + 1) * BLOCK
+        most = (self.near if near else self.bound)[terms, block]
         cursors = []  # item, place in the list, end of the block in the list, term, block maximum
         for t, m in zip(terms[most > 0].tolist(), most[most > 0].tolist()):
             docs = self.docs[t]
@@ -139,7 +177,7 @@ class ItemIndex:
                 break
             if cursors[0][0] == item:  # every cursor before the pivot stands on the pivot's item
                 score = sum(self.impacts[c[3]][c[1]] for c in cursors if c[0] == item)
-                if score >= need:
+                if score >= (self.needs[item] - 1e-9 if near else need):
                     out.append((item, score))
                 item += 1
             for c in cursors:
@@ -163,12 +201,12 @@ class ItemIndex:
         flat = np.concatenate(seq or [np.empty(0, np.int64)])
         width = len(self.vocabulary)
         pairs = np.unique((block * width + flat)[flat >= 0])
-        need = self.threshold - 1e-9
+        need = 1 - 1e-9
         begin = np.searchsorted(pairs, np.arange(int(n_blocks.sum()) + 1) * width)
         sums = np.zeros((int(n_blocks.sum()), self.bound.shape[1]))
         full = np.flatnonzero(begin[1:] > begin[:-1])
         if len(full):
-            sums[full] = np.add.reduceat(self.bound[pairs % width], begin[full], axis=0)
+            sums[full] = np.add.reduceat(self.near[pairs % width], begin[full], axis=0)
         out = []
         for k, s in enumerate(seq):
             best: dict = {}
@@ -178,15 +216,16 @@ class ItemIndex:
             for b in np.flatnonzero(reach.any(axis=1)):
                 at = first[k] + b
                 terms = np.unique(pairs[begin[at]:begin[at + 1 + two]] % width)
-                open_ = np.flatnonzero(self.bound[terms].sum(axis=0) >= need)
+                open_ = np.flatnonzero(self.near[terms].sum(axis=0) >= need)
                 passage = None
                 for block in open_:
-                    for item, score in self.search(terms, block):
+                    for item, score in self.search(terms, block, near=True):
                         if passage is None:
                             some = s[b * self.stride:(b + 2) * self.stride].tolist()
                             passage = {n: set(zip(*(some[i:] for i in range(n)))) for n in range(1, SHINGLE + 1)}
-                        q, a = (sum(x in passage[len(x)] for x in part) / len(part) if part else 1.0 for part in self.parts[item])
-                        if q >= OVERLAP and a >= OVERLAP:
+                        q, a, every, named = (sum(x in passage[len(x)] for x in part) / len(part) if part else 1.0 for part in self.parts[item])
+                        size = len(self.parts[item][3])
+                        if q >= OVERLAP and a >= OVERLAP or every >= OVERLAP and named >= 1 - max(0.5, 1 / size) - 1e-9:
                             found = (score, q, a)
                             best[self.ids[item]] = max(best.get(self.ids[item], found), found)
             out.append([(i, *f) for i, f in sorted(best.items(), key=lambda x: (x[0] is None, x[0]))])

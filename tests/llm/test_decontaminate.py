@@ -97,6 +97,24 @@ def test_several_index_parts_find_the_same(spark, monkeypatch):
     assert {(k, k) for k in range(60)} <= got
 
 
+def test_near_copies_are_found():
+    """Every item with one word replaced: found wherever 0.8 of its whole shingles are left, in the answer, too."""
+    items = some_items(120) + [(900, "who wrote the long old book about the quiet river and the seven green boats? five words in this answer")]
+    index, edits = ItemIndex(items), 0
+    for i, text in items:
+        every = text.split()
+        for at in range(len(every)):
+            copy = " ".join([*every[:at], "replaced" + every[at][len(every[at].rstrip(".?")):], *every[at + 1:]])
+            whole, left = shingles(words(text)), shingles(words(copy))
+            found = {m[0] for m in index.matches([f"some text before {copy} and after"])[0]}
+            if len(whole & left) >= 0.8 * len(whole):
+                edits += 1
+                assert i in found, (i, at)
+    assert edits > 500
+    assert 900 in {m[0] for m in index.matches([items[-1][1].replace("five words", "five items")])[0]}  # four of five words of the answer
+    assert 900 not in {m[0] for m in index.matches([items[-1][1].split("?")[0]])[0]}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 def test_query_is_the_brute_force_one(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
