@@ -18,7 +18,8 @@ an item of one sentence is split before its last quarter.
 
 Defined results: null and empty texts and items match nothing, an item of fewer than five words counts as one shingle.
 A row of ``docs`` gives one result row per item id it holds (the best passage counts).  Rows that repeat are judged alike;
-repeated items are one if their ids are equal.  The index is broadcast in parts of about ``MAX_ITEMS`` items, each with its own statistics.
+repeated items are one if their ids are equal, and equal rows count once.  The index is broadcast in parts of about ``MAX_ITEMS`` items, dealt
+by id; the statistics are those of all items, so that scores do not depend on the parts.
 """
 
 import re
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogscope.llm.common import strings, table
+from dialogscope.llm.common import cut, strings, table
 
 THRESHOLD = 0.8
 OVERLAP = 0.8
@@ -110,7 +111,8 @@ class _TermIds(dict):
 class ItemIndex:
     """Inverted index of test items with block maxima, and the items' shingles."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, stats: tuple | None = None):
+        """stats: (number of items, their mean length, their largest length, {word: items with it}) of all parts' items."""
         self.threshold = threshold
         self.vocabulary: dict[str, int] = {}
         self.ids, self.parts, self.needs, bags = [], [], [], []
@@ -125,6 +127,10 @@ class ItemIndex:
         n = max(1, len(bags))
         mean = sum(b.total() for b in bags) / n
         found = Counter(t for b in bags for t in b)
+        longest = max([0, *(b.total() for b in bags)])
+        if stats:
+            n, mean, longest, df = stats
+            found = {self.vocabulary[w]: df[w] for w in self.vocabulary}
         idf = {t: np.log1p((n - d + 0.5) / (d + 0.5)) for t, d in found.items()}
         lists: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
         for k, bag in enumerate(bags):
@@ -145,7 +151,7 @@ class ItemIndex:
         self.near = np.zeros_like(self.bound)
         for t, p in enumerate(lists):
             np.maximum.at(self.near[t], np.array([k for k, _ in p]) // BLOCK, [w / self.needs[k] for k, w in p])
-        self.stride = max([STRIDE, *(b.total() for b in bags)])
+        self.stride = max(STRIDE, longest)
         self.term_ids = _TermIds(self.vocabulary)
 
     def __getstate__(self):
@@ -232,13 +238,32 @@ class ItemIndex:
         return out
 
 
+def item_words(text: Column) -> Column:
+    """The words of ``text`` as an array."""
+    @F.arrow_udf("array<string>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([words(t) for t in strings(texts)], pa.list_(pa.string()))
+
+    return found(text)
+
+
 def item_indexes(items: DataFrame):
-    """Indexes over all items, MAX_ITEMS or fewer in each."""
-    rows = items.select("item_id", "text").where(F.col("text").isNotNull())
+    """Indexes over all items, about MAX_ITEMS or fewer in each, with the statistics of all."""
+    rows = cut(items.select("item_id", "text").where(F.col("text").isNotNull()).distinct())
     n = max(1, -(-rows.count() // (MAX_ITEMS * 3 // 4)))
+    part_of = F.pmod(F.xxhash64("item_id"), F.lit(n))
+    if n > 1:
+        held = cut(rows.select(part_of.alias("part"), item_words(F.col("text")).alias("words")).where(F.size("words") > 0))
+        total = held.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"), F.max(F.size("words")).alias("longest")).first()
+        df = cut(held.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")))
     for part in range(n):
-        some = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == part).orderBy("item_id", "text").collect()
-        yield ItemIndex([(r.item_id, r.text) for r in some])
+        some = rows.where(part_of == part).orderBy("item_id", "text").collect()
+        stats = None
+        if n > 1:
+            own = held.where(F.col("part") == part).select(F.explode("words").alias("word")).distinct()
+            stats = total.n, total.mean, total.longest, {r.word: r.df for r in own.join(df, "word").collect()}
+        yield ItemIndex([(r.item_id, r.text) for r in some], stats=stats)
 
 
 def item_matches(spark: SparkSession, index: ItemIndex, text: Column) -> Column:

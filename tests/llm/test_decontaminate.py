@@ -97,6 +97,17 @@ def test_several_index_parts_find_the_same(spark, monkeypatch):
     assert {(k, k) for k in range(60)} <= got
 
 
+def test_scores_do_not_depend_on_the_parts(spark, monkeypatch):
+    items = some_items(60) + [(70, "one more item under this id. first answer here"), (70, "one more item under this id! second answer here")]
+    docs = spark.createDataFrame([(k, "before it " + text + " after") for k, text in items[:60]] + [(70, items[60][1] + " " + items[61][1])], "doc_id long, text string")
+    found = lambda b: sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.contaminated(docs, b).collect())
+    schema = "item_id long, text string"
+    one = found(spark.createDataFrame(items, schema))
+    monkeypatch.setattr(decontaminate, "MAX_ITEMS", 20)
+    assert found(spark.createDataFrame(items + items[:1] * 200, schema)) == one
+    assert len([r for r in one if r[0] == 70]) == 1
+
+
 def test_near_copies_are_found():
     """Every item with one word replaced: found wherever 0.8 of its whole shingles are left, in the answer, too."""
     items = some_items(120) + [(900, "who wrote the long old book about the quiet river and the seven green boats? five words in this answer")]
