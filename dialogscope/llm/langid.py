@@ -8,8 +8,10 @@ conditional likelihood, over word sequences that switch language every few words
 Prediction runs forward-backward over every word of the whole text; a document's language
 is the label with the largest sum of word posteriors, its score that label's mean posterior.
 
-Training reads a bounded sample: about ``ROWS_PER_LANG`` rows of each language, of texts up to ``TEXT_BYTES``, and at most
-``MAX_WORDS`` words; the model that goes to the executors is bounded by the table sizes.
+Training reads a bounded sample of every language there is: about ``ROWS_PER_LANG`` rows of each (fewer where they would be more than
+``SAMPLE_ROWS`` together, one at least) and about ``MAX_WORDS`` words in all.  Of a text above ``TEXT_BYTES`` the sample
+takes ``SEGMENTS`` segments at hashed places, spread over the whole text.  Repeated rows are learned once.  The model that goes to the
+executors has the table sizes times the number of languages.
 A long text is labelled in pieces of ``PIECE`` words, so the work per step stays bounded.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text if no row
@@ -23,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogscope.llm.common import free_name, held_out, strings, table
+from dialogscope.llm.common import cut, free_name, held_out, strings, table
 from dialogscope.llm.wordtable import codes, gram_buckets, numbered, word_hashes
 
 UND = "und"
 MIN_SCORE = 0.3
 ROWS_PER_LANG = 500
 TEXT_BYTES = 16_384
-MAX_LANGS = 64
+SEGMENTS = 8
+SEGMENT_CHARS = 2_048
+SAMPLE_ROWS = 32_000
 MAX_WORDS = 250_000
 LEXICON = 20_000
 BUCKET_BITS = 16
@@ -161,13 +165,14 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, length: int = 64, batch: i
     langs = sorted({lang for _, lang in rows})
     every, texts = numbered([text for text, _ in rows])
     share = MAX_WORDS / max(MAX_WORDS, sum(map(len, texts)))
-    segments = []
+    segments, met, place_of = [], set(), {lang: k for k, lang in enumerate(langs)}
     for (_, lang), ids in zip(rows, texts):
         at = 0
         while at < len(ids):
             size = int(chance.integers(4, 41))
-            if chance.random() < share:
-                segments.append((ids[at:at + size], langs.index(lang)))
+            if chance.random() < share or lang not in met:
+                segments.append((ids[at:at + size], place_of[lang]))
+                met.add(lang)
             at += size
     if not segments:
         return Crf([], np.empty(0, np.uint64))
@@ -207,11 +212,11 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, length: int = 64, batch: i
                 total_w[:, k] += g * g
                 model.weights[:, k] -= rate * g / np.sqrt(total_w[:, k])
             if size > 1:
-                pair = forward[:-1, :, :, None] * step * (potential[1:] * backward[1:])[:, :, None, :]
-                pair /= pair.sum(axis=(2, 3), keepdims=True)
+                before, after = forward[:-1].reshape(-1, L), (potential[1:] * backward[1:]).reshape(-1, L)
+                pairs = step * ((before / ((before @ step) * after).sum(axis=1, keepdims=True)).T @ after)
                 gold_pair = np.zeros((L, L))
                 np.add.at(gold_pair, (y[:-1].ravel(), y[1:].ravel()), 1)
-                g = (pair.sum(axis=(0, 1)) - gold_pair) * scale
+                g = (pairs - gold_pair) * scale
                 total_t += g * g
                 model.transitions -= rate * g / np.sqrt(total_t)
     return model
@@ -219,18 +224,29 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, length: int = 64, batch: i
 
 # --- Spark ----------------------------------------------------------------------------------
 
+def sampled_text(text: Column, h: Column) -> Column:
+    """``text``, or the hashed segments of one above TEXT_BYTES, without the words cut at their ends."""
+    part = F.floor(F.length(text) / SEGMENTS).cast("int")
+    size = F.least(part, F.lit(SEGMENT_CHARS))
+    pieces = [F.substr(text, (part * k + F.pmod(F.xxhash64(h, F.lit(k)), part - size + 1) + 1).cast("int"), size) for k in range(SEGMENTS)]
+    whole_words = [F.regexp_replace(F.regexp_replace(p, r"^\S*\s+", ""), r"\s+\S*$", "") for p in pieces]
+    return F.when(F.octet_length(text) <= TEXT_BYTES, text).otherwise(F.concat_ws(" ", *whole_words))
+
+
 def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
-    """The bounded sample: about ROWS_PER_LANG rows of each of the MAX_LANGS most frequent languages, chosen by a hash of doc_id."""
+    """The bounded sample of every language: about ROWS_PER_LANG rows chosen by a hash of doc_id and text, the smallest hash always."""
     known = (docs.select("doc_id", "text", "lang")
              .where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-             .where(F.octet_length("text") <= TEXT_BYTES))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
+             .withColumn("h", F.xxhash64("doc_id", "text")))
+    counts = cut(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("first")))
+    n_langs = counts.count()
+    if not n_langs:
         return []
-    bound = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, ROWS_PER_LANG / r.n)))])
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    rows = (known.where(place < F.try_element_at(bound, F.col("lang")))
-            .orderBy(F.xxhash64("doc_id", "text"), "lang").limit(2 * ROWS_PER_LANG * len(counts)).collect())
+    size = max(1, min(ROWS_PER_LANG, SAMPLE_ROWS // n_langs))
+    place = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30) * F.col("n")
+    rows = (known.join(F.broadcast(counts), "lang").where((F.col("h") == F.col("first")) | (place < size))
+            .select("lang", "h", (F.col("h") != F.col("first")).alias("other"), place.alias("place"), sampled_text(F.col("text"), F.col("h")).alias("text"))
+            .dropDuplicates(["lang", "h"]).orderBy("other", "place", "h", "lang").limit(2 * size * n_langs).select("text", "lang").collect())
     return [(r.text, r.lang) for r in rows]
 
 

@@ -71,6 +71,23 @@ def test_query_rows_with_edge_cases(spark):
     assert {r.lang_pred for r in langid.identify(one).collect()} == {"xx"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(k * 10 + i, f"word{chr(97 + k // 26)}{chr(97 + k % 26)} text", f"l{k:02d}") for k in range(80) for i in range(8)]
+    rows += [(9000 + i, "langes buch mit vielen worten " * 2_000 + " ende" * 4_000, "long") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_rows(docs)
+    assert {lang for _, lang in got} == {r[2] for r in rows}
+    long = [text for text, lang in got if lang == "long"]
+    assert long and all(len(t) <= langid.SEGMENTS * (langid.SEGMENT_CHARS + 1) and {"buch", "ende"} <= set(t.split())
+                        and set(t.split()) <= set("langes buch mit vielen worten ende".split()) for t in long)
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 40)  # fewer than languages: one row or a few of each
+    few = langid.training_rows(docs)
+    assert {lang for _, lang in few} == {r[2] for r in rows} and len(few) <= 2 * 81
+    monkeypatch.setattr(langid, "MAX_WORDS", 20)
+    model = langid.fit(got)
+    assert model.langs == sorted({r[2] for r in rows}) and (model.weights != 0).any(axis=0).all()
+
+
 def test_word_runs_column(spark, model):
     docs = spark.createDataFrame([("the cat and the dog are in der Hund und die Katze sind",), (None,)], "text string")
     got = [[tuple(x) for x in r.runs] for r in docs.select(langid.word_runs(spark, model, docs.text).alias("runs")).collect()]
