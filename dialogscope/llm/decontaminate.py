@@ -8,7 +8,8 @@ every term of the item.  An item is looked for from the score on that a passage
 Every text is cut into blocks as long as the longest item (``STRIDE`` words at least); a passage is two
 neighbouring blocks, so an item that occurs in a text lies wholly in a passage.  A passage's distinct terms are the query.
 Where their block maxima, each item's divided by its least score, do not sum to one, no item of that block of items can
-reach it; this test is made for all passages of a batch at once.  The remaining (passage, block) pairs go through WAND on the
+reach it; this test is made for all passages of a batch at once, and so is another: a passage without any shingle
+of an item's question or whole (of its answer, if it has no question) can't match one.  The remaining (passage, block) pairs go through WAND on the
 block's maxima, which returns *all* items at or above their least score.
 
 Each (passage, item) found is verified on five-word shingles: at least ``OVERLAP`` of the item's question and of
@@ -95,6 +96,14 @@ def least_score(weight: dict[int, float], rules: list[list[set[tuple[int, ...]]]
     return max(least, min(weight.values()))
 
 
+def gram_hashes(columns: list[np.ndarray]) -> np.ndarray:
+    """A hash of the term numbers side by side in ``columns``."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = h * np.uint64(0x9E3779B97F4A7C15) + (c + 2).astype(np.uint64)
+    return h
+
+
 class _TermIds(dict):
     """Run between white space -> term number, UNKNOWN or EMPTY (bounded memo over the vocabulary)."""
 
@@ -152,6 +161,11 @@ class ItemIndex:
         for t, p in enumerate(lists):
             np.maximum.at(self.near[t], np.array([k for k, _ in p]) // BLOCK, [w / self.needs[k] for k, w in p])
         self.stride = max(STRIDE, longest)
+        anchors: dict[int, set] = {}
+        for q, a, every, _ in self.parts:
+            for unit in (q or a) | every:
+                anchors.setdefault(len(unit), set()).add(unit)
+        self.anchors = {n: np.unique(gram_hashes(list(np.array(list(some), np.int64).T))) for n, some in anchors.items()}
         self.term_ids = _TermIds(self.vocabulary)
 
     def __getstate__(self):
@@ -213,13 +227,20 @@ class ItemIndex:
         full = np.flatnonzero(begin[1:] > begin[:-1])
         if len(full):
             sums[full] = np.add.reduceat(self.near[pairs % width], begin[full], axis=0)
+        starts = np.zeros(len(flat), bool)
+        for n, known in self.anchors.items():
+            if (m := len(flat) - n + 1) > 0:
+                h = gram_hashes([flat[i:i + m] for i in range(n)])
+                starts[:m] |= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+        anchored = np.bincount(block[starts], minlength=int(n_blocks.sum())) > 0
         out = []
         for k, s in enumerate(seq):
             best: dict = {}
             two = int(n_blocks[k] > 1)
             own = sums[first[k]:first[k] + n_blocks[k]]
             reach = (own[:-1] + own[1:] if two else own) >= need
-            for b in np.flatnonzero(reach.any(axis=1)):
+            held = anchored[first[k]:first[k] + n_blocks[k]]
+            for b in np.flatnonzero(reach.any(axis=1) & (held[:-1] | held[1:] if two else held)):
                 at = first[k] + b
                 terms = np.unique(pairs[begin[at]:begin[at + 1 + two]] % width)
                 open_ = np.flatnonzero(self.near[terms].sum(axis=0) >= need)
