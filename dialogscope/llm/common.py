@@ -1,6 +1,7 @@
 """Helpers the operators of this subpackage share."""
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +51,17 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def file_system(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The Arrow file system of a folder, and the folder's path there.
+
+    Hadoop's names are mapped: s3a and s3n to s3, dbfs to its mount under /dbfs.  S3 and GCS need credentials that Arrow
+    finds itself (environment or instance role), HDFS needs libhdfs on every node.
+    """
+    scheme, _, rest = folder.partition(":")
+    if scheme in ("s3a", "s3n"):
+        folder = f"s3:{rest}"
+    elif scheme == "dbfs":
+        folder = "file:///dbfs/" + rest.lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(folder)

@@ -1,6 +1,7 @@
 """The operators' queries by name, and their DuckDB SQL where SQL can express them."""
 
-from dialogscope.llm import bpe_automaton, decontaminate, langid, line_dedup, maxscore, simhash, token_counts, toxicity, url_filter, warc
+from dialogscope.llm import (bpe_automaton, decontaminate, id_planes, langid, line_dedup, maxscore, simhash, token_counts, toxicity,
+                             url_filter, warc, whitening)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -13,6 +14,8 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_maxscore": maxscore.op9_maxscore,
     "op10_simhash": simhash.op10_simhash,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_id_planes": id_planes.op12_id_planes,
 }
 
 ORACLE: dict[str, str] = {
