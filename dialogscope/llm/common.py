@@ -5,7 +5,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogscope.config import scratch_dir
+from dialogscope.config import scratch_dir, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a written table in the shared folder.
+
+    Unlike a checkpoint, which keeps the estimates of the plan it cuts (they multiply from join to join where one
+    is cut again and again), a written table has the size of its files, by which joins choose what to broadcast.
+    """
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> int:
     """How many partitions an explicit repartition makes: the session's shuffle partitions."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
