@@ -245,9 +245,9 @@ def q_cmp_months_named(spark, sf):
 
 @query("month_routing")
 def q_month_routing(spark, sf):
-    """S-3: month name → file prefix, and the dialogs of each such month."""
+    """S-3: month name → file prefix, and the dialogs under each."""
     routes = F.array(*[F.struct(F.lit(m).alias("month_name"), F.lit(tables.month_prefix(m)).alias("prefix")) for m in K.MONTH_PREFIX])
-    counts = _with_prefix(_dialogs(spark, sf, "activity_dt")).where("month is not null").groupBy("month").agg(F.count(F.lit(1)).alias("n_dialogs"))
+    counts = _with_prefix(_dialogs(spark, sf, "activity_dt")).groupBy("month").agg(F.count(F.lit(1)).alias("n_dialogs"))
     return counts.select("month", "n_dialogs", F.explode(F.filter(routes, lambda r: r["prefix"] == F.col("month"))).alias("r")).select(
         "r.month_name", "r.prefix", "n_dialogs")
 
@@ -413,10 +413,10 @@ def q_skeleton_browse(spark, sf):
 
 # --- sources and sinks (round trips through files Spark writes) -------------------------
 
-def _with_prefix(d: DataFrame) -> DataFrame:
-    """The dialogs with the file prefix of their calendar month; null beyond the months that have files."""
-    months = F.array(*[F.lit(p) for p in K.MONTH_PREFIX.values()])
-    return d.withColumn("month", F.get(months, F.month("activity_dt") - 1))
+def _with_prefix(d: DataFrame, n: int = len(K.MONTH_PREFIX)) -> DataFrame:
+    """All dialogs, each with one of the first n file prefixes: the calendar months take them in turn."""
+    months = F.array(*[F.lit(p) for p in list(K.MONTH_PREFIX.values())[:n]])
+    return d.withColumn("month", F.get(months, (F.month("activity_dt") - 1) % n))
 
 
 def _kept(result: DataFrame, *folders: str) -> DataFrame:
@@ -459,10 +459,10 @@ def q_export_csv(spark, sf):
     return _kept(_dialog_rows(tables.canonical_dialogs(back)), root)
 
 
-def _month_files(spark, sf, root: str, change) -> None:
-    """The dialogs of three months as source files ``{prefix}_chart_data.csv``, changed by ``change``."""
-    d = change(_with_prefix(_dialogs(spark, sf, *[c for c in ROW_COLS if c != "month"])))
-    for prefix in list(K.MONTH_PREFIX.values())[:3]:
+def _month_files(spark, sf, root: str, change, n: int = len(K.MONTH_PREFIX)) -> None:
+    """All dialogs as source files ``{prefix}_chart_data.csv`` of the first n prefixes, changed by ``change``."""
+    d = change(_with_prefix(_dialogs(spark, sf, *[c for c in ROW_COLS if c != "month"]), n))
+    for prefix in list(K.MONTH_PREFIX.values())[:n]:
         part = sinks.with_source_names(d.where(F.col("month") == prefix).drop("month"))
         sinks.export_csv(part, f"{root}/{prefix}_chart_data.csv")
 
@@ -490,11 +490,10 @@ def q_src_multiline(spark, sf):
 
 @query("src_missing_month")
 def q_src_missing_month(spark, sf):
-    """S-2: a month without a file is empty, the others are read; no months asked for, no rows."""
+    """S-2: all months are asked for, the last has no file: it is empty, the others are read; no months asked for, no rows."""
     root = scratch_path(spark, "missing")
-    _month_files(spark, sf, root, lambda d: d)
-    months = list(K.MONTH_PREFIX)
-    back = tables.read_table(spark, root, "chart_data", [months[0], months[3]])
+    _month_files(spark, sf, root, lambda d: d, len(K.MONTH_PREFIX) - 1)
+    back = tables.read_table(spark, root, "chart_data", list(K.MONTH_PREFIX))
     none = tables.read_table(spark, root, "chart_data", [])
     return _kept(_dialog_rows(tables.canonical_dialogs(back.unionByName(none, allowMissingColumns=True))), root)
 

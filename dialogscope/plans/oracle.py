@@ -283,7 +283,14 @@ def _merge_skeleton() -> None:
 
 ROW_SELECT = ("dialog_id, CAST(activity_dt AS DATE) AS day, dialog_grade, dialog_role, product_slug, status, status_post, "
               "CAST(session_seconds AS DOUBLE) AS session_seconds")
-PREFIX = "CASE month(activity_dt) " + " ".join(f"WHEN {i} THEN {lit(p)}" for i, p in enumerate(K.MONTH_PREFIX.values(), 1)) + " END"
+
+
+def prefix_case(names, n: int = len(K.MONTH_PREFIX)) -> str:
+    """The calendar months take the first n names in turn."""
+    return f"CASE (month(activity_dt) - 1) % {n} " + " ".join(f"WHEN {i} THEN {lit(p)}" for i, p in enumerate(list(names)[:n])) + " END"
+
+
+PREFIX = prefix_case(K.MONTH_PREFIX.values())
 
 
 def _month_tag_counts_sql() -> str:
@@ -299,20 +306,17 @@ ORACLE.update({
         f"SELECT {PREFIX} AS month, {ROW_SELECT} FROM (SELECT * REPLACE ("
         "CASE WHEN CAST(dialog_id AS BIGINT) % 3 <> 0 THEN product_slug END AS product_slug, "
         "CASE WHEN CAST(dialog_id AS BIGINT) % 5 <> 0 THEN dialog_grade END AS dialog_grade, "
-        "CASE WHEN CAST(dialog_id AS BIGINT) % 7 <> 0 THEN session_seconds END AS session_seconds) FROM dialogs) "
-        "WHERE month(activity_dt) <= 3"),
+        "CASE WHEN CAST(dialog_id AS BIGINT) % 7 <> 0 THEN session_seconds END AS session_seconds) FROM dialogs)"),
     "src_multiline": with_dialogs(
         f"SELECT {PREFIX} AS month, {ROW_SELECT} FROM (SELECT * REPLACE (CASE WHEN CAST(dialog_id AS BIGINT) % 4 = 0 "
-        "THEN 'a \"quoted\"' || chr(10) || 'second line,' || dialog_role ELSE dialog_role END AS dialog_role) FROM dialogs) "
-        "WHERE month(activity_dt) <= 3"),
-    "src_missing_month": with_dialogs(f"SELECT {PREFIX} AS month, {ROW_SELECT} FROM dialogs WHERE month(activity_dt) = 1"),
+        "THEN 'a \"quoted\"' || chr(10) || 'second line,' || dialog_role ELSE dialog_role END AS dialog_role) FROM dialogs)"),
+    "src_missing_month": with_dialogs(f"SELECT {prefix_case(K.MONTH_PREFIX.values(), len(K.MONTH_PREFIX) - 1)} AS month, {ROW_SELECT} FROM dialogs"),
     "cmp_months_named": with_dialogs(
         f"SELECT {PREFIX} AS month, count(*) AS total, count(*) FILTER (WHERE status = {lit(K.TAG_SUCCESS)}) AS success, "
         f"{pct(f'count(*) FILTER (WHERE status = {lit(K.TAG_SUCCESS)})', 'count(*)')} AS conversion_pct "
-        "FROM dialogs WHERE month(activity_dt) IN (2, 3) GROUP BY 1"),
+        "FROM dialogs WHERE (month(activity_dt) - 1) % 4 IN (1, 2) GROUP BY 1"),
     "month_routing": with_dialogs(
-        f"SELECT CASE month(activity_dt) {' '.join(f'WHEN {i} THEN {lit(m)}' for i, m in enumerate(K.MONTH_PREFIX, 1))} END AS month_name, "
-        f"{PREFIX} AS prefix, count(*) AS n_dialogs FROM dialogs WHERE month(activity_dt) <= {len(K.MONTH_PREFIX)} GROUP BY 1, 2"),
+        f"SELECT {prefix_case(K.MONTH_PREFIX)} AS month_name, {PREFIX} AS prefix, count(*) AS n_dialogs FROM dialogs GROUP BY 1, 2"),
     "time_summary_approx": "SELECT count(*) AS n, true AS within_bound FROM orders",
     "kpi_nan_default_period": with_dialogs(
         f"SELECT total, success, {pct('success', 'total')} AS success_pct, {minutes('mean_s')} AS mean_minutes FROM (SELECT count(*) AS total, "
