@@ -1,0 +1,149 @@
+"""Event funnels, bitmap facets, time cubes and month states against plain Python."""
+
+import datetime as dt
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from dialogscope import constants as K
+from dialogscope.operators import bitmap_facets, event_funnel, time_cube
+from dialogscope.sources.month_states import MonthStates
+
+T0 = dt.datetime(2024, 1, 1)
+STEPS = ["a", "b", "c", "d"]
+
+
+def reached(events, within):
+    """user -> steps reached, by trying every start."""
+    best = {}
+    by = {}
+    for user, at, tie, kind in events:
+        if user is not None and at is not None and kind in STEPS:
+            by.setdefault(user, []).append((at, tie, kind))
+    for user, rows in by.items():
+        rows.sort()
+        best[user] = 0
+        for n, (start, _, kind) in enumerate(rows):
+            level = 0
+            if kind == "a":
+                level = 1
+                for at, _, other in rows[n + 1:]:
+                    if level < 4 and other == STEPS[level] and at <= start + within:
+                        level += 1
+            best[user] = max(best[user], level)
+    return best
+
+
+def events(seed, users, n, hot=None):
+    chance = random.Random(seed)
+    return [(hot if hot is not None and k % 3 == 0 else chance.randrange(users), T0 + dt.timedelta(minutes=chance.randrange(4 * 1440)), k, chance.choice("aabbccddxx"))
+            for k in range(n)]
+
+
+@pytest.mark.parametrize("chunks", [1, 4, 40])
+@pytest.mark.parametrize("within", [dt.timedelta(0), dt.timedelta(hours=3), dt.timedelta(days=9, seconds=1)])
+def test_ordered_funnel_with_a_hot_user(spark, chunks, within):
+    rows = events(1, 30, 900, hot=5) + [(None, T0, 1, "a"), (3, None, 2, "a"), (77, T0, 3, "b"), (78, T0, 4, "a"), (78, T0, 5, "b"), (78, T0, 6, "c"), (78, T0, 7, "d")]
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, event_id long, event_type string")
+    want = reached(rows, within)
+    got = event_funnel.steps_reached(df, STEPS, within, range_partitions=chunks)
+    assert {r.user_id: r.reached for r in got.collect()} == want
+    funnel = event_funnel.ordered_funnel(df, STEPS, within, range_partitions=chunks).collect()
+    counts = [sum(v >= k for v in want.values()) for k in (1, 2, 3, 4)]
+    assert [r.n_users for r in funnel] == counts and [r.n_drop for r in funnel] == [0] + [b - a for a, b in zip(counts, counts[1:])]
+
+
+def test_a_hot_user_is_no_hot_task(spark):
+    df = spark.createDataFrame(events(2, 50, 3000, hot=5), "user_id long, ts timestamp_ntz, event_id long, event_type string")
+    rows = df.select(F.col("user_id").alias("_user"), F.col("ts").alias("_at"), F.col("event_id").alias("_tie"), F.lit(1).alias("_step"))
+    found = event_funnel._chunk_summaries(rows, 4, event_funnel._interval(dt.timedelta(days=1)), 16).where("_user = 5").count()
+    assert found >= 4
+
+
+def test_empty_and_wrong_funnels(spark):
+    df = spark.createDataFrame([], "user_id long, ts timestamp_ntz, event_id long, event_type string")
+    assert [(r.n_users, r.first_pct) for r in event_funnel.ordered_funnel(df, STEPS, dt.timedelta(1)).collect()] == [(0, None)] * 4
+    with pytest.raises(ValueError):
+        event_funnel.ordered_funnel(df, ["a", "a"], dt.timedelta(1))
+
+
+FACETS = ["grade", "role", "month"]
+
+
+@pytest.mark.parametrize("active", [{}, {"grade": [7]}, {"grade": [7, 9], "role": ["x"]}, {"grade": [7], "role": ["x", "y"], "month": ["m1"]},
+                                    {"grade": ["none"], "role": ["x"]}, {"grade": [], "month": ["m0"]}])
+def test_facet_counts(spark, tmp_path, active):
+    chance = random.Random(3)
+    rows = [(chance.choice([5, 7, 9, None]), chance.choice(["x", "y", "z", None]), f"m{chance.randrange(3)}") for _ in range(70_000)]
+    path = f"file://{tmp_path}/index"
+    bitmap_facets.write_index(spark.createDataFrame(rows, "grade int, role string, month string").repartition(3), FACETS, path)
+    index = bitmap_facets.read_index(spark, path)
+    assert index.select(F.max(F.length("bits"))).first()[0] == 4096
+    got = {(r.facet, r.value): r.n_dialogs for r in bitmap_facets.facet_counts(index, active).collect()}
+    want = {("", ""): 0}
+    for row in rows:
+        ok = [row[k] is not None and str(row[k]) in map(str, active[f]) if active.get(f) else True for k, f in enumerate(FACETS)]
+        want["", ""] += all(ok)
+        for k, f in enumerate(FACETS):
+            if row[k] is not None:
+                want[f, str(row[k])] = want.get((f, str(row[k])), 0) + all(ok[:k] + ok[k + 1:])
+    assert got == want
+
+
+def test_facets_of_an_empty_table(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    bitmap_facets.write_index(spark.createDataFrame([(None, None, None)], "grade int, role string, month string").limit(0), FACETS, path)
+    assert spark.read.schema("facet string, value string, bucket long, bits binary").parquet(path).count() == 0
+
+
+def test_time_cube(spark):
+    chance = random.Random(4)
+    rows = [(f"m{k % 3}", k % 4 or None, chance.lognormvariate(0, 3) if k % 11 else [None, math.nan][k % 2], k % 5) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "month string, grade int, session_seconds double, pupil_msgs long")
+    cube = time_cube.build(df, ["month", "grade"]).checkpoint()
+    assert cube.count() == 12
+    part = cube.where("month <> 'm1'")
+    got = {r.grade: r for r in time_cube.stats(part, ["grade"]).collect()}
+    for grade in (None, 1, 2, 3):
+        mine = [r for r in rows if r[0] != "m1" and r[1] == grade]
+        seconds = sorted(r[2] for r in mine if r[2] is not None and not math.isnan(r[2]))
+        assert got[grade].n == len(mine) and got[grade].mean_pupil_msgs == round(sum(r[3] for r in mine) / len(mine), 1)
+        assert abs(got[grade].mean_minutes - sum(seconds) / len(seconds) / 60) < 0.051
+    errors = time_cube.rank_errors(df.where("month <> 'm1'"), time_cube.stats(part, ["grade"]), ["grade"]).collect()
+    assert len(errors) == 4 and all(r.rank_error <= time_cube.rank_bound(time_cube.SKETCH_K // 2) for r in errors)
+
+
+def test_time_cube_without_values(spark):
+    df = spark.createDataFrame([("m", None), ("m", math.nan)], "month string, session_seconds double")
+    row = time_cube.stats(time_cube.build(df, ["month"]), ["month"]).first()
+    assert (row.n, row.mean_minutes, row.median_minutes) == (2, None, None)
+    assert time_cube.stats(time_cube.build(df.limit(0), ["month"]), ["month"]).collect() == []
+
+
+def test_month_states(spark, tmp_path):
+    schema = "month string, activity_dt timestamp_ntz, status string, session_seconds double"
+    day = lambda m, d: dt.datetime(2024, m, d, 5)
+    jan = [("01", day(1, 1), K.TAG_SUCCESS, 10.0), ("01", day(1, 1), "x", None), ("01", None, "x", math.nan), (None, day(1, 1), "x", 1.0)]
+    feb = [("02", day(2, 1), K.TAG_SUCCESS, 4.0)]
+    late = [("02", day(2, 1), "x", 6.5), ("02", day(2, 2), "x", 1.0)]
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    states = MonthStates(spark, f"file://{tmp_path}/states")
+    rows = lambda: sorted((r.month, str(r.day), r.total, r.success, r.n_seconds, r.sum_seconds) for r in states.days().collect())
+    assert rows() == []
+    states.load(frame(jan + feb))
+    states.load(frame(late), "late")
+    one = [("01", "2024-01-01", 2, 1, 1, 10.0), ("01", "None", 1, 0, 0, None)]
+    both = [*one, ("02", "2024-02-01", 2, 1, 2, 10.5), ("02", "2024-02-02", 1, 0, 1, 1.0)]
+    assert rows() == both
+    states.load(frame(late), "late")
+    states.load(frame(jan + feb))
+    assert rows() == both
+    states.reload(frame(feb), ["02"])  # the late file went with the old month
+    assert rows() == [*one, ("02", "2024-02-01", 1, 1, 1, 4.0)]
+    states.reload(frame(jan), ["02"])  # no row of the month: it is empty now
+    assert rows() == one
+    assert [(r.month, r.total, r.success, r.conversion_pct) for r in states.conversion().collect()] == [("01", 3, 1, 33.3)]
+    states.reload(frame(feb), ["02", "03"])
+    assert [r[0] for r in rows()] == ["01", "01", "02"]
