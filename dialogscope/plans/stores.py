@@ -5,15 +5,22 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..config import remove_path, scratch_path
-from ..operators import bitmap_facets, event_funnel, time_cube
+from ..config import default_parallelism, remove_path, scratch_path
+from ..operators import bitmap_facets, event_funnel, filters, skeleton, text_index, time_cube
 from ..sources import bindings as B
+from ..sources import quality, tables
+from ..sources import skeleton_sources as SK
+from ..sources.bucketed import BucketedTable
 from ..sources.month_states import MonthStates
+from . import catalog
+from .catalog import EVENT_ORDER, GRADE, ROLE
+from .oracle import ORACLE as CATALOG_ORACLE
 from .oracle import lit, minutes, pct, with_dialogs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,3 +139,67 @@ def q_month_reload(spark, sf):
     states.reload(d, [RELOADED])
     states.load(late, "late")
     return _kept(states.days(), states.root)
+
+
+# --- text search by a trigram index (F-4) ----------------------------------------
+
+SEARCHES = {"frequent": ("en", False), "letter": ("Q", False), "literal": ("Keiten", False), "accents": ("ÉLLE", False), "absent": ("zqxjw", False),
+            "long": ("ution des", False), "regex": (r"chen.{1,3}keit\w+", True), "regex optional": (r"verein(en)? *und", True), "regex class": (r"[aeiou]{4}", True)}
+
+
+def _search_sql() -> str:
+    def match(q: str, regex: bool) -> str:
+        return f"regexp_matches(text, {lit('(?i)' + q)})" if regex else f"contains(lower(text), lower({lit(q)}))"
+    return " UNION ALL ".join(f"SELECT {lit(n)} AS search, conv_id, turn FROM conversations WHERE {match(*q)}" for n, q in SEARCHES.items())
+
+
+@query("text_search_indexed", _search_sql())
+def q_text_search_indexed(spark, sf):
+    """F-4: literal and regex searches in all texts, from the trigram index."""
+    path = scratch_path(spark, "text-index")
+    text_index.write_index(B.table(spark, sf, "conversations"), ["conv_id", "turn"], "text", path)
+    found = [text_index.search(spark, path, q, regex).select(F.lit(n).alias("search"), "conv_id", "turn") for n, (q, regex) in SEARCHES.items()]
+    return _kept(reduce(DataFrame.unionByName, found), path)
+
+
+# --- joins without a shuffle (J-1) ------------------------------------------------
+
+@query("skeleton_semi_bucketed", CATALOG_ORACLE["skeleton_semi"])
+def q_skeleton_semi_bucketed(spark, sf):
+    """J-1 over bucketed tables: equals ``skeleton_semi``, without an exchange."""
+    n = default_parallelism(spark)
+    dialogs = BucketedTable.write(B.dialogs(spark, sf, ["dialog_id", "month", "dialog_grade", "dialog_role"]), "dialogs", n, month_col="month")
+    blocks = BucketedTable.write(SK.event_blocks(spark, sf), "blocks", n)
+    out = semi_bucketed(dialogs, blocks).checkpoint()
+    dialogs.drop()
+    blocks.drop()
+    return out
+
+
+def semi_bucketed(dialogs: BucketedTable, blocks: BucketedTable) -> DataFrame:
+    kept = filters.apply_filters(dialogs.read(), grade=GRADE, role=ROLE)
+    return skeleton.dropoff(filters.skeletons_for(blocks.read(), kept), EVENT_ORDER).select("dialog_id", "n_blocks", "last_type")
+
+
+# --- what a read could not understand (P-2, F-5) ------------------------------------
+
+@query("read_quality", with_dialogs(
+    "SELECT reason, n_rows FROM (SELECT count(*) AS r0, count(*) FILTER (WHERE k % 10 = 0 OR k % 14 = 0 OR k % 27 = 0 OR k % 23 = 0) AS r1, "
+    "count(*) FILTER (WHERE k % 23 = 0) AS r2, count(*) FILTER (WHERE k % 10 = 0) AS r3, count(*) FILTER (WHERE k % 14 = 0) AS r4, "
+    "count(*) FILTER (WHERE k % 27 = 0) AS r5 FROM (SELECT CAST(dialog_id AS BIGINT) AS k FROM dialogs)), "
+    "LATERAL (VALUES ('rows', r0), ('bad', r1), ('no_id', r2), ('date', r3), ('grade', r4), ('seconds', r5)) v(reason, n_rows)"))
+def q_read_quality(spark, sf):
+    """P-2/F-5: all dialogs as source files with bad cells, read once: rows per reason, bad rows set apart."""
+    root, n = scratch_path(spark, "quality"), F.col("dialog_id").cast("bigint")
+    bad = lambda m, word, c: F.when(n % m == 0, F.lit(word)).otherwise(F.col(c).cast("string"))
+    catalog._month_files(spark, sf, root, lambda d: d.withColumns({
+        "activity_dt": F.when(n % 10 == 0, F.lit("31.02.1996")).otherwise(F.date_format("activity_dt", "yyyy-MM-dd HH:mm:ss")),
+        "dialog_grade": bad(14, "seven", "dialog_grade"), "session_seconds": bad(27, "1:02:03", "session_seconds"),
+        "dialog_id": F.when(n % 23 != 0, F.col("dialog_id"))}))
+    raw = tables.read_table(spark, root, "chart_data", schema=quality.TEXT_SCHEMA)
+    counts = quality.quarantine(raw, f"{root}/checked")
+    stored = quality.stored(spark, f"{root}/checked").groupBy(quality.FLAG).agg(F.count(F.lit(1)).alias("n")).collect()
+    if {r[0]: r.n for r in stored} != {k: v for k, v in ((True, counts["bad"]), (False, counts["rows"] - counts["bad"])) if v}:
+        raise AssertionError("the stored rows are not those that were counted")
+    remove_path(spark, root)
+    return spark.createDataFrame(list(counts.items()), "reason string, n_rows bigint")
