@@ -36,8 +36,12 @@ BUCKETS = 16
 def grams(text: Column) -> Column:
     """The distinct grams of a text, lower-cased."""
     low = F.lower(text)
-    chars = F.split(low, "")  # once, so that a long text is not walked from its start for every gram
-    whole = F.transform(F.sequence(F.lit(0), F.length(low) - GRAM), lambda i: F.concat(*[F.get(chars, i + k) for k in range(GRAM)]))
+
+    def of_letters(letters: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(letters) - GRAM), lambda i: F.concat(*[F.get(letters, i + k) for k in range(GRAM)]))
+
+    # transform over a one-element array names the letters: the text is split once, not walked from its start for every gram
+    whole = F.transform(F.array(F.split(low, "")), of_letters)[0]
     return (F.when(F.length(low) >= GRAM, F.array_distinct(whole)).when(F.length(low) > 0, F.array(low)).otherwise(F.array().cast("array<string>")))
 
 
