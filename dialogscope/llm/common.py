@@ -64,15 +64,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def arrow_name(folder: str) -> str:
+    """A folder's name for Arrow: Hadoop's s3a and s3n are s3, dbfs is mounted under /dbfs."""
+    scheme, _, rest = folder.partition(":")
+    if scheme in ("s3a", "s3n"):
+        return f"s3:{rest}"
+    if scheme == "dbfs":
+        return "file:///dbfs/" + rest.lstrip("/")
+    return folder
+
+
 def file_system(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """The Arrow file system of a folder, and the folder's path there.
 
-    Hadoop's names are mapped: s3a and s3n to s3, dbfs to its mount under /dbfs.  S3 and GCS need credentials that Arrow
-    finds itself (environment or instance role), HDFS needs libhdfs on every node.
+    S3 and GCS need credentials that Arrow finds itself (environment or instance role), HDFS needs libhdfs on every node.
     """
-    scheme, _, rest = folder.partition(":")
-    if scheme in ("s3a", "s3n"):
-        folder = f"s3:{rest}"
-    elif scheme == "dbfs":
-        folder = "file:///dbfs/" + rest.lstrip("/")
-    return pyarrow.fs.FileSystem.from_uri(folder)
+    return pyarrow.fs.FileSystem.from_uri(arrow_name(folder))

@@ -10,12 +10,18 @@ is the label with the largest sum of word posteriors, its score that label's mea
 
 Training reads a bounded sample of every language there is: about ``ROWS_PER_LANG`` rows of each (fewer where they would be more than
 ``SAMPLE_ROWS`` together, one at least) and about ``MAX_WORDS`` words in all.  Of a text above ``TEXT_BYTES`` the sample
-takes ``SEGMENTS`` segments at hashed places, spread over the whole text.  Repeated rows are learned once.  The model that goes to the
-executors has the table sizes times the number of languages.
-A long text is labelled in pieces of ``PIECE`` words, so the work per step stays bounded.
+takes ``SEGMENTS`` segments at hashed places, spread over the whole text; where many languages make many rows, each row's share of
+``SAMPLE_CHARS`` is less than ``TEXT_BYTES``, and the rows are cut to it before they leave the executors.  Repeated rows are learned once.  The lexicon holds
+every word found three times in the sample.  The model that goes to the executors has at most ``MODEL_NUMBERS`` n-gram weights (the table
+is halved until buckets times languages fit) besides the lexicon's.
+
+A long text is labelled in pieces of ``PIECE`` words side by side.  Messages cross the pieces' borders: a piece is labelled again with its neighbours'
+messages until no border changes, so the posteriors are those of one pass over the whole text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text if no row
-can be learned from.  Rows are independent, ties go to the first language in alphabetical order.
+can be learned from.  Letters are characters of Unicode category L: digits, fractions, circled and Roman-numeral signs are none.
+Rows are independent, ties go to the first language in alphabetical order.  An empty table gives no rows.  Of the input only
+doc_id, text and lang are read (``accepted`` keeps all columns), so further columns may have any names.
 """
 
 from collections.abc import Iterator
@@ -33,74 +39,102 @@ MIN_SCORE = 0.3
 ROWS_PER_LANG = 500
 TEXT_BYTES = 16_384
 SEGMENTS = 8
-SEGMENT_CHARS = 2_048
 SAMPLE_ROWS = 32_000
+SAMPLE_CHARS = 1 << 26
+LEAST_CHARS = 256
 MAX_WORDS = 250_000
-LEXICON = 20_000
 BUCKET_BITS = 16
-PIECE = 512
+MODEL_NUMBERS = 1 << 25
+PIECE = 1_024
+STILL = 1e-6  # of a message that sums to 1
 BATCH_CHARS = 1_500_000
 GRID = 250_000
 
 
 # --- features -------------------------------------------------------------------------------
 
-def feature_groups(words: list[str], lexicon: np.ndarray):
+def feature_groups(words: list[str], lexicon: np.ndarray, bits: int = BUCKET_BITS):
     """(word number, feature number) pairs of the words' features, kind by kind, each by word number."""
     flat, start, end = codes(words)
     owner, at = np.repeat(np.arange(len(words)), end - start), np.arange(len(flat))
     left = np.repeat(end, end - start) - at
     for n in (2, 3):
         fits = left >= n
-        yield owner[fits], gram_buckets(flat, at[fits], n, n, BUCKET_BITS)
+        yield owner[fits], gram_buckets(flat, at[fits], n, n, bits)
     long = np.flatnonzero(end - start >= 4)
-    yield long, gram_buckets(flat, start[long], 4, 4, BUCKET_BITS)
-    yield long, gram_buckets(flat, end[long] - 4, 4, 5, BUCKET_BITS)
+    yield long, gram_buckets(flat, start[long], 4, 4, bits)
+    yield long, gram_buckets(flat, end[long] - 4, 4, 5, bits)
     if len(lexicon):
         h = word_hashes(flat, start, end)
         place = np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)
         known = np.flatnonzero(lexicon[place] == h)
-        yield known, (1 << BUCKET_BITS) + place[known]
+        yield known, (1 << bits) + place[known]
 
 
-def features(words: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(words: list[str], lexicon: np.ndarray, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
     """All (word number, feature number) pairs, by word number."""
-    who, what = map(np.concatenate, zip(*feature_groups(words, lexicon)))
+    who, what = map(np.concatenate, zip(*feature_groups(words, lexicon, bits)))
     order = np.argsort(who, kind="stable")
     return who[order], what[order]
 
 
 # --- the model ------------------------------------------------------------------------------
 
-def _forward_backward(potential: np.ndarray, step: np.ndarray, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _forward_backward(potential: np.ndarray, step: np.ndarray, live: np.ndarray | None = None, first: np.ndarray | None = None,
+                      last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of (time, sequence, label) potentials and (label, label) transitions, all positive: forward
-    and backward messages, each scaled to sum 1.  live: which (time, sequence) places hold a word."""
+    and backward messages, each scaled to sum 1.  live: which (time, sequence) places hold a word.
+
+    first, last: each sequence's messages from the words before and after it (first: the transition taken already); without: none.
+    """
     forward, backward = np.empty_like(potential), np.ones_like(potential)
-    f = potential[0] / potential[0].sum(axis=1, keepdims=True)
+    f = potential[0] if first is None else first * potential[0]
+    f = f / f.sum(axis=1, keepdims=True)
     forward[0] = f
     for t in range(1, len(potential)):
         f = (f @ step) * potential[t]
         f /= f.sum(axis=1, keepdims=True)
         forward[t] = f
+    end = np.ones_like(potential[0]) if last is None else last
+    backward[-1] = end
     for t in range(len(potential) - 2, -1, -1):
         b = (potential[t + 1] * backward[t + 1]) @ step.T
         b /= b.sum(axis=1, keepdims=True)
-        backward[t] = b if live is None else np.where(live[t + 1][:, None], b, 1)
+        backward[t] = b if live is None else np.where(live[t + 1][:, None], b, end)
     return forward, backward
 
 
+class _Piece:
+    """Some words of a text, with what the neighbouring pieces told it."""
+
+    def __init__(self, text: int, at: int, ids: np.ndarray, labels: int):
+        self.text, self.at, self.ids = text, at, ids
+        self.first = self.last = np.ones(labels, np.float32)
+        self.before = self.after = None
+
+    def told(self, name: str, message: np.ndarray) -> bool:
+        """Take a neighbour's message; whether it is another than before."""
+        message = message / message.sum()
+        changed = np.abs(message - getattr(self, name) / getattr(self, name).sum()).max() > STILL
+        setattr(self, name, message)
+        return bool(changed)
+
+
 class Crf:
     """Feature weights, transition weights and the labels' names."""
 
     def __init__(self, langs: list[str], lexicon: np.ndarray):
         self.langs, self.lexicon = langs, lexicon
-        self.weights = np.zeros(((1 << BUCKET_BITS) + len(lexicon), len(langs)), np.float32)
+        self.bits = BUCKET_BITS
+        while self.bits > 8 and len(langs) << self.bits > MODEL_NUMBERS:
+            self.bits -= 1
+        self.weights = np.zeros(((1 << self.bits) + len(lexicon), len(langs)), np.float32)
         self.transitions = np.zeros((len(langs), len(langs)), np.float32)
 
     def potentials(self, words: list[str]) -> np.ndarray:
         """exp(score) of every label for every word, scaled to a maximum of 1."""
         out = np.zeros((len(words), len(self.langs)), np.float32)
-        for who, what in feature_groups(words, self.lexicon) if words else ():
+        for who, what in feature_groups(words, self.lexicon, self.bits) if words else ():
             first = np.flatnonzero(np.append(True, who[1:] != who[:-1])[:len(who)])
             if len(first):
                 out[who[first]] += np.add.reduceat(self.weights[what], first, axis=0)
@@ -110,24 +144,42 @@ class Crf:
         """(word, label) posteriors of each text, all texts together."""
         words, ids = numbered(texts)
         table = self.potentials(words)
-        pieces = [(k, at, i[at:at + PIECE]) for k, i in enumerate(ids) for at in range(0, len(i), PIECE)]
-        pieces.sort(key=lambda p: -len(p[2]))
         out = [np.empty((len(i), len(self.langs)), np.float32) for i in ids]
-        step = np.exp(self.transitions)
-        while pieces:  # pieces of about the same length side by side, shorter ones filled up
-            size = len(pieces[0][2])
-            some = [p for p in pieces[:max(1, GRID // size)] if len(p[2]) > size // 2]
+        step, todo, longest = np.exp(self.transitions), [], 0
+        for k, i in enumerate(ids):
+            parts = [_Piece(k, at, i[at:at + PIECE], len(self.langs)) for at in range(0, len(i), PIECE)]
+            for a, b in zip(parts, parts[1:]):
+                a.after, b.before = b, a
+            todo += parts
+            longest = max(longest, len(parts))
+        for _ in range(longest):  # after as many rounds as a text has pieces its messages are exact, mostly after two
+            again = {}
+            for some, forward, backward, table_at in self._passes(todo, table, step):
+                both = forward * backward
+                both /= both.sum(axis=2, keepdims=True)
+                for c, p in enumerate(some):
+                    n = len(p.ids)
+                    out[p.text][p.at:p.at + n] = both[:n, c]
+                    if p.after and p.after.told("first", forward[n - 1, c] @ step):
+                        again[id(p.after)] = p.after
+                    if p.before and p.before.told("last", (table_at[0, c] * backward[0, c]) @ step.T):
+                        again[id(p.before)] = p.before
+            todo = list(again.values())
+        return out
+
+    def _passes(self, pieces: list[_Piece], table: np.ndarray, step: np.ndarray):
+        """The pieces in lists of about the same length side by side, shorter ones filled up, with their messages and potentials."""
+        pieces = sorted(pieces, key=lambda p: -len(p.ids))
+        while pieces:
+            size = len(pieces[0].ids)
+            some = [p for p in pieces[:max(1, GRID // size)] if len(p.ids) > size // 2]
             pieces = pieces[len(some):]
             grid = np.full((size, len(some)), -1, np.int64)
-            for c, (_, _, i) in enumerate(some):
-                grid[:len(i), c] = i
+            for c, p in enumerate(some):
+                grid[:len(p.ids), c] = p.ids
             live = grid >= 0
-            forward, backward = _forward_backward(np.where(live[..., None], table[grid], np.float32(1)), step, live)
-            both = forward * backward
-            both /= both.sum(axis=2, keepdims=True)
-            for c, (k, at, i) in enumerate(some):
-                out[k][at:at + len(i)] = both[:len(i), c]
-        return out
+            potential = np.where(live[..., None], table[grid], np.float32(1))
+            yield some, *_forward_backward(potential, step, live, np.stack([p.first for p in some]), np.stack([p.last for p in some])), potential
 
     def predict(self, texts) -> list[tuple[str, float]]:
         """(language, score) of each text."""
@@ -177,9 +229,8 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, length: int = 64, batch: i
     if not segments:
         return Crf([], np.empty(0, np.uint64))
     counts = np.bincount(np.concatenate([ids for ids, _ in segments]), minlength=len(every))
-    common = np.argsort(-counts, kind="stable")[:LEXICON]
-    model = Crf(langs, np.unique(word_hashes(*codes(every))[common[counts[common] >= 3]]))
-    who, what = features(every, model.lexicon)
+    model = Crf(langs, np.unique(word_hashes(*codes(every))[counts >= 3]))
+    who, what = features(every, model.lexicon, model.bits)
     begin = np.searchsorted(who, np.arange(len(every) + 1))
     total_w = np.full(model.weights.shape, 1e-6, np.float32)
     total_t = np.full(model.transitions.shape, 1e-6, np.float32)
@@ -224,13 +275,13 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, length: int = 64, batch: i
 
 # --- Spark ----------------------------------------------------------------------------------
 
-def sampled_text(text: Column, h: Column) -> Column:
-    """``text``, or the hashed segments of one above TEXT_BYTES, without the words cut at their ends."""
+def sampled_text(text: Column, h: Column, limit: int = TEXT_BYTES) -> Column:
+    """``text``, or the hashed segments of one above ``limit`` bytes, without the words cut at their ends."""
     part = F.floor(F.length(text) / SEGMENTS).cast("int")
-    size = F.least(part, F.lit(SEGMENT_CHARS))
+    size = F.least(part, F.lit(limit // SEGMENTS))
     pieces = [F.substr(text, (part * k + F.pmod(F.xxhash64(h, F.lit(k)), part - size + 1) + 1).cast("int"), size) for k in range(SEGMENTS)]
     whole_words = [F.regexp_replace(F.regexp_replace(p, r"^\S*\s+", ""), r"\s+\S*$", "") for p in pieces]
-    return F.when(F.octet_length(text) <= TEXT_BYTES, text).otherwise(F.concat_ws(" ", *whole_words))
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat_ws(" ", *whole_words))
 
 
 def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
@@ -243,9 +294,10 @@ def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
     if not n_langs:
         return []
     size = max(1, min(ROWS_PER_LANG, SAMPLE_ROWS // n_langs))
+    limit = max(LEAST_CHARS, min(TEXT_BYTES, SAMPLE_CHARS // (2 * size * n_langs)))
     place = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30) * F.col("n")
     rows = (known.join(F.broadcast(counts), "lang").where((F.col("h") == F.col("first")) | (place < size))
-            .select("lang", "h", (F.col("h") != F.col("first")).alias("other"), place.alias("place"), sampled_text(F.col("text"), F.col("h")).alias("text"))
+            .select("lang", "h", (F.col("h") != F.col("first")).alias("other"), place.alias("place"), sampled_text(F.col("text"), F.col("h"), limit).alias("text"))
             .dropDuplicates(["lang", "h"]).orderBy("other", "place", "h", "lang").limit(2 * size * n_langs).select("text", "lang").collect())
     return [(r.text, r.lang) for r in rows]
 

@@ -2,17 +2,20 @@
 
 Writing: the payload's SHA-256 groups equal payloads (one pre-aggregated row per digest crosses the shuffle, so a payload
 that a third of all pages share costs one row per task); the smallest page_id of a group is its response, the
-others are revisits without payload.  Each task writes files ``*.warc.zst``: a Zstandard dictionary trained from the
+others are revisits without payload.  Each task writes files ``*.warc.zst``: a Zstandard dictionary built from the
 file's first records, embedded in a leading skippable frame, then every record compressed as a frame of its own
-with that dictionary, so that any record can be read alone.  A file is closed at ``FILE_BYTES``.  File names hold the task attempt, and only
+with that dictionary, so that any record can be read alone.  Samples are short records whole and evenly spaced pieces of long ones; where they are too
+few or too alike to train on, they are the dictionary themselves (raw content), so that every archive begins with its frame.  A file is closed at ``FILE_BYTES``.  File names hold the task attempt, and only
 the files listed by successful attempts (the manifest, a reliable checkpoint) count, so a lost executor leaves no harm but an unlisted file.
 
 Reading: one row per file; tasks stream the file's frames and check every payload against its digest.
 
-Files go to the given folder, by default one in the shared checkpoint folder, through pyarrow's file systems (local, HDFS, S3, GCS).
+Files go to the given folder, by default one in the shared checkpoint folder, through pyarrow's file systems (local, HDFS, S3, GCS; see
+``common.file_system`` for their names).  They stay until the caller removes the folder.
 
 Defined results: null html is an empty payload, null urls are left out of the record.  A null page_id never is
 a group's response unless all its ids are null (then all are responses); rows that repeat the smallest page_id with the same html are all responses.
+An empty table has an empty manifest and gives no rows.  Further columns of the input, whatever their names, are ignored.
 """
 
 import base64
@@ -21,19 +24,19 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogscope.config import scratch_path
-from dialogscope.llm.common import cut, own_exchange, spread, table
+from dialogscope.llm.common import cut, file_system, own_exchange, spread, table
 
 FILE_BYTES = 64 << 20
 SAMPLE_RECORDS = 1_000
 SAMPLE_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
+PIECES, PIECE_BYTES = 16, 4 << 10
 LEVEL = 3
 # Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -82,12 +85,20 @@ def parsed(data: bytes) -> dict:
             "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-ID"), "payload": payload}
 
 
-def trained(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from the samples; None where there is too little to learn from."""
+def samples_of(data: bytes) -> list[bytes]:
+    """A short record whole, or evenly spaced pieces of a long one."""
+    if len(data) <= PIECES * PIECE_BYTES:
+        return [data]
+    return [data[at:at + PIECE_BYTES] for at in (k * (len(data) - PIECE_BYTES) // (PIECES - 1) for k in range(PIECES))]
+
+
+def dictionary_of(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary trained on the samples, or made of them where they don't suffice for training."""
+    size = min(DICTIONARY_BYTES, max(256, sum(map(len, samples)) // 8))
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples)
+        return zstandard.train_dictionary(size, samples)
     except zstandard.ZstdError:
-        return None
+        return zstandard.ZstdCompressionDict(b"".join(samples)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 class ArchiveFile:
@@ -114,10 +125,9 @@ class ArchiveFile:
 
     def _begin(self) -> None:
         self.out = self.system.open_output_stream(self.path, compression=None)
-        dictionary = trained(self.held)
-        if dictionary:
-            raw = dictionary.as_bytes()
-            self._put(struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw)
+        dictionary = dictionary_of([s for data in self.held for s in samples_of(data)])
+        raw = dictionary.as_bytes()
+        self._put(struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw)
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary)
         for data in self.held:
             self._put(self.compressor.compress(data))
@@ -175,7 +185,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     folder = folder or scratch_path(pages.sparkSession, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = pyarrow.fs.FileSystem.from_uri(folder)
+        system, root = file_system(folder)
         system.create_dir(root, recursive=True)
         task, n, current, done = TaskContext.get(), 0, None, []
         for batch in batches:
@@ -206,7 +216,7 @@ def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for f in batch.to_pylist():
-                system, _ = pyarrow.fs.FileSystem.from_uri(f["folder"])
+                system, _ = file_system(f["folder"])
                 held, size = [], 0
                 with system.open_input_stream(f["file"], compression=None, buffer_size=1 << 20) as stream:
                     for r in map(parsed, records_of(stream)):

@@ -1,6 +1,6 @@
 """Words of many texts at once: each distinct word numbered, and hashed with array operations.
 
-A word is a run between white space, lower-cased, with everything but its letters taken out;
+A word is a run between white space, lower-cased, with everything but its letters (Unicode category L) taken out;
 runs without a letter are no words.
 """
 
@@ -25,6 +25,8 @@ def numbered(texts) -> tuple[list[str], list[np.ndarray]]:
     words, own = _Numbers(), np.full(len(runs), -1, np.int64)
     for n, run in enumerate(runs):
         word = run if run.isalpha() else _NO_LETTERS.sub("", run)
+        if word and not word.isalpha():  # superscripts, fractions, letter-like numbers
+            word = "".join(filter(str.isalpha, word))
         if word:
             own[n] = words[word]
     return list(words), [i[i >= 0] for i in (own[i] for i in ids)]

@@ -39,6 +39,34 @@ def test_posteriors_are_those_of_enumeration(model):
         np.testing.assert_allclose(got, total / total.sum(axis=1, keepdims=True), rtol=1e-3, atol=1e-5)
 
 
+def test_posteriors_cross_the_borders_of_pieces(model, monkeypatch):
+    chance = np.random.default_rng(0)
+    words = "the cat dog house der hund katze haus el perro gata casa xyz qwe".split()
+    texts = [" ".join(chance.choice(words, n)) for n in (5000, 300, 64, 65, 1, 129)]
+    whole = model.posteriors(texts)
+    monkeypatch.setattr(langid, "PIECE", 1 << 30)
+    unbroken = model.posteriors(texts)
+    monkeypatch.setattr(langid, "PIECE", 64)
+    small = model.posteriors(texts)
+    monkeypatch.setattr(langid, "PIECE", 1)
+    single = model.posteriors(texts[1:])
+    for a, b, c in zip(whole, unbroken, small):
+        np.testing.assert_allclose(a, b, atol=2e-5)
+        np.testing.assert_allclose(c, b, atol=2e-5)
+    for a, b in zip(single, unbroken[1:]):
+        np.testing.assert_allclose(a, b, atol=2e-5)
+
+
+def test_the_model_and_the_sample_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 40_000)
+    rows = [(k, f"{'wort ' * 3_000}", f"l{k % 20:02d}") for k in range(200)]
+    got = langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {lang for _, lang in got} == {r[2] for r in rows} and sum(len(t) for t, _ in got) <= 200 * (langid.LEAST_CHARS + langid.SEGMENTS)
+    monkeypatch.setattr(langid, "MODEL_NUMBERS", 50_000)
+    many = langid.Crf([f"l{k}" for k in range(40)], np.empty(0, np.uint64))
+    assert many.weights.size <= 50_000 and many.potentials(["word"]).shape == (1, 40)
+
+
 def test_texts_do_not_influence_each_other(model):
     texts = ["the cat " * 300, "der Hund", "la casa " * 700, None, "", "the house der Hund", "word " * 5000]
     together = model.predict(texts)
@@ -55,12 +83,12 @@ def test_gradient_step_learns_and_labels_code_switched_text(model):
 def test_query_rows_with_edge_cases(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate(TRAIN)]
     odd = [(900, None, "en"), (901, "", "de"), (902, "12 !? \n", "es"), (903, "the house", None), (None, "der Hund", "de"),
-           (904, "日本語", "en"), (905, "the house " * 20_000, "en"), (3, "la casa", "es"), (3, "la casa", "es"), (906, "́", "en")]
+           (904, "日本語", "en"), (905, "the house " * 20_000, "en"), (3, "la casa", "es"), (3, "la casa", "es"), (906, "́", "en"), (907, "² ½ ③ Ⅷ ⑵", "de")]
     docs = spark.createDataFrame([(*r, 0.5, 1) for r in rows + odd], "doc_id long, text string, lang string, score double, held_out int")
     got = langid.identify(docs).collect()
     assert len(got) == len(rows) + len(odd)
     by = {r.doc_id: r for r in got}
-    assert [by[i].lang_pred for i in (900, 901, 902, 906)] == ["und"] * 4 and by[902].score == 0
+    assert [by[i].lang_pred for i in (900, 901, 902, 906, 907)] == ["und"] * 5 and by[902].score == 0
     assert by[903].lang_pred == "en" and by[905].lang_pred == "en" and by[None].lang_pred == "de" and by[None].held_out is False
     assert all(0 <= r.score <= 1 for r in got)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
@@ -78,7 +106,7 @@ def test_every_language_is_learned(spark, monkeypatch):
     got = langid.training_rows(docs)
     assert {lang for _, lang in got} == {r[2] for r in rows}
     long = [text for text, lang in got if lang == "long"]
-    assert long and all(len(t) <= langid.SEGMENTS * (langid.SEGMENT_CHARS + 1) and {"buch", "ende"} <= set(t.split())
+    assert long and all(len(t) <= langid.TEXT_BYTES + langid.SEGMENTS and {"buch", "ende"} <= set(t.split())
                         and set(t.split()) <= set("langes buch mit vielen worten ende".split()) for t in long)
     monkeypatch.setattr(langid, "SAMPLE_ROWS", 40)  # fewer than languages: one row or a few of each
     few = langid.training_rows(docs)

@@ -2,6 +2,7 @@
 
 import os
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -62,6 +63,13 @@ def test_query_rows_with_edge_cases(spark):
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_labels_of_other_documents_do_not_fill_the_sample(spark):
+    docs = spark.createDataFrame([(i * 150, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    there = [i * 150 for i in range(200) if zlib.crc32(str(i * 150).encode()) % 4 != 2]
+    assert len(toxicity.training_rows(docs, labels)) == len(there) > 130
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 def test_held_out_quality(spark):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}

@@ -53,10 +53,33 @@ def test_file_begins_with_the_dictionary_and_each_record_is_a_frame():
     assert len(data) < plain
 
 
-def test_few_records_need_no_dictionary():
-    for n in (0, 1, 3):
-        records = [warc.record(k, None, b"tiny") for k in range(n)]
-        assert list(warc.records_of(io.BytesIO(archive(records)))) == records
+def framed(data):
+    """The records of an archive, each read alone with the dictionary of the leading frame."""
+    magic, size = struct.unpack("<II", data[:8])
+    assert magic == 0x184D2A5D and size > 0
+    reader, out, at = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8:8 + size])), [], 8 + size
+    while at < len(data):
+        frame = reader.decompressobj()
+        out.append(frame.decompress(data[at:]))
+        at = len(data) - len(frame.unused_data)
+    return out
+
+
+@pytest.mark.parametrize("payloads", [[b"tiny"], [b"tiny"] * 3, [b""], [os.urandom(5_000_000)], [os.urandom(1000) * 2000 for _ in range(3)],
+                                      [b"<p>river</p>" * 80_000 for _ in range(5)], [b"x" * 9] * 2000])
+def test_every_archive_has_its_dictionary(payloads):
+    records = [warc.record(k, None, p) for k, p in enumerate(payloads)]
+    data = archive(records)
+    assert framed(data) == records
+    assert list(warc.records_of(io.BytesIO(data))) == records
+
+
+def test_folders_of_other_systems():
+    from dialogscope.llm.common import arrow_name, file_system
+
+    assert arrow_name("s3a://bucket/some/folder") == arrow_name("s3n://bucket/some/folder") == "s3://bucket/some/folder"
+    assert arrow_name("dbfs:/tmp/x") == "file:///dbfs/tmp/x" and arrow_name("hdfs://host:1/x") == "hdfs://host:1/x"
+    assert file_system("file:///tmp/x")[1] == "/tmp/x"
 
 
 def test_damage_is_noticed():
