@@ -5,28 +5,33 @@ impact each.  Impacts are BM25 weights divided by the item's own full score, so
 every term of the item.  An item is looked for from the score on that a passage with a match can't miss (``least_score``),
 ``THRESHOLD`` at most.
 
-Every text is cut into blocks as long as the longest item (``STRIDE`` words at least); a passage is two
-neighbouring blocks, so an item that occurs in a text lies wholly in a passage.  A passage's distinct terms are the query.
-Where their block maxima, each item's divided by its least score, do not sum to one, no item of that block of items can
-reach it; this test is made for all passages of a batch at once, and so is another: a passage without any shingle
-of an item's question or whole (of its answer, if it has no question) can't match one.  The remaining (passage, block) pairs go through WAND on the
-block's maxima, which returns *all* items at or above their least score.
-
-Each (passage, item) found is verified on five-word shingles: at least ``OVERLAP`` of the item's question and of
-its answer, or of the whole item, must occur in the passage.  An answer of five words or fewer is graded by its words.  With
-the whole item's shingles, half of the answer's words must be there or all but one: a question without its answer is no match.  The item's answer is its last sentence, its question what stands before;
+The passage is the whole text, whatever its length, so an item is found however many foreign words stand inside it.  Its distinct terms are the
+query.  A text without any shingle of an item's question or whole (of its answer, if it has no question) can't match one; this test
+is made for all texts of a batch at once.  For the others, blocks of items whose maxima, each item's divided by its least score, do not sum to one can't
+hold a match; the remaining (text, block) pairs go through WAND on the block's maxima, which returns *all* items at or above their least score.
+
+Each (text, item) found is verified on five-word shingles: at least ``OVERLAP`` of the item's question and of
+its answer, or of the whole item, must occur in the text.  An answer of five words or fewer is graded by its words, if it does not occur as it stands.  With
+the whole item's shingles, half of the answer's words must be there or all but one: a question without its answer is no match.  Single words count
+only near the item's shingles (between the first and the last that occur, and an item's length around).  The item's answer is its last sentence, its question what stands before;
 an item of one sentence is split before its last quarter.
 
 Defined results: null and empty texts and items match nothing, an item of fewer than five words counts as one shingle.
-A row of ``docs`` gives one result row per item id it holds (the best passage counts).  Rows that repeat are judged alike;
-repeated items are one if their ids are equal, and equal rows count once.  The index is broadcast in parts of about ``MAX_ITEMS`` items, dealt
-by id; the statistics are those of all items, so that scores do not depend on the parts.
+A row of ``docs`` gives one result row per item id it holds: of the texts under the id the one with the highest score, ties by question and then answer
+overlap.  Rows that repeat are judged alike; repeated items are one if their ids are equal, and equal rows count once.  Items without an id are one id.
+Empty tables give no rows.  Further columns, whatever their names, are ignored (``clean`` keeps those of ``docs``).
+
+The index is broadcast in parts of about ``MAX_ITEMS`` items, dealt by id and text, so that one id may have any number of texts; a pass over the documents takes ``PASS_PARTS`` parts.
+The statistics are those of all items, so that scores do not depend on the parts.
 """
 
+from __future__ import annotations
+
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +43,9 @@ from dialogscope.llm.common import cut, strings, table
 THRESHOLD = 0.8
 OVERLAP = 0.8
 SHINGLE = 5
-STRIDE = 64
 BLOCK = 16
 MAX_ITEMS = 2_000
+PASS_PARTS = 8
 K1, B = 0.9, 0.4
 BATCH_CHARS = 2_000_000
 MEMO_ENTRIES = 200_000
@@ -121,24 +126,24 @@ class ItemIndex:
     """Inverted index of test items with block maxima, and the items' shingles."""
 
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, stats: tuple | None = None):
-        """stats: (number of items, their mean length, their largest length, {word: items with it}) of all parts' items."""
+        """stats: (number of items, their mean length, {word: items with it}) of all parts' items."""
         self.threshold = threshold
         self.vocabulary: dict[str, int] = {}
-        self.ids, self.parts, self.needs, bags = [], [], [], []
+        self.ids, self.parts, self.needs, self.sizes, bags = [], [], [], [], []
         for item_id, text in items:
             if every := words(text):
                 numbers = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in every]
                 q, a = question_and_answer(text)
                 self.ids.append(item_id)
                 q, a = ([self.vocabulary[w] for w in p] for p in (q, a))
-                self.parts.append((shingles(q), answer_units(a), shingles(numbers), {(w,) for w in a}))
+                self.parts.append((shingles(q), shingles(a), answer_units(a), shingles(numbers), {(w,) for w in a}))
+                self.sizes.append(len(numbers))
                 bags.append(Counter(numbers))
         n = max(1, len(bags))
         mean = sum(b.total() for b in bags) / n
         found = Counter(t for b in bags for t in b)
-        longest = max([0, *(b.total() for b in bags)])
         if stats:
-            n, mean, longest, df = stats
+            n, mean, df = stats
             found = {self.vocabulary[w]: df[w] for w in self.vocabulary}
         idf = {t: np.log1p((n - d + 0.5) / (d + 0.5)) for t, d in found.items()}
         lists: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
@@ -148,8 +153,8 @@ class ItemIndex:
             weight = {t: w / whole for t, w in weight.items()}
             for t, w in weight.items():
                 lists[t].append((k, w))
-            q, a, every, _ = self.parts[k]
-            self.needs.append(min(threshold, least_score(weight, [[q, a], [every]])))
+            q, a, units, every, _ = self.parts[k]
+            self.needs.append(min(threshold, least_score(weight, [[q, units], [q, a], [every]])))
         self.docs = [[k for k, _ in p] for p in lists]
         self.impacts = [[w for _, w in p] for p in lists]
         # Largest impact of a term in each range of BLOCK item numbers.
@@ -160,20 +165,11 @@ class ItemIndex:
         self.near = np.zeros_like(self.bound)
         for t, p in enumerate(lists):
             np.maximum.at(self.near[t], np.array([k for k, _ in p]) // BLOCK, [w / self.needs[k] for k, w in p])
-        self.stride = max(STRIDE, longest)
         anchors: dict[int, set] = {}
-        for q, a, every, _ in self.parts:
+        for q, a, _, every, _ in self.parts:
             for unit in (q or a) | every:
                 anchors.setdefault(len(unit), set()).add(unit)
         self.anchors = {n: np.unique(gram_hashes(list(np.array(list(some), np.int64).T))) for n, some in anchors.items()}
-        self.term_ids = _TermIds(self.vocabulary)
-
-    def __getstate__(self):
-        return self.__dict__ | {"term_ids": None}
-
-    def __setstate__(self, state):
-        self.__dict__ |= state
-        self.term_ids = _TermIds(self.vocabulary)
 
     def search(self, terms: np.ndarray, block: int, near: bool = False) -> list[tuple[int, float]]:
         """WAND inside one block: (item number, score) of all its items that score at least the threshold (``near``: their
@@ -209,54 +205,95 @@ class ItemIndex:
 
     def matches(self, texts) -> list[list[tuple[int, float, float, float]]]:
         """For each text the verified items: (item id, score, question overlap, answer overlap)."""
-        if len(self.term_ids) > MEMO_ENTRIES:
-            self.term_ids.clear()
-        if not self.ids:
-            return [[] for _ in texts]
-        seq = [np.array([*map(self.term_ids.__getitem__, t.lower().split())] if t else [], np.int64) for t in texts]
-        seq = [s[s != EMPTY] for s in seq]
-        n_blocks = np.array([-(-len(s) // self.stride) for s in seq])
-        first = np.cumsum(n_blocks) - n_blocks
-        block = np.concatenate([f + np.arange(len(s)) // self.stride for f, s in zip(first, seq)] or [np.empty(0, np.int64)])
+        return ItemIndexes([self]).matches(texts)
+
+    def found(self, seq: list[np.ndarray]) -> Iterator[tuple[int, int, float, float, float]]:
+        """(text number, item id, score, question overlap, answer overlap) of the verified items of texts given as term numbers."""
         flat = np.concatenate(seq or [np.empty(0, np.int64)])
-        width = len(self.vocabulary)
-        pairs = np.unique((block * width + flat)[flat >= 0])
-        need = 1 - 1e-9
-        begin = np.searchsorted(pairs, np.arange(int(n_blocks.sum()) + 1) * width)
-        sums = np.zeros((int(n_blocks.sum()), self.bound.shape[1]))
-        full = np.flatnonzero(begin[1:] > begin[:-1])
-        if len(full):
-            sums[full] = np.add.reduceat(self.near[pairs % width], begin[full], axis=0)
+        owner = np.repeat(np.arange(len(seq)), [len(s) for s in seq])
         starts = np.zeros(len(flat), bool)
         for n, known in self.anchors.items():
             if (m := len(flat) - n + 1) > 0:
                 h = gram_hashes([flat[i:i + m] for i in range(n)])
                 starts[:m] |= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-        anchored = np.bincount(block[starts], minlength=int(n_blocks.sum())) > 0
-        out = []
-        for k, s in enumerate(seq):
-            best: dict = {}
-            two = int(n_blocks[k] > 1)
-            own = sums[first[k]:first[k] + n_blocks[k]]
-            reach = (own[:-1] + own[1:] if two else own) >= need
-            held = anchored[first[k]:first[k] + n_blocks[k]]
-            for b in np.flatnonzero(reach.any(axis=1) & (held[:-1] | held[1:] if two else held)):
-                at = first[k] + b
-                terms = np.unique(pairs[begin[at]:begin[at + 1 + two]] % width)
-                open_ = np.flatnonzero(self.near[terms].sum(axis=0) >= need)
-                passage = None
-                for block in open_:
-                    for item, score in self.search(terms, block, near=True):
-                        if passage is None:
-                            some = s[b * self.stride:(b + 2) * self.stride].tolist()
-                            passage = {n: set(zip(*(some[i:] for i in range(n)))) for n in range(1, SHINGLE + 1)}
-                        q, a, every, named = (sum(x in passage[len(x)] for x in part) / len(part) if part else 1.0 for part in self.parts[item])
-                        size = len(self.parts[item][3])
-                        if q >= OVERLAP and a >= OVERLAP or every >= OVERLAP and named >= 1 - max(0.5, 1 / size) - 1e-9:
-                            found = (score, q, a)
-                            best[self.ids[item]] = max(best.get(self.ids[item], found), found)
-            out.append([(i, *f) for i, f in sorted(best.items(), key=lambda x: (x[0] is None, x[0]))])
-        return out
+        for k in np.unique(owner[starts]).tolist():
+            terms = np.unique(seq[k])
+            terms = terms[terms >= 0]
+            text = None
+            for block in np.flatnonzero(self.near[terms].sum(axis=0) >= 1 - 1e-9):
+                for item, score in self.search(terms, block, near=True):
+                    text = text or _Grams(seq[k].tolist())
+                    if overlaps := self._verified(text, item):
+                        yield k, self.ids[item], score, *overlaps
+
+    def _verified(self, text: _Grams, item: int) -> tuple[float, float] | None:
+        """(question overlap, answer overlap) if the text holds the item."""
+        q, a, units, every, named = self.parts[item]
+        share = lambda part, held: sum(x in held for x in part) / len(part) if part else 1.0
+        question, answer, whole = (share(part, text.of(part)) for part in (q, a, every))
+        places = [at for part in (q, a, every) for x in part for at in text.of(part).get(x, ())]
+        if not places:
+            return None
+        near = {(w,) for w in text.words[max(0, min(places) - self.sizes[item]):max(places) + SHINGLE + self.sizes[item]]}
+        if units is not a:
+            answer = max(answer, share(units, near)) if len(units) <= SHINGLE else answer
+        size = len(named)
+        if question >= OVERLAP and answer >= OVERLAP or whole >= OVERLAP and share(named, near) >= 1 - max(0.5, 1 / size) - 1e-9:
+            return question, answer
+        return None
+
+
+class _Grams:
+    """A text's runs of n words with their first and last place, made for the lengths that are asked for."""
+
+    def __init__(self, words: list[int]):
+        self.words, self.held = words, {}
+
+    def of(self, part: set[tuple[int, ...]]) -> dict[tuple[int, ...], tuple[int, int]]:
+        n = len(next(iter(part), ()))
+        if n not in self.held:
+            grams = list(zip(*(self.words[i:] for i in range(n)))) if n else []
+            last = {g: at for at, g in enumerate(grams)}
+            first = {g: at for at, g in reversed(list(enumerate(grams)))}
+            self.held[n] = {g: (at, last[g]) for g, at in first.items()}
+        return self.held[n]
+
+
+class ItemIndexes:
+    """The index parts of one pass: texts are read once, into numbers of a common vocabulary."""
+
+    def __init__(self, parts: list[ItemIndex]):
+        self.parts, self.vocabulary = parts, {}
+        for p in parts:
+            for w in p.vocabulary:
+                self.vocabulary.setdefault(w, len(self.vocabulary))
+        self.local = []
+        for p in parts:
+            place = np.full(len(self.vocabulary) + 2, UNKNOWN, np.int64)  # the last two: EMPTY and UNKNOWN
+            place[[self.vocabulary[w] for w in p.vocabulary]] = list(p.vocabulary.values())
+            self.local.append(place)
+        self.term_ids = _TermIds(self.vocabulary)
+
+    def __getstate__(self):
+        return self.__dict__ | {"term_ids": None}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self.term_ids = _TermIds(self.vocabulary)
+
+    def matches(self, texts) -> list[list[tuple[int, float, float, float]]]:
+        """For each text the verified items of all parts: (item id, score, question overlap, answer overlap), the best text of each id."""
+        if len(self.term_ids) > MEMO_ENTRIES:
+            self.term_ids.clear()
+        if not self.vocabulary:
+            return [[] for _ in texts]
+        seq = [np.array([*map(self.term_ids.__getitem__, t.lower().split())] if t else [], np.int64) for t in texts]
+        seq = [s[s != EMPTY] for s in seq]
+        best: list[dict] = [{} for _ in seq]
+        for part, local in zip(self.parts, self.local):
+            for k, item, *found in part.found([local[s] for s in seq]):
+                best[k][item] = max(best[k].get(item, found), found)
+        return [[(i, *f) for i, f in sorted(b.items(), key=lambda x: (x[0] is None, x[0]))] for b in best]
 
 
 def item_words(text: Column) -> Column:
@@ -269,25 +306,29 @@ def item_words(text: Column) -> Column:
     return found(text)
 
 
-def item_indexes(items: DataFrame):
-    """Indexes over all items, about MAX_ITEMS or fewer in each, with the statistics of all."""
+def item_indexes(items: DataFrame) -> Iterator[ItemIndexes]:
+    """Indexes over all items for one pass each: up to PASS_PARTS parts of about MAX_ITEMS items, with the statistics of all."""
     rows = cut(items.select("item_id", "text").where(F.col("text").isNotNull()).distinct())
     n = max(1, -(-rows.count() // (MAX_ITEMS * 3 // 4)))
-    part_of = F.pmod(F.xxhash64("item_id"), F.lit(n))
+    part_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     if n > 1:
         held = cut(rows.select(part_of.alias("part"), item_words(F.col("text")).alias("words")).where(F.size("words") > 0))
-        total = held.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"), F.max(F.size("words")).alias("longest")).first()
+        total = held.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean")).first()
         df = cut(held.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    parts = []
     for part in range(n):
         some = rows.where(part_of == part).orderBy("item_id", "text").collect()
         stats = None
         if n > 1:
             own = held.where(F.col("part") == part).select(F.explode("words").alias("word")).distinct()
-            stats = total.n, total.mean, total.longest, {r.word: r.df for r in own.join(df, "word").collect()}
-        yield ItemIndex([(r.item_id, r.text) for r in some], stats=stats)
+            stats = total.n, total.mean, {r.word: r.df for r in own.join(df, "word").collect()}
+        parts.append(ItemIndex([(r.item_id, r.text) for r in some], stats=stats))
+        if len(parts) == PASS_PARTS or part == n - 1:
+            yield ItemIndexes(parts)
+            parts = []
 
 
-def item_matches(spark: SparkSession, index: ItemIndex, text: Column) -> Column:
+def item_matches(spark: SparkSession, index: ItemIndexes, text: Column) -> Column:
     """The verified items of ``text`` as an array of (item_id, score, question_overlap, answer_overlap)."""
     shared = spark.sparkContext.broadcast(index)
     names = ("item_id", "score", "question_overlap", "answer_overlap")
@@ -311,12 +352,16 @@ def item_matches(spark: SparkSession, index: ItemIndex, text: Column) -> Column:
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every item that a row of ``docs`` holds."""
-    found = None
-    for index in item_indexes(items):
-        part = (docs.select("doc_id", item_matches(docs.sparkSession, index, F.col("text")).alias("found"))
-                .select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.*"))
-        found = part if found is None else found.union(part)
-    return found
+    passes = [(docs.select("doc_id", F.xxhash64("text").alias("h"), F.lit(k).alias("pass"), item_matches(docs.sparkSession, index, F.col("text")).alias("found"))
+               .select("doc_id", "h", "pass", F.explode("found").alias("m")).select("doc_id", "h", "pass", "m.*")) for k, index in enumerate(item_indexes(items))]
+    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
+    if len(passes) == 1:
+        return passes[0].select(*names)
+    # Texts of one id may lie in several passes: the best counts, once for each of the equal rows of a pass.
+    best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("m")
+    once = reduce(DataFrame.union, passes).groupBy("doc_id", "h", "item_id", "pass").agg(best, F.count(F.lit(1)).alias("n"))
+    rows = once.groupBy("doc_id", "h", "item_id").agg(F.max("m").alias("m"), F.max("n").alias("n"))
+    return rows.select("doc_id", "item_id", "m.*", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*names)
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

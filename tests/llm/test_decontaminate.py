@@ -92,7 +92,9 @@ def test_several_index_parts_find_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(k, "before it " + items[k][1]) for k in range(60)], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(decontaminate, "MAX_ITEMS", 20)
-    assert len(list(decontaminate.item_indexes(bench))) == 4
+    assert [len(i.parts) for i in decontaminate.item_indexes(bench)] == [4]
+    monkeypatch.setattr(decontaminate, "PASS_PARTS", 3)
+    assert [len(i.parts) for i in decontaminate.item_indexes(bench)] == [3, 1]
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
     assert {(k, k) for k in range(60)} <= got
 
@@ -105,9 +107,46 @@ def test_scores_do_not_depend_on_the_parts(spark, monkeypatch):
     one = found(spark.createDataFrame(items, schema))
     monkeypatch.setattr(decontaminate, "MAX_ITEMS", 20)
     assert found(spark.createDataFrame(items + items[:1] * 200, schema)) == one
+    monkeypatch.setattr(decontaminate, "PASS_PARTS", 1)
+    assert found(spark.createDataFrame(items, schema)) == one
     assert len([r for r in one if r[0] == 70]) == 1
 
 
+@pytest.mark.parametrize("foreign", [3, 30, 100, 200, 3000])
+def test_items_with_foreign_words_inside_are_found(foreign):
+    pick, names = random.Random(foreign), vocabulary(700)[300:]
+    items = [(i, " ".join(pick.choices(vocabulary(), k=60)) + ". " + " ".join(pick.choices(vocabulary(), k=8)) + ".") for i in range(40)]
+    docs = []
+    for i, text in items:
+        every = text.split()
+        at = pick.randrange(5, len(every) - 5)
+        docs.append((i, " ".join([*pick.choices(names, k=20), *every[:at], *pick.choices(names, k=foreign), *every[at:], *pick.choices(names, k=20)])))
+    want = brute(docs, items)
+    got = {(d, m[0]) for (d, _), found in zip(docs, ItemIndex(items).matches([t for _, t in docs])) for m in found}
+    assert want <= got and {i for i, _ in got} == set(range(40)) and all(d == i for d, i in got)
+
+
+def test_a_long_text_with_the_question_alone_is_no_match():
+    item = "who wrote the long old book about the quiet river and the seven green boats? nobody knows it"
+    far = "some words " * 400 + "nobody " + "some words " * 400 + "knows it"
+    question = item.split("?")[0]
+    assert ItemIndex([(1, item)]).matches([f"{far} {question} {far}", f"{far} {question} and {far} nobody knows it"]) != [[], []]
+    assert ItemIndex([(1, item)]).matches([f"nobody here knows {'some words ' * 400} {question} {'some words ' * 400} it"]) == [[]]
+
+
+@pytest.mark.parametrize("ids", [[7], [None], [7, None]])
+def test_many_items_under_one_id(spark, monkeypatch, ids):
+    monkeypatch.setattr(decontaminate, "MAX_ITEMS", 20)
+    monkeypatch.setattr(decontaminate, "PASS_PARTS", 2)
+    items = [(ids[k % len(ids)], text) for k, text in some_items(90)]
+    index = list(decontaminate.item_indexes(spark.createDataFrame(items, "item_id long, text string")))
+    assert sum(len(i.parts) for i in index) == 6 and max(len(p.ids) for i in index for p in i.parts) < 35
+    docs = [(k, items[k][1] + " and " + items[-k - 1][1]) for k in range(30)] + [(3, items[3][1] + " and " + items[-4][1])]
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    want = [(d, i) for d, text in docs for i in {i for i, item in items if item in text}]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_near_copies_are_found():
     """Every item with one word replaced: found wherever 0.8 of its whole shingles are left, in the answer, too."""
     items = some_items(120) + [(900, "who wrote the long old book about the quiet river and the seven green boats? five words in this answer")]
