@@ -3,33 +3,28 @@
 Spark's exact ``median``/``percentile`` keeps a map of every distinct value
 per group and merges all of them in ONE task for a global aggregate, so on a
 large table the whole column ends up in a single task.  ``exact_kth`` instead
-narrows the rank down with distributed histograms:
-
-1. one aggregate gives count, min and max;
-2. each pass buckets the still-possible values into ``buckets`` equal-width
-   bins (a grouped count/min/max, at most ``buckets`` rows), and a running
-   count over that small histogram picks the bin holding the wanted rank —
-   one row reaches the driver;
-3. once the candidate range holds at most ``small`` values (a fixed bound) or
-   a single distinct value, those are ranked in one task and the value at the
-   rank is returned.
-
-Each pass removes at least the bins of the range's two extremes, so it always
-terminates; for real-valued data 2-3 passes suffice even at 10^12 rows.
-Results equal Spark's ``median`` (linear interpolation between the two middle
-values for an even count).
+narrows the rank down between approximate quantiles:
+
+1. ``percentile_approx`` gives two values just below and above the wanted rank.  Its error is
+   a share of the rows (1 / ``accuracy``), whatever the values are: evenly spread, log-normal or a few
+   outliers, a pass leaves about 6 / ``accuracy`` of the candidates;
+2. one aggregate counts the candidates below, at, between and above the two, which says where the rank
+   lies - exactly, whether the approximation kept its promise or not;
+3. once at most ``small`` candidates are left (a fixed bound), they are ranked in one task.
+
+The two values themselves are never candidates again, so each pass removes something and heavy ties end the
+search at once.  At the default accuracy 10^12 values take three passes of two aggregates.  Results equal Spark's
+``median`` (linear interpolation between the two middle values for an even count).  Infinities are ordinary values; null and NaN are left out.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 1 << 16
-DEFAULT_SMALL = 1 << 16  # no more rows in the one ranking task than a histogram has bins
+ACCURACY = 10_000
+DEFAULT_SMALL = 1 << 16  # rows in the one ranking task
 
 
 def _values(df: DataFrame, col: str) -> DataFrame:
@@ -37,118 +32,64 @@ def _values(df: DataFrame, col: str) -> DataFrame:
     return df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def exact_kth(df: DataFrame, col: str, k: int, *, buckets: int = DEFAULT_BUCKETS,
-              small: int = DEFAULT_SMALL, stats: tuple | None = None) -> float | None:
+def exact_kth(df: DataFrame, col: str, k: int, *, accuracy: int = ACCURACY, small: int = DEFAULT_SMALL) -> float | None:
     """The value of 0-based rank ``k`` among the non-null, non-NaN values."""
-    return _kth_pair(df, col, k, buckets=buckets, small=small, stats=stats)[0]
+    base = _values(df, col)
+    return _kth_pair(base, k, base.count(), accuracy, small)[0]
 
 
-def _kth_pair(df: DataFrame, col: str, k: int, *, buckets: int = DEFAULT_BUCKETS,
-              small: int = DEFAULT_SMALL, stats: tuple | None = None) -> tuple:
-    """Values of ranks ``k`` and ``k + 1``; the second is None when it lies
-    outside the final candidate range (or does not exist)."""
-    base = _values(df, col)
-    if stats is None:
-        row = base.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-        n, lo, hi = row["n"], row["lo"], row["hi"]
-    else:
-        n, lo, hi = stats
-    if n == 0 or k < 0 or k >= n:
+def _around(values: DataFrame, rank: int, n: int, accuracy: int) -> tuple[float, float]:
+    """Two values near the rank, below and above it if the approximation keeps its promise."""
+    slack = 2 / accuracy
+    at = [max(0.0, rank / n - slack), min(1.0, (rank + 1) / n + slack)]
+    low, high = values.agg(F.percentile_approx("v", at, accuracy)).first()[0]
+    return low, high
+
+
+def _kth_pair(base: DataFrame, k: int, n: int, accuracy: int, small: int) -> tuple[float | None, float | None]:
+    """Values of ranks ``k`` and ``k + 1`` of the column ``v``; the second is None where it is the smallest value above the first (or there is none)."""
+    if k < 0 or k >= n:
         return None, None
-    cond: Column = F.lit(True)
-    rank = k  # rank within the current candidate range
-    m = n
-    if math.isinf(lo) or math.isinf(hi):
-        # Infinities sit at the two ends of the order; refine over the finite
-        # values only (their bucket arithmetic would give NaN).
-        ends = base.agg(F.count_if(F.col("v") == F.lit(-math.inf)).alias("neg"),
-                        F.count_if(F.col("v") == F.lit(math.inf)).alias("pos"),
-                        F.min(F.when(~F.col("v").isin(-math.inf, math.inf), F.col("v"))).alias("lo"),
-                        F.max(F.when(~F.col("v").isin(-math.inf, math.inf), F.col("v"))).alias("hi")).first()
-        neg, pos = ends["neg"], ends["pos"]
-
-        def at(r):
-            if r >= n:
-                return None
-            if r < neg:
-                return -math.inf
-            if r >= n - pos:
-                return math.inf
-            return None  # finite: found below
-
-        if at(k) is not None:
-            return at(k), at(k + 1)
-        finite_k = k - neg
-        m = n - neg - pos
-        v1, v2 = _kth_pair(base.where(~F.col("v").isin(-math.inf, math.inf)), "v", finite_k,
-                           buckets=buckets, small=small, stats=(m, ends["lo"], ends["hi"]))
-        if v2 is None and k + 1 < n and k + 1 >= n - pos:
-            v2 = math.inf
-        return v1, v2
-    while True:
-        if lo == hi:
-            return float(lo), (float(lo) if rank + 1 < m else None)
-        if m <= small:
-            # At most ``small`` values remain: rank them in one task and
-            # return the (at most two) rows at the wanted ranks.
-            by_value = Window.orderBy("v")
-            hits = (base.where(cond).withColumn("_rn", F.row_number().over(by_value))
-                    .where(F.col("_rn").between(rank + 1, rank + 2)).orderBy("_rn").collect())
-            return float(hits[0]["v"]), (float(hits[1]["v"]) if len(hits) > 1 else None)
-        # Position of v in [lo, hi] as a fraction, times the bucket count.
-        # Both sides are scaled by 1/buckets first so hi - lo cannot overflow.
-        span = hi / buckets - lo / buckets
-        if span > 0:
-            frac = (F.col("v") / buckets - F.lit(lo / buckets)) / F.lit(span)
-        else:  # subnormal range: the scaled span underflowed, hi - lo cannot overflow
-            frac = (F.col("v") - F.lit(lo)) / F.lit(hi - lo)
-        bucket = F.least(F.lit(buckets - 1), F.floor(frac * buckets).cast("int"))
-        hist = (base.where(cond).groupBy(bucket.alias("b"))
-                .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")))
-        # The histogram has at most ``buckets`` rows: a running count over it
-        # (one small task) picks the bucket holding the rank; one row returns.
-        before = F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)),
-                            F.lit(0))
-        r = (hist.withColumn("before", before)
-             .where((F.col("before") <= rank) & (F.lit(rank) < F.col("before") + F.col("c"))).first())
-        if r is None:  # pragma: no cover - rank < m always holds
-            raise AssertionError("rank outside histogram")
-        if r["c"] == m:  # no progress is impossible unless the width degenerates
-            raise ArithmeticError("histogram refinement made no progress")
-        cond = cond & (bucket == r["b"])
-        rank -= r["before"]
-        lo, hi, m = r["lo"], r["hi"], r["c"]
-
-
-def exact_median(df: DataFrame, col: str, stats: tuple | None = None, **kw) -> float | None:
+    v, cond, rank, m = F.col("v"), F.lit(True), k, n
+    while m > small:
+        some = base.where(cond)
+        low, high = _around(some, rank, m, accuracy)
+        inside: Column = (v > low) & (v < high)
+        count = some.agg(F.count_if(v < low).alias("below"), F.count_if(v == low).alias("low"), F.count_if(inside).alias("inside"),
+                         F.count_if((v == high) & (v > low)).alias("high")).first()
+        ends = [count.below, count.below + count.low, count.below + count.low + count.inside, count.below + count.low + count.inside + count.high]
+        if rank < ends[0]:
+            cond, m = cond & (v < low), count.below
+        elif rank < ends[1]:
+            return float(low), (float(low) if rank + 1 < ends[1] else None)
+        elif rank < ends[2]:
+            cond, rank, m = cond & inside, rank - ends[1], count.inside
+        elif rank < ends[3]:
+            return float(high), (float(high) if rank + 1 < ends[3] else None)
+        else:
+            cond, rank, m = cond & (v > high), rank - ends[3], m - ends[3]
+    # At most ``small`` values remain: rank them in one task and return the (at most two) rows at the wanted ranks.
+    hits = (base.where(cond).withColumn("_rn", F.row_number().over(Window.orderBy("v")))
+            .where(F.col("_rn").between(rank + 1, rank + 2)).orderBy("_rn").collect())
+    return float(hits[0]["v"]), (float(hits[1]["v"]) if len(hits) > 1 else None)
+
+
+def exact_median(df: DataFrame, col: str, *, accuracy: int = ACCURACY, small: int = DEFAULT_SMALL) -> float | None:
     """Median with interpolation for an even count (as ``median``).
 
-    Without ``stats`` (count, min, max of the valid values) the one projected
-    column is persisted (memory, spilling to disk) for the few refinement
-    passes, so the source plan — scans and joins — runs once; a lost block
-    is recomputed from its lineage.  Callers that already persisted their
-    input and computed the stats pass both.
+    The one projected column is persisted (memory, spilling to disk) for the few passes, so the source plan - scans
+    and joins - runs once; a lost block is recomputed from its lineage.
     """
-    own = stats is None
-    base = _values(df, col)
-    if own:
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    base = _values(df, col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if own:
-            row = base.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-            stats = (row["n"], row["lo"], row["hi"])
-        n = stats[0]
+        n = base.count()
         if n == 0:
             return None
-        k1 = (n - 1) // 2
-        v1, v2 = _kth_pair(base, "v", k1, stats=stats, **kw)
+        v1, v2 = _kth_pair(base, (n - 1) // 2, n, accuracy, small)
         if n % 2 == 1:
             return v1
         if v2 is None:
-            # The next rank lies outside the last candidate range: it is the
-            # smallest value above v1.
             v2 = base.agg(F.min(F.when(F.col("v") > F.lit(v1), F.col("v"))).alias("above")).first()["above"]
         return v1 if v1 == v2 else v1 + (v2 - v1) * 0.5  # equal infinities have no difference
     finally:
-        if own:
-            base.unpersist()
+        base.unpersist()
