@@ -17,7 +17,7 @@ def test_median_matches_numpy(spark, n, seed):
             for _ in range(n)]
     rows = [(v,) for v in vals] + [(None,), (float("nan"),)]
     df = spark.createDataFrame(rows, "x double")
-    got = exact_median(df, "x", accuracy=4, small=8)
+    got = exact_median(df, "x", accuracy=50, small=8)
     assert got == pytest.approx(float(np.median(vals)), rel=1e-12, abs=1e-12)
 
 
@@ -26,13 +26,13 @@ def test_kth_every_rank_small(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     ordered = sorted(vals)
     for k in range(len(vals)):
-        assert exact_kth(df, "x", k, accuracy=2, small=1) == ordered[k]
+        assert exact_kth(df, "x", k, accuracy=50, small=1) == ordered[k]
 
 
 def test_empty_and_constant(spark):
     assert exact_median(spark.createDataFrame([(None,)], "x double"), "x") is None
     df = spark.createDataFrame([(4.25,)] * 10, "x double")
-    assert exact_median(df, "x", accuracy=2, small=1) == 4.25
+    assert exact_median(df, "x", accuracy=50, small=1) == 4.25
 
 
 def test_infinities(spark):
@@ -40,8 +40,8 @@ def test_infinities(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     ordered = sorted(vals)
     for k in range(len(vals)):
-        assert exact_kth(df, "x", k, accuracy=2, small=1) == ordered[k]
-    assert exact_median(df, "x", accuracy=2, small=1) == float(np.median(vals))
+        assert exact_kth(df, "x", k, accuracy=50, small=1) == ordered[k]
+    assert exact_median(df, "x", accuracy=50, small=1) == float(np.median(vals))
     assert exact_median(spark.createDataFrame([(float("inf"),), (1.0,)], "x double"), "x") == float("inf")
 
 
