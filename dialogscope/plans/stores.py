@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..config import default_parallelism, remove_path, scratch_path
-from ..operators import bitmap_facets, event_funnel, filters, skeleton, text_index, time_cube
+from ..operators import bitmap_facets, dropoff_chain, event_funnel, event_sessions, filters, skeleton, text_index, time_cube
 from ..sources import bindings as B
 from ..sources import quality, tables
 from ..sources import skeleton_sources as SK
@@ -22,6 +22,7 @@ from . import catalog
 from .catalog import EVENT_ORDER, GRADE, ROLE
 from .oracle import ORACLE as CATALOG_ORACLE
 from .oracle import lit, minutes, pct, with_dialogs
+from .oracle_skeleton import EVENT_SKEL_CTE
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -203,3 +204,58 @@ def q_read_quality(spark, sf):
         raise AssertionError("the stored rows are not those that were counted")
     remove_path(spark, root)
     return spark.createDataFrame(list(counts.items()), "reason string, n_rows bigint")
+
+
+# --- sessions of raw events (A-8) -----------------------------------------------------
+
+GAP, DELAY = _dt.timedelta(hours=6), _dt.timedelta(hours=1)
+
+
+def _sessions_sql(closed: str = "") -> str:
+    hours = GAP // _dt.timedelta(hours=1)
+    return (f"WITH e AS (SELECT user_id AS u, ts, coalesce(ts > lag(ts) OVER w + INTERVAL {hours} HOUR, true) AS starts FROM events "
+            "WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+            "g AS (SELECT u, ts, sum(starts::INT) OVER (PARTITION BY u ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM e), "
+            f"s AS (SELECT min(ts) AS first_at, max(ts) AS last_at, count(*) AS n FROM g GROUP BY u, island {closed}), "
+            "d AS (SELECT CAST(first_at AS DATE) AS day, count(*) AS n_sessions, CAST(sum(n) AS BIGINT) AS n_events, "
+            "CAST(sum(epoch_us(last_at) - epoch_us(first_at)) AS BIGINT) AS micros, max(epoch_us(last_at) - epoch_us(first_at)) / 60e6::DOUBLE AS longest_minutes FROM s GROUP BY 1) "
+            "SELECT *, micros / (n_sessions * 60e6::DOUBLE) AS mean_minutes FROM d")
+
+
+@query("session_stats_events", _sessions_sql())
+def q_session_stats_events(spark, sf):
+    """A-8 on raw events: sessions of every user, per day."""
+    return event_sessions.daily(event_sessions.sessions(B.table(spark, sf, "events"), GAP))
+
+
+@query("session_stream_events", _sessions_sql(
+    f"HAVING max(ts) + INTERVAL {GAP // _dt.timedelta(hours=1)} HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events WHERE user_id IS NOT NULL) "
+    f"- INTERVAL {DELAY // _dt.timedelta(hours=1)} HOUR"))
+def q_session_stream_events(spark, sf):
+    """A-8 as a stream over all events: the sessions that the watermark has closed, per day."""
+    root = scratch_path(spark, "event-stream")
+    B.table(spark, sf, "events").select("user_id", "ts").write.parquet(f"{root}/source")
+    return _kept(event_sessions.daily(event_sessions.run_available(spark, f"{root}/source", GAP, DELAY, f"{root}/out")), root)
+
+
+# --- where dialogs are lost in the long run (B-8, B-11) ----------------------------------
+
+def _chain_sql(doublings: int = 13) -> str:
+    """The same system by doubling: x <- x + M x, M <- M M."""
+    lost = " OR ".join(f"starts_with(block, {lit(t)})" for t in K.DEEPER_TYPES)
+    parts = [f"WITH {EVENT_SKEL_CTE}", "mv AS MATERIALIZED (SELECT block, lead(block) OVER (PARTITION BY dialog_id ORDER BY pos) AS next FROM blocks)",
+             "st AS MATERIALIZED (SELECT block, count(*) AS n, count(*) FILTER (WHERE next IS NULL) AS ends FROM mv GROUP BY 1)",
+             "m0 AS MATERIALIZED (SELECT mv.block AS a, mv.next AS b, count(*) / any_value(st.n)::DOUBLE AS w FROM mv JOIN st USING (block) WHERE mv.next IS NOT NULL GROUP BY 1, 2)",
+             f"x0 AS MATERIALIZED (SELECT block AS a, CASE WHEN {lost} THEN ends / n::DOUBLE ELSE 0 END AS p, 1::DOUBLE AS t FROM st)"]
+    for k in range(doublings):
+        parts.append(f"x{k + 1} AS MATERIALIZED (SELECT x.a, x.p + coalesce(y.p, 0) AS p, x.t + coalesce(y.t, 0) AS t FROM x{k} x LEFT JOIN "
+                     f"(SELECT m.a, sum(m.w * z.p) AS p, sum(m.w * z.t) AS t FROM m{k} m JOIN x{k} z ON z.a = m.b GROUP BY 1) y USING (a))")
+        parts.append(f"m{k + 1} AS MATERIALIZED (SELECT l.a, r.b, sum(l.w * r.w) AS w FROM m{k} l JOIN m{k} r ON r.a = l.b GROUP BY 1, 2)")
+    return ", ".join(parts) + f" SELECT block, n, round(p, 6) AS p_drop, round(t - 1, 6) AS mean_left FROM x{doublings} x JOIN st ON st.block = x.a"
+
+
+@query("skel_dropoff_chain", _chain_sql())
+def q_skel_dropoff_chain(spark, sf):
+    """B-8/B-11: per block text the probability that a dialog standing there ends as a drop-off, and the mean number of blocks to come."""
+    solved = dropoff_chain.solve(dropoff_chain.transitions(SK.event_blocks(spark, sf), EVENT_ORDER))
+    return solved.select("block", "n", F.round("p_drop", 6).alias("p_drop"), F.round("mean_left", 6).alias("mean_left"))
