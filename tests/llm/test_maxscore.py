@@ -54,6 +54,46 @@ def test_shards_blocks_and_edge_cases(spark, monkeypatch, shard, queries):
     assert run(spark, rows) == brute(rows)
 
 
+def test_less_than_half_is_read_with_shared_thresholds():
+    """The embeddings of sf0.1 (directions without clusters) in several shards, as the two rounds of the operator take them."""
+    import pyarrow.parquet as pq
+    rows = pq.read_table(os.path.join(os.path.dirname(SF), "sf0.1", "embeddings.parquet")).to_pydict()
+    ids, vectors = np.array(rows["vec_id"]), np.floor(256 * np.array(rows["embedding"], dtype=np.float64))
+    place = np.abs(vectors).argmax(axis=1)
+    order = np.argsort(place * 2 + (vectors[np.arange(len(ids)), place] < 0), kind="stable")
+    shards = np.array_split(order, 5)
+    counts = {}
+    for home, shard in enumerate(shards):
+        for q in shard[ids[shard] % 50 == 0]:
+            found, start = [], -np.inf
+            for s in [home, *[x for x in range(5) if x != home]]:
+                some = shards[s][np.argsort(ids[shards[s]])]
+                part = vectors[some]
+                got = maxscore.max_score(vectors[q], ids[q], ids[some], part, part.max(axis=0), part.min(axis=0), 5, counts, start, (part * part).sum(axis=1))
+                if s == home and len(got) == 5:
+                    start = got[-1][0]
+                found += got
+            scores = vectors @ vectors[q]
+            assert sorted((-s, i) for s, i in found)[:5] == sorted((-int(s), int(i)) for s, i in zip(scores, ids) if i != ids[q])[:5]
+    print(counts["read"] / counts["all"])
+    assert counts["read"] < 0.5 * counts["all"]
+
+
+def test_pairs_out_of_reach_never_meet(spark, monkeypatch):
+    monkeypatch.setattr(maxscore, "SHARD", 50)
+    monkeypatch.setattr(maxscore, "QUERIES", 4)
+    chance = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in np.eye(8)[i % 8] * 3 + chance.normal(size=8) * 0.1]) for i in range(400)]
+    assert run(spark, rows) == brute(rows)
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>").withColumn("mark", F.xxhash64("vec_id", "vector"))
+    held = maxscore._dealt(df)
+    found, bounds = maxscore._homes(held, F.col("vec_id") % 50 == 0, 5)
+    starts = found.groupBy(F.col("query_id").alias("vec_id"), "mark").agg(F.min("score").alias("start"))
+    asked = held.where("vec_id % 50 = 0").join(starts, ["vec_id", "mark"], "left")
+    assert bounds.count() == 8 and asked.count() == 8
+    assert maxscore._pairs(asked, bounds, 8, 2).count() < 8 * 7 / 2
+
+
 def test_very_large_components(spark):
     rows = [(0, [1e15, -3.0]), (1, [1e15, 5.0]), (2, [-1e15, 0.25]), (50, [0.1, 0.2]), (3, [1e12, 7.0])]
     limit = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
