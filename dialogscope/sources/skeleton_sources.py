@@ -31,26 +31,18 @@ def text_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv_id, turn = F.col("conv_id"), F.col("turn")
     lines = F.split(F.col("text"), "\n", -1)
     derived = F.array_join(F.transform(lines, _rule_for), "\n")
-    base = conv.select(
-        F.format_string("%06d-%03d", conv_id, turn).alias("dialog_id"), derived.alias("skeleton"), F.col("text").alias("dialog_text"),
-        F.col("role").alias("tag"),
+    # Which turns get an extra row, by its suffix; only the mark is exploded, so unused columns are pruned below it.
+    edges = {"n": (conv_id % 7 == 0) & (turn == 0), "e": (conv_id % 11 == 0) & (turn == 1), "b": (conv_id % 11 == 0) & (turn == 2),
+             "t": (conv_id % 13 == 0) & (turn == 2)}
+    marks = F.filter(F.array(F.lit(""), *[F.when(cond, F.lit(mark)) for mark, cond in edges.items()]), lambda m: m.isNotNull())
+    rows = conv.select("conv_id", "turn", "text", "role", F.explode(marks).alias("mark"))
+    mark, ident, none = F.col("mark"), F.format_string("%06d-%03d", conv_id, turn), F.lit(None).cast("string")
+    return rows.select(
+        F.when(mark == "", ident).otherwise(F.concat(ident, F.lit("-"), mark)).alias("dialog_id"),
+        F.when(mark == "n", none).when(mark == "e", F.lit("")).when(mark == "b", F.lit(" \n\t\n ")).otherwise(derived).alias("skeleton"),
+        F.when(mark != "t", F.col("text")).alias("dialog_text"), F.col("role").alias("tag"),
         F.when(turn % 4 == 3, F.lit(None).cast("bigint")).otherwise(F.lit(5) + conv_id % 7).alias("dialog_grade"),
-        F.when(turn % 3 == 0, F.lit("pupil")).when(turn % 3 == 1, F.lit("teacher"))
-         .otherwise(F.lit(None).cast("string")).alias("dialog_role"),
-        conv_id.alias("conv_id"), turn.alias("turn"))
-    # (which turns get an extra row, its suffix, its skeleton, its dialog text)
-    none = F.lit(None).cast("string")
-    edges = [((conv_id % 7 == 0) & (turn == 0), "n", none, F.col("dialog_text")),
-             ((conv_id % 11 == 0) & (turn == 1), "e", F.lit(""), F.col("dialog_text")),
-             ((conv_id % 11 == 0) & (turn == 2), "b", F.lit(" \n\t\n "), F.col("dialog_text")),
-             ((conv_id % 13 == 0) & (turn == 2), "t", F.col("skeleton"), none)]
-    extra = F.array(*[F.when(cond, F.struct(F.concat("dialog_id", F.lit("-" + mark)).alias("dialog_id"),
-                                            skeleton.alias("skeleton"), text.alias("dialog_text")))
-                      for cond, mark, skeleton, text in edges])
-    own = F.struct("dialog_id", "skeleton", "dialog_text")
-    rows = F.filter(F.concat(F.array(own), extra), lambda r: r.isNotNull())
-    return (base.select(F.explode(rows).alias("r"), "tag", "dialog_grade", "dialog_role")
-            .select("r.dialog_id", "r.skeleton", "r.dialog_text", "tag", "dialog_grade", "dialog_role"))
+        F.when(turn % 3 == 0, F.lit("pupil")).when(turn % 3 == 1, F.lit("teacher")).otherwise(none).alias("dialog_role"))
 
 
 def repeated_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
