@@ -36,9 +36,10 @@ from dialogscope.llm.common import cut, table
 
 SHARD = 16_384
 QUERIES = 2_048
-PIECE = 2_048
+PIECE = 4_096
 FIRST = 64
 PROBE = 4
+LEAD = 0.15
 K = 5
 EXACT = 2.0 ** 52  # whole numbers below are exact in doubles, and so are their sums and bounds
 
@@ -55,11 +56,12 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def max_score(query: np.ndarray, skip: int, ids: np.ndarray, vectors: np.ndarray, high: np.ndarray, low: np.ndarray,
-              k: int = K, counts: dict | None = None, start: float = -np.inf, lengths: np.ndarray | None = None) -> list[tuple[int, int]]:
+              k: int = K, counts: dict | None = None, start: float = -np.inf, lengths: np.ndarray | None = None,
+              columns: np.ndarray | None = None) -> list[tuple[int, int]]:
     """The k best (score, vec_id) among the rows of ``vectors`` without those of id ``skip``; rows below ``start`` may be left out.
 
     high, low: the largest and smallest value of each component; lengths: the squared lengths of the vectors, where they are
-    exact.  ``counts`` gathers how many components were read.
+    exact; columns: the vectors by component (the terms' postings).  ``counts`` gathers how many components were read.
     """
     most, least = np.maximum(query * high, query * low), np.minimum(query * high, query * low)
     order = np.argsort(least - most, kind="stable")  # widest spread first
@@ -71,27 +73,32 @@ def max_score(query: np.ndarray, skip: int, ids: np.ndarray, vectors: np.ndarray
     floor = least.sum()
     if lengths is not None:
         lengths = lengths - (high[high == low] ** 2).sum()
+    lead = PROBE  # nothing can be left out before most of the query's length is spent
+    if lengths is not None:
+        lead = max(PROBE, int(np.argmax(squares <= LEAD * squares[0])))
+    columns = vectors.T if columns is None else columns
     best_score, best_id = np.empty(0), np.empty(0, np.int64)
     end = 0
     while end < len(ids):
         at, end = end, min(len(ids), end + min(PIECE, max(FIRST, end)))  # small pieces first: a threshold soon
-        some = np.flatnonzero(ids[at:end] != skip) + at
+        some = np.arange(at, end)
         threshold = max(start, best_score[-1]) if len(best_score) == k else start
         essential = int(np.argmax(floor + spread < threshold)) if (floor + spread < threshold).any() else len(order)
         left = None if lengths is None else lengths[some]
         score, read, place = np.full(len(some), fixed, dtype=vectors.dtype), 0, 0
         while place < len(order) and len(some):
-            terms = order[place:min(place + PROBE, essential) if place < essential else place + PROBE]
-            values = vectors[np.ix_(some, terms)]
-            score, read, place = score + values @ query[terms], read + values.size, place + len(terms)
+            stop = place + (PROBE if place else lead)
+            terms = order[place:min(stop, essential) if place < essential else stop]
+            values = columns[np.ix_(terms, some)] if place else columns[:, at:end][terms]
+            score, read, place = score + query[terms] @ values, read + values.size, place + len(terms)
             bound = score + rest[place]
             if left is not None:
-                left = left - (values * values).sum(axis=1)
+                left = left - (values * values).sum(axis=0)
                 bound = np.minimum(bound, score + np.sqrt(left * squares[place]) * (1 + 1e-9) + 1)
             alive = bound >= threshold
             if not alive.all():
                 some, score, left = some[alive], score[alive], None if left is None else left[alive]
-        alive = score >= threshold
+        alive = (score >= threshold) & (ids[some] != skip)
         best_score, best_id = np.append(best_score, score[alive]), np.append(best_id, ids[some[alive]])
         keep = np.lexsort((best_id, -best_score))[:k]
         best_score, best_id = best_score[keep], best_id[keep]
@@ -123,9 +130,9 @@ def _search(k: int, home: bool):
             if largest * longest * max(1, width) >= EXACT:  # doubles would round: whole numbers of any size
                 vectors, asked = (np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape) for m in (vectors, asked))
             if width:
-                high, low = vectors.max(axis=0), vectors.min(axis=0)
+                high, low, columns = vectors.max(axis=0), vectors.min(axis=0), np.ascontiguousarray(vectors.T)
                 for q, mark, vector, start in zip(queries.column("vec_id").to_pylist(), queries.column("mark").to_pylist(), asked, starts):
-                    rows += [(q, mark, i, s) for s, i in max_score(vector, q, ids, vectors, high, low, k, None, start, lengths)]
+                    rows += [(q, mark, i, s) for s, i in max_score(vector, q, ids, vectors, high, low, k, None, start, lengths, columns)]
             else:
                 for q, mark in zip(queries.column("vec_id").to_pylist(), queries.column("mark").to_pylist()):
                     rows += [(q, mark, int(i), 0) for i in np.sort(ids[ids != q])[:k]]
