@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..config import default_parallelism, remove_path, scratch_path
-from ..operators import bitmap_facets, dropoff_chain, event_funnel, event_sessions, filters, skeleton, text_index, time_cube
+from ..operators import bitmap_facets, dropoff_chain, event_funnel, event_sessions, filters, report, skeleton, text_index, time_cube
 from ..sources import bindings as B
-from ..sources import quality, tables
+from ..sources import quality, report_source, sinks, tables
 from ..sources import skeleton_sources as SK
 from ..sources.bucketed import BucketedTable
 from ..sources.month_states import MonthStates
@@ -259,3 +259,29 @@ def q_skel_dropoff_chain(spark, sf):
     """B-8/B-11: per block text the probability that a dialog standing there ends as a drop-off, and the mean number of blocks to come."""
     solved = dropoff_chain.solve(dropoff_chain.transitions(SK.event_blocks(spark, sf), EVENT_ORDER))
     return solved.select("block", "n", F.round("p_drop", 6).alias("p_drop"), F.round("mean_left", 6).alias("mean_left"))
+
+
+# --- report files as a data source (S-1, S-5) ----------------------------------
+
+def _report_files(spark, sf) -> str:
+    root = scratch_path(spark, "report-source")
+    full = report.full_report(B.dialogs(spark, sf).select("month", "status", "status_post"), by="month")
+    sinks.write_report_files(full, root)
+    return root
+
+
+@query("report_source", CATALOG_ORACLE["report_tidy"])
+def q_report_source(spark, sf):
+    """S-5: every month's report file through the data source, one task per file."""
+    root = _report_files(spark, sf)
+    return _kept(report_source.read_reports(spark, f"{root}/report"), root)
+
+
+REPORT_MONTHS = ["1995-03", "1996-03", "1997-03"]
+
+
+@query("report_source_months", f"SELECT * FROM ({CATALOG_ORACLE['report_tidy']}) WHERE month IN ({', '.join(map(lit, REPORT_MONTHS))})")
+def q_report_source_months(spark, sf):
+    """S-1/S-5: three months side by side out of all report files; the others are not opened."""
+    root = _report_files(spark, sf)
+    return _kept(report_source.read_reports(spark, f"{root}/report").where(F.col("month").isin(REPORT_MONTHS)), root)
